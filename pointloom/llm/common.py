@@ -18,20 +18,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; a temporary one only where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="pointloom-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder, with its lineage cut."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
+    """df written to the shared checkpoint folder, with its lineage cut.
+
+    The folder is the session's spark.checkpoint.dir; a temporary one only where that is unset."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pointloom-"))
     return df.checkpoint(eager=True)
 
 

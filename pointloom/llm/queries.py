@@ -22,6 +22,16 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, fit(docs))
 
 
+#: Target weights of the mixing query, by child name.
+MIX = {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 1.0, "d0": 3.0, "d1": 2.0, "src3": 2.0}
+
+
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pointloom.llm.mixing import mix_sources
+
+    return mix_sources(documents(spark, sf_dir), budget=0.5, weights=MIX)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pointloom.llm.quality import fit, score_quality
 
@@ -29,6 +39,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pointloom.llm.decontam import contaminated
+
+    return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pointloom.llm.secrets import scan_secrets
 
@@ -36,8 +52,43 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_language_id, op4_quality, op7_secret_scan)}
+    return {f.__name__: f for f in (op1_license_scan, op2_language_id, op3_mix_sources, op4_quality, op5_decontaminate, op7_secret_scan)}
+
+
+def _fill(table: str, parent: str, names: str) -> str:
+    """SQL of one level of budgeting: table has cap, weight, budget and the names of parent and child."""
+    over = f"over (partition by {parent} order by level, {names} rows between"
+    return f"""
+      select *, case when filled = 1 then cap when weight > 0 and vacant > 0 then least(cap, cast(floor((budget - spent) * weight / vacant) as bigint)) else 0 end as got
+      from (select *, sum(case when filled = 1 then cap else 0 end) over (partition by {parent}) as spent,
+                   sum(case when filled = 0 then weight else 0.0 end) over (partition by {parent}) as vacant
+            from (select *, min(case when weight > 0 and cap <= (budget - before) * weight / after then 1 else 0 end) {over} unbounded preceding and current row) as filled
+                  from (select *, coalesce(sum(cap) {over} unbounded preceding and 1 preceding), 0) as before,
+                               sum(weight) {over} current row and unbounded following) as after
+                        from (select *, case when weight > 0 then cap / weight else 'infinity'::double end as level from {table}))))"""
+
+
+def _mix_sql(budget: float, weights: dict[str, float], most_epochs: int = 4, seed: int = 17) -> str:
+    weight = lambda c: "case " + c + "".join(f" when '{k}' then {v}" for k, v in weights.items()) + " else 1.0 end"
+    return f"""
+    with doc as (
+      select doc_id, 'd' || cast(('0x' || substr(md5(coalesce(source, '(none)')), 1, 4))::bigint % 4 as varchar) as domain, coalesce(lang, '(none)') as lang, coalesce(source, '(none)') as source,
+             cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as n_tokens, md5(coalesce(text, '')) as digest from documents),
+    tok as (select * from doc where n_tokens > 0),
+    leaf as (select domain, lang, source, cast(sum(n_tokens) as bigint) as tokens, cast(sum(n_tokens) * {most_epochs} as bigint) as cap from tok group by all),
+    dom as (select 0 as root, domain, cast(sum(cap) as bigint) as cap, {weight("domain")} as weight, (select cast(floor(sum(tokens) * {budget}) as bigint) from leaf) as budget from leaf group by domain),
+    dom_got as ({_fill("dom", "root", "domain")}),
+    lan as (select l.domain, l.lang, cast(sum(l.cap) as bigint) as cap, {weight("l.lang")} as weight, any_value(d.got) as budget from leaf l join dom_got d using (domain) group by l.domain, l.lang),
+    lan_got as ({_fill("lan", "domain", "lang")}),
+    src as (select l.*, {weight("l.source")} as weight, g.got as budget from leaf l join lan_got g using (domain, lang)),
+    src_got as ({_fill("src", "domain, lang", "source")}),
+    plan as (select domain, lang, source, cast(got // tokens as bigint) as whole, cast(got % tokens as bigint) as want from src_got),
+    per as (select t.*, p.whole, p.want, ('0x' || substr(md5('{seed}:' || p.whole || ':' || t.doc_id || ':' || t.digest), 1, 13))::bigint as u from tok t join plan p using (domain, lang, source)),
+    part as (select *, coalesce(sum(n_tokens) over (partition by domain, lang, source order by u, doc_id, digest rows between unbounded preceding and 1 preceding), 0) as before from per)
+    select doc_id, domain, lang, source, cast(e as integer) as epoch, n_tokens, n_tokens as take_tokens from per, unnest(range(whole)) as r(e)
+    union all
+    select doc_id, domain, lang, source, cast(whole as integer), n_tokens, cast(least(n_tokens, want - before) as bigint) from part where before < want"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_mix_sources": _mix_sql(0.5, MIX)}
