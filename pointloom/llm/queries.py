@@ -45,14 +45,26 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pointloom.llm.rlz import remove_duplicates
+
+    return remove_duplicates(documents(spark, sf_dir))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pointloom.llm.secrets import scan_secrets
 
     return scan_secrets(documents(spark, sf_dir))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pointloom.llm.rindex import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_language_id, op3_mix_sources, op4_quality, op5_decontaminate, op7_secret_scan)}
+    return {f.__name__: f for f in (op1_license_scan, op2_language_id, op3_mix_sources, op4_quality, op5_decontaminate, op6_substring_dedup, op7_secret_scan, op10_suffix_dedup)}
 
 
 def _fill(table: str, parent: str, names: str) -> str:
@@ -90,5 +102,31 @@ def _mix_sql(budget: float, weights: dict[str, float], most_epochs: int = 4, see
     select doc_id, domain, lang, source, cast(whole as integer), n_tokens, cast(least(n_tokens, want - before) as bigint) from part where before < want"""
 
 
+SUBSTRING_SQL = """
+with doc as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+win as (select doc_id, i, list_aggregate(w[i:i + 12], 'string_agg', ' ') as g from doc, unnest(range(1, len(w) - 11)) as r(i)),
+least_doc as (select g, min(doc_id) as d from win group by g having min(doc_id) < max(doc_id)),
+cut as (select distinct doc_id, i + o as j from win join least_doc using (g), unnest(range(13)) as s(o) where doc_id > d),
+gone as (select doc_id, list(j) as js from cut group by doc_id),
+word as (select doc.doc_id, j, w[j] as word from doc, unnest(range(1, len(w) + 1)) as r(j)),
+kept as (select word.doc_id, string_agg(word, ' ' order by word.j) as t, count(*) as n from word anti join cut on word.doc_id = cut.doc_id and word.j = cut.j group by word.doc_id)
+select doc.doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from doc left join kept using (doc_id)"""
+
+SUFFIX_SQL = """
+with doc as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+win as (select doc_id, i, h[2 * i + 1:2 * i + 200] as g from doc, unnest(range(len(h) // 2 - 99)) as r(i)),
+firsts as (select g, min(struct_pack(d := doc_id, i := i)) as f from win group by g having count(*) > 1),
+late as (select doc_id, i from win join firsts using (g) where struct_pack(d := doc_id, i := i) > f),
+edge as (select doc_id, i, case when i - lag(i) over (partition by doc_id order by i) <= 100 then 0 else 1 end as fresh from late),
+grp as (select doc_id, i, sum(fresh) over (partition by doc_id order by i) as k from edge),
+span as (select doc_id, k, min(i) as a, max(i) + 100 as b from grp group by doc_id, k),
+gap as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as z from span),
+piece as (select g.doc_id, string_agg(h[2 * z + 1:2 * a], '' order by a) as kept, cast(sum(b - a) as bigint) as gone, count(*) as n, max(b) as tail from gap g join doc using (doc_id) group by g.doc_id)
+select doc.doc_id, cast(len(h) // 2 as bigint) as n_bytes, coalesce(gone, 0) as n_removed, coalesce(n, 0) as n_spans,
+       sha256(unhex(case when tail is null then h else kept || h[2 * tail + 1:] end)) as kept_sha256
+from doc left join piece using (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": _mix_sql(0.5, MIX)}
+    return {"op3_mix_sources": _mix_sql(0.5, MIX), "op6_substring_dedup": SUBSTRING_SQL, "op10_suffix_dedup": SUFFIX_SQL}
