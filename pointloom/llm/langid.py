@@ -3,7 +3,7 @@
 Fit: per language, log relative frequencies of words and of character n-grams
 of padded words, from a bounded sample of labelled rows (per_lang rows of each
 language with the smallest id hashes; the vocabulary keeps the top_words words
-and top_grams n-grams of each language). Score: a known word adds its
+and top_grams n-grams of each language seen at least `least` times). Score: a known word adds its
 log frequencies; an unseen word adds the mean of its longest known n-grams.
 The best total wins; the score is its softmax share.
 
@@ -86,14 +86,14 @@ class Model:
         return np.zeros(len(self.langs))
 
 
-def fit(docs: DataFrame, per_lang: int = 1500, top_words: int = 8000, top_grams: int = 3000) -> Model:
+def fit(docs: DataFrame, per_lang: int = 500, top_words: int = 8000, top_grams: int = 3000, least: int = 2) -> Model:
     """A model of bounded size from at most per_lang labelled rows of each language; held-out rows are not used."""
     rows = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & ~held_out())
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     sample = rows.withColumn("_at", F.row_number().over(first)).where(F.col("_at") <= per_lang).select("doc_id").distinct()
     chosen = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     chosen = chosen.join(F.broadcast(sample), "doc_id", "left_semi").select("lang", "text")  # at most per_lang ids a language
-    counts = chosen.mapInArrow(_counts, "lang string, n int, gram string, k long").groupBy("lang", "n", "gram").agg(F.sum("k").alias("k"))
+    counts = chosen.mapInArrow(_counts, "lang string, n int, gram string, k long").groupBy("lang", "n", "gram").agg(F.sum("k").alias("k")).where(F.col("k") >= least)
     best = Window.partitionBy("lang", "n").orderBy(F.desc("k"), "gram")
     top = counts.withColumn("_at", F.row_number().over(best)).where(F.col("_at") <= F.when(F.col("n") == 0, top_words).otherwise(top_grams))
     return Model([tuple(r) for r in top.select("lang", "n", "gram", "k").collect()])
