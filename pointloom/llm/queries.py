@@ -57,6 +57,12 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(documents(spark, sf_dir))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pointloom.llm.merkle import fingerprint_documents
+
+    return fingerprint_documents(documents(spark, sf_dir))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pointloom.llm.rindex import remove_repeats
 
@@ -64,7 +70,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_language_id, op3_mix_sources, op4_quality, op5_decontaminate, op6_substring_dedup, op7_secret_scan, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_license_scan, op2_language_id, op3_mix_sources, op4_quality, op5_decontaminate, op6_substring_dedup, op7_secret_scan, op8_fingerprints, op10_suffix_dedup)}
 
 
 def _fill(table: str, parent: str, names: str) -> str:
@@ -115,7 +121,7 @@ from doc left join kept using (doc_id)"""
 
 SUFFIX_SQL = """
 with doc as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
-win as (select doc_id, i, h[2 * i + 1:2 * i + 200] as g from doc, unnest(range(len(h) // 2 - 99)) as r(i)),
+win as (select doc_id, i, md5_number(h[2 * i + 1:2 * i + 200]) as g from doc, unnest(range(len(h) // 2 - 99)) as r(i)),
 firsts as (select g, min(struct_pack(d := doc_id, i := i)) as f from win group by g having count(*) > 1),
 late as (select doc_id, i from win join firsts using (g) where struct_pack(d := doc_id, i := i) > f),
 edge as (select doc_id, i, case when i - lag(i) over (partition by doc_id order by i) <= 100 then 0 else 1 end as fresh from late),
