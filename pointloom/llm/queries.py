@@ -63,6 +63,12 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(documents(spark, sf_dir))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pointloom.llm.ngram_join import jaccard_components
+
+    return jaccard_components(documents(spark, sf_dir), n=4, num=85, den=100)
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pointloom.llm.rindex import remove_repeats
 
@@ -70,7 +76,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_language_id, op3_mix_sources, op4_quality, op5_decontaminate, op6_substring_dedup, op7_secret_scan, op8_fingerprints, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_license_scan, op2_language_id, op3_mix_sources, op4_quality, op5_decontaminate, op6_substring_dedup, op7_secret_scan, op8_fingerprints, op9_ngram_join, op10_suffix_dedup)}
 
 
 def _fill(table: str, parent: str, names: str) -> str:
@@ -119,6 +125,18 @@ kept as (select word.doc_id, string_agg(word, ' ' order by word.j) as t, count(*
 select doc.doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(t, '')) as kept_sha256
 from doc left join kept using (doc_id)"""
 
+JOIN_SQL = """
+with recursive doc as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+shingle as (select distinct doc_id, list_aggregate(w[i:i + 3], 'string_agg', ' ') as s from doc, unnest(range(1, greatest(len(w) - 2, 2))) as r(i) where len(w) > 0),
+size as (select doc_id, count(*) as n from shingle group by doc_id),
+pair as (select a.doc_id as x, b.doc_id as y, count(*) as k from shingle a join shingle b on a.s = b.s and a.doc_id < b.doc_id group by all),
+link as (select x, y from pair join size p on p.doc_id = x join size q on q.doc_id = y where 100 * k >= 85 * (p.n + q.n - k)),
+side as (select x, y from link union all select y, x from link),
+reach(x, y) as (select doc_id, doc_id from size union select r.x, s.y from reach r join side s on s.x = r.y),
+least_of as (select x, min(y) as m from reach group by x)
+select doc.doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, coalesce(m, doc.doc_id) as component_id
+from doc left join size using (doc_id) left join least_of on least_of.x = doc.doc_id"""
+
 SUFFIX_SQL = """
 with doc as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
 win as (select doc_id, i, md5_number(h[2 * i + 1:2 * i + 200]) as g from doc, unnest(range(len(h) // 2 - 99)) as r(i)),
@@ -135,4 +153,4 @@ from doc left join piece using (doc_id)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": _mix_sql(0.5, MIX), "op6_substring_dedup": SUBSTRING_SQL, "op10_suffix_dedup": SUFFIX_SQL}
+    return {"op3_mix_sources": _mix_sql(0.5, MIX), "op6_substring_dedup": SUBSTRING_SQL, "op9_ngram_join": JOIN_SQL, "op10_suffix_dedup": SUFFIX_SQL}
