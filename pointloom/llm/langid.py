@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pointloom.llm.common import held_out, map_rows
 
 LONGEST = 5
-_CACHE_MOST = 200_000
+_CACHE_MOST = 500_000
 
 
 def words_of(text: str) -> list[str]:
@@ -82,7 +82,7 @@ class Model:
         for n in range(min(LONGEST, len(word) + 2), 0, -1):
             hits = [row for g in grams_of(word, n) if (row := self.tables[n].get(g)) is not None]
             if hits:
-                return np.mean(hits, axis=0)
+                return sum(hits[1:], hits[0]) / len(hits)
         return np.zeros(len(self.langs))
 
 

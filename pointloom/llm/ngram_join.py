@@ -1,8 +1,8 @@
 """N-gram Jaccard join by grouped prefixes.
 
 A document's set holds the hashes of its distinct `n`-word shingles. Sets are
-ordered by (commonness, hash): shingles that many documents share go last, so
-prefixes hold rare ones. Two sets with Jaccard similarity of at least t share
+ordered by commonness: shingles that few documents share go first, by hash, the
+others follow by count, so prefixes hold rare ones. Two sets with Jaccard similarity of at least t share
 an element of their prefixes (size - ceil(t * size) + 1 elements).
 
 1. Equal sets collapse to classes, classes with equal prefix and size to
@@ -13,9 +13,12 @@ an element of their prefixes (size - ceil(t * size) + 1 elements).
    Verified pairs make provisional components.
 3. In further passes only lists that hold several components matter: the
    classes of one component are paired with another component's least class
-   there. The last pass takes all pairs across components that pass the size
-   and position filters, so no link that could join components is missed.
-4. Verification computes both whole sets from the texts.
+   there. The last pass takes all pairs across components that pass the size,
+   position and sketch filters, so no link that could join components is missed.
+4. Pairs also pass a sketch filter before their texts are fetched: each set
+   has BITS parity bits, and two sets differ in at least as many elements as in
+   bits, so too many differing bits rule a pair out for certain.
+5. Verification computes both whole sets from the texts.
 
 Exactness: links inside one component may stay unseen, links between two
 components may not, so components equal those of all links.
@@ -40,6 +43,9 @@ from pointloom.llm.repeats import one_text, stored
 
 #: Ids up to which a table of ids may be broadcast as a filter (16 MB of longs); beyond, it is a shuffled join.
 MANY_IDS = 2_000_000
+#: Parity bits of a set's sketch, 64 to a column.
+BITS = 512
+SKETCH = [f"k{i}" for i in range(BITS // 64)]
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -67,11 +73,15 @@ def _common(n: int, least: int):
     return run
 
 
-def common_shingles(rows: DataFrame, n: int, least: int = 6, most: int = 200_000) -> np.ndarray:
-    """Up to `most` shingles with the largest counts over all documents; only an order, so the bound costs no links."""
+def common_shingles(rows: DataFrame, n: int, least: int = 3, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """Up to `most` shingles with the largest counts over all documents, sorted, and their ranks by count.
+
+    This only sets an order, so the bounds cost no links."""
     counts = rows.select("text").mapInArrow(_common(n, least), "h long, k long").groupBy("h").agg(F.sum("k").alias("k"))
-    top = counts.orderBy(F.desc("k"), "h").limit(most).select("h").toPandas()["h"].to_numpy()
-    return np.sort(top.astype(np.int64).view(np.uint64))
+    top = counts.orderBy(F.desc("k"), "h").limit(most).select("h").toPandas()["h"].to_numpy()  # at most `most` numbers
+    value = top.astype(np.int64).view(np.uint64)
+    order = np.argsort(value)
+    return value[order], (len(value) - order).astype(np.int64)
 
 
 def prefix_length(size: int, num: int, den: int) -> int:
@@ -82,20 +92,22 @@ def _sets(shared, n: int, num: int, den: int):
     """Per document: size and signature of its set, and its prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = shared.value
+        common, rank = shared.value
         for batch in batches:
             for lo in range(0, batch.num_rows, ROWS):
                 part = batch.slice(lo, ROWS)
-                out: list[list] = [[], [], [], []]
+                out: list[list] = [[], [], [], [], []]
                 for text in part.column(1).to_pylist():
                     s = shingles(text, n)
                     p = prefix_length(len(s), num, den) if len(s) else 0
-                    last = np.isin(s, common, assume_unique=True) if len(common) else np.zeros(len(s), bool)
-                    prefix = np.concatenate([s[~last], s[last]])[:p]
-                    for into, x in zip(out, (len(s), int(mix64(s).sum().view(np.int64)), int((mix64(s ^ np.uint64(0x5851F42D4C957F2D)) | np.uint64(1)).sum().view(np.int64)), prefix.view(np.int64))):
+                    at = np.minimum(np.searchsorted(common, s), max(len(common) - 1, 0))
+                    last = common[at] == s if len(common) else np.zeros(len(s), bool)
+                    prefix = np.concatenate([s[~last], s[last][np.argsort(rank[at[last]], kind="stable")]])[:p]
+                    parity = np.packbits(np.bincount((s >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS) & 1).view(np.int64)
+                    for into, x in zip(out, (len(s), int(mix64(s).sum().view(np.int64)), int((mix64(s ^ np.uint64(0x5851F42D4C957F2D)) | np.uint64(1)).sum().view(np.int64)), prefix.view(np.int64), parity)):
                         into.append(x)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.list_(pa.int64()))], names=["doc", "size", "s1", "s2", "prefix"]
+                    [part.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.list_(pa.int64()))], names=["doc", "size", "s1", "s2", "prefix", "parity"]
                 )
 
     return run
@@ -127,11 +139,12 @@ class GroupedPrefixJoin:
     def __init__(self, rows: DataFrame, n: int, num: int, den: int):
         self.rows, self.n, self.num, self.den = rows, n, num, den
         common = rows.sparkSession.sparkContext.broadcast(common_shingles(rows, n))
-        self.sets = stored(rows.mapInArrow(_sets(common, n, num, den), "doc long, size long, s1 long, s2 long, prefix array<long>"))
-        classes = self.sets.where("size > 0").groupBy("size", "s1", "s2").agg(F.min("doc").alias("cls"), F.first("prefix").alias("prefix"))
+        self.sets = stored(rows.mapInArrow(_sets(common, n, num, den), "doc long, size long, s1 long, s2 long, prefix array<long>, parity array<long>"))
+        classes = self.sets.where("size > 0").groupBy("size", "s1", "s2").agg(F.min("doc").alias("cls"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"))
         self.classes = stored(classes.withColumn("p", F.xxhash64("size", "prefix")))
         groups = self.classes.groupBy("size", "p").agg(F.min("cls").alias("grp"))
-        self.members = self.classes.select("cls", "size", "p").join(groups, ["size", "p"]).select("cls", "grp", "size")
+        bits = [F.col("parity")[i].alias(k) for i, k in enumerate(SKETCH)]
+        self.members = stored(self.classes.select("cls", "size", "p", *bits).join(groups, ["size", "p"]).select("cls", "grp", "size", *SKETCH))
         leaders = groups.select(F.col("grp").alias("cls"))
         lists = self.classes.join(leaders, "cls").select(F.col("cls").alias("grp"), "size", F.posexplode("prefix").alias("pos", "h"))
         # one shuffle by element serves counting and joining
@@ -143,9 +156,19 @@ class GroupedPrefixJoin:
         """Sizes that similarity allows."""
         return (F.col(a) * self.den >= F.col(b) * self.num) & (F.col(b) * self.den >= F.col(a) * self.num)
 
+    def alike(self, a: list, b: list, na, nb):
+        """Few enough differing parity bits: at most as many as similar sets of these sizes may differ in elements."""
+        differing = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a[1:], b[1:])), F.bit_count(a[0].bitwiseXOR(b[0])))
+        return differing <= na + nb - 2 * F.ceil((na + nb) * self.num / (self.num + self.den))
+
+    def sketched(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (u, v) that sizes and sketches allow."""
+        side = lambda c: self.members.select(F.col("cls").alias(c), F.col("size").alias(f"n{c}"), *[F.col(k).alias(f"{c}{k}") for k in SKETCH])
+        both = pairs.join(side("u"), "u").join(side("v"), "v")
+        return both.where(self.fits("nu", "nv") & self.alike([F.col(f"u{k}") for k in SKETCH], [F.col(f"v{k}") for k in SKETCH], F.col("nu"), F.col("nv"))).select("u", "v")
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (u, v) of classes that are linked."""
-        pairs = stored(pairs)
         ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
         ids = stored(ids)
         texts = self.rows.join(F.broadcast(ids) if ids.count() <= MANY_IDS else ids, "doc_id", "left_semi")
@@ -154,18 +177,17 @@ class GroupedPrefixJoin:
         return pairs.join(left, "u").join(right, "v").select("u", "v", "tu", "tv").mapInArrow(_verify(self.n, self.num, self.den), "u long, v long")
 
     def first_pairs(self) -> DataFrame:
-        size = self.classes.select(F.col("cls").alias("lead"), F.col("size").alias("lead_size"))
-        stars = self.lists.where("grp <> lead").select("grp", "lead", "size").distinct().join(size, "lead").where(self.fits("size", "lead_size")).select(F.col("grp").alias("u"), F.col("lead").alias("v"))
+        stars = self.lists.where("grp <> lead").select(F.col("grp").alias("u"), F.col("lead").alias("v")).distinct()
         inner = self.members.where("cls <> grp").select(F.col("cls").alias("u"), F.col("grp").alias("v"))
-        return stars.unionByName(inner)
+        return self.sketched(stars.unionByName(inner))
 
     def mixed_lists(self, found: DataFrame) -> DataFrame:
         """Element lists by class with components, of elements whose list holds more than one; comp of an unlinked class is itself."""
-        known = self.members.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "grp", F.coalesce("component", "cls").alias("comp"))
+        known = self.members.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "grp", F.coalesce("component", "cls").alias("comp"), *SKETCH)
         by_group = self.lists.select("h", "grp", "size", "pos").join(known, "grp")
         many = self.members.groupBy("grp").count().where("count > 1").select("grp")  # a group of several classes is a list of its own
-        inside = known.join(many, "grp", "left_semi").join(self.members.select("cls", "size"), "cls")
-        by_group = by_group.unionByName(inside.select("grp", F.xxhash64(F.lit("group"), "grp").alias("h"), "size", F.lit(0).alias("pos"), "cls", "comp"))
+        inside = known.join(many, "grp", "left_semi").join(self.members.select("cls", "size"), "cls").select("grp", "size", "cls", "comp", *SKETCH)
+        by_group = by_group.unionByName(inside.select("grp", F.xxhash64(F.lit("group"), "grp").alias("h"), "size", F.lit(0).alias("pos"), "cls", "comp", *SKETCH))
         span = by_group.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h")
         return by_group.join(span, "h", "left_semi")
 
@@ -174,17 +196,18 @@ class GroupedPrefixJoin:
         heads = lists.groupBy("h", "comp").agg(F.min(F.struct("cls", "size")).alias("head"))
         lead = heads.groupBy("h").agg(F.min(F.struct("comp", "head")).alias("lead"))
         a = lists.join(lead, "h").where("comp <> lead.comp").select(F.col("cls").alias("u"), F.col("lead.head.cls").alias("v"), "size", F.col("lead.head.size").alias("other"))
-        return a.where(self.fits("size", "other")).select("u", "v").distinct()
+        return self.sketched(a.where(self.fits("size", "other")).select("u", "v").distinct())
 
     def cross_pairs(self, lists: DataFrame) -> DataFrame:
         """All pairs of classes of different components in one list that sizes and positions allow."""
-        a = lists.select("h", F.col("cls").alias("u"), F.col("comp").alias("cu"), F.col("size").alias("nu"), F.col("pos").alias("pu"))
-        b = lists.select("h", F.col("cls").alias("v"), F.col("comp").alias("cv"), F.col("size").alias("nv"), F.col("pos").alias("pv"))
+        a = lists.select("h", F.col("cls").alias("u"), F.col("comp").alias("cu"), F.col("size").alias("nu"), F.col("pos").alias("pu"), *[F.col(k).alias(f"u{k}") for k in SKETCH])
+        b = lists.select("h", F.col("cls").alias("v"), F.col("comp").alias("cv"), F.col("size").alias("nv"), F.col("pos").alias("pv"), *[F.col(k).alias(f"v{k}") for k in SKETCH])
         need = F.ceil((F.col("nu") + F.col("nv")) * self.num / (self.num + self.den))
         room = 1 + F.least(F.col("nu") - F.col("pu") - 1, F.col("nv") - F.col("pv") - 1) + F.least("pu", "pv")
-        return a.join(b, "h").where((F.col("u") > F.col("v")) & (F.col("cu") != F.col("cv")) & self.fits("nu", "nv") & (room >= need)).select("u", "v").distinct()
+        near = self.alike([F.col(f"u{k}") for k in SKETCH], [F.col(f"v{k}") for k in SKETCH], F.col("nu"), F.col("nv"))
+        return a.join(b, "h").where((F.col("u") > F.col("v")) & (F.col("cu") != F.col("cv")) & self.fits("nu", "nv") & (room >= need) & near).select("u", "v").distinct()
 
-    def run(self, star_passes: int = 2) -> tuple[DataFrame, DataFrame]:
+    def run(self, star_passes: int = 1) -> tuple[DataFrame, DataFrame]:
         """(components, links): components of linked classes, and the links found on the way."""
         tried = stored(self.first_pairs())
         links = stored(self.verified(tried))
