@@ -69,9 +69,9 @@ def inverse_map(spark, sf):
 
 
 @query("""select scene, cast(trunc(x / 4) as bigint) as gx, cast(trunc(y / 4) as bigint) as gy, cast(trunc(z / 4) as bigint) as gz, count(*) as n,
-max(strength) as strength, round(avg(x), 8) as mean_x, round(avg(y), 8) as mean_y, round(avg(z), 8) as mean_z from points group by 1, 2, 3, 4""")
+max(strength) as strength, round(avg(x), 11) as mean_x, round(avg(y), 11) as mean_y, round(avg(z), 11) as mean_z from points group by 1, 2, 3, 4""")
 def grid_pooling(spark, sf):
-    return rounded(voxel.grid_pooling(points(spark, sf), 4, "scene", ["strength"]), ["mean_x", "mean_y", "mean_z"], 8)
+    return rounded(voxel.grid_pooling(points(spark, sf), 4, "scene", ["strength"]), ["mean_x", "mean_y", "mean_z"], 11)
 
 
 @query("""select p.pid, m.up_strength from points p join (select scene, trunc(x / 4) as a, trunc(y / 4) as b, trunc(z / 4) as c, max(strength) as up_strength from points group by all) m
