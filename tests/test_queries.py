@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from pointloom.plans import metric_queries  # noqa: F401
+from pointloom.plans import metric_queries, more_queries  # noqa: F401
 from pointloom.plans.point_queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
