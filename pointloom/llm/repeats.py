@@ -253,8 +253,7 @@ def repeated_spans(docs: DataFrame, win: Windows, resolve) -> DataFrame:
     held = docs.join(by_doc, docs["doc_id"] == by_doc["doc"]).select("doc_id", "text", "units").mapInArrow(_contents(win), "a long, doc long, at long, n int, content binary")
     hot = open_.groupBy("a").count().where(F.col("count") > HOT).select("a")
     if hot.limit(1).count():
-        held = stored(held)
-        hot = stored(hot)
+        hot = stored(hot)  # the contents are cut again for either branch: cheaper than keeping them
         windows = held.join(hot, "a", "left_semi").select("a", "doc", "at", "n", "content").mapInArrow(_explode(win, win.symbols("").dtype), "h long, doc long, at long")
         first = windows.groupBy("h").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
         later = (F.struct(F.col("w.doc"), F.col("w.at")) > F.col("f.first")) if win.same_document else (F.col("w.doc") > F.col("f.first.doc"))
