@@ -52,7 +52,7 @@ FORMATS = (
 CANDIDATE = re.compile(r"[A-Za-z0-9_.=+/-]{16,}", re.ASCII)
 
 
-def labelled_examples(per_format: int = 120, seed: int = 7) -> list[tuple[str, str]]:
+def labelled_examples(per_format: int = 240, seed: int = 7) -> list[tuple[str, str]]:
     """Seeded labelled credentials (kind, text), drawn from the public formats."""
     rng = random.Random(seed)
     out = []
@@ -170,7 +170,7 @@ def models() -> dict[str, tuple[Automaton, float, int]]:
     for kind, texts in by_kind.items():
         auto = infer(texts[::2] + texts[1::4])
         held = texts[3::4]
-        out[kind] = (auto, sorted(auto.score(t) for t in held)[len(held) // 20] - 0.15, min(map(len, texts)))
+        out[kind] = (auto, sorted(auto.score(t) for t in held)[len(held) // 20] - 0.25, min(map(len, texts)))
     return out
 
 
@@ -179,8 +179,8 @@ def models() -> dict[str, tuple[Automaton, float, int]]:
 def classify(token: str) -> str | None:
     """The format that explains the token best, or None if none is likely enough."""
     digits = sum(c.isdigit() for c in token)
-    if digits < 2 or digits == len(token):
-        return None
+    if digits == len(token) or digits == 0 and token.islower():
+        return None  # a number or plain words: no format here has such bodies
     best, kind = -math.inf, None
     for name, (auto, least, shortest) in models().items():
         if len(token) < shortest:
