@@ -27,6 +27,20 @@ from pointloom.llm.repeats import Windows, one_text, repeated_spans, with_spans
 WIDTH = 100
 
 
+class Marks:
+    """A bit vector with rank: how many of the marked places lie at or before a row."""
+
+    def __init__(self, places: np.ndarray, n: int):
+        bits = np.zeros(n // 64 * 64 + 64, np.uint8)
+        bits[places] = 1
+        self.words = np.packbits(bits, bitorder="little").view(np.uint64)
+        self.before = np.cumsum(np.bitwise_count(self.words).astype(np.int64)) - np.bitwise_count(self.words)
+
+    def rank(self, rows: np.ndarray) -> np.ndarray:
+        word, bit = rows >> 6, (rows & 63).astype(np.uint64)
+        return self.before[word] + np.bitwise_count(self.words[word] << (np.uint64(63) - bit))
+
+
 class RunIndex:
     """Run-compressed BWT of a list of byte strings, each with an end of its own, in order of the list."""
 
@@ -38,68 +52,66 @@ class RunIndex:
         inside = np.ones(n, bool)
         inside[self.end] = False
         text[inside] = np.frombuffer(b"".join(units), np.uint8).astype(np.int64) + 1
-        order, same = self._suffixes(text, int(size.max()))
+        order, same = self._suffixes(text, self.end, int(size.max()))
         before = text[order - 1]
         before[order == 0] = 0
         # runs of the transform, their starts, and the samples at the run ends
         start = np.flatnonzero(np.append(True, before[1:] != before[:-1]))
-        self.symbol, self.start = before[start], start
+        self.symbol, self.start, self.runs = before[start], start, Marks(start, n)
         self.sample = order[np.append(start[1:] - 1, n - 1)]
         # LF-mapping of a run's first row: rows of smaller symbols, and of the same symbol in earlier runs
         length = np.diff(np.append(start, n))
         by = np.argsort(self.symbol, kind="stable")
         self.target = np.empty(len(start), np.int64)
         self.target[by] = np.cumsum(length[by]) - length[by]
-        # ranges of suffixes that share WIDTH bytes: first row, end, earliest place
+        # ranges of suffixes that share WIDTH bytes, and the earliest place of each
         lead = np.flatnonzero(~same)
-        last = np.append(lead[1:], n)
-        many = last - lead > 1
-        first = np.minimum.reduceat(order, lead)
-        self.low, self.high, self.first = lead[many], last[many], first[many]
+        self.ranges, self.first = Marks(lead, n), np.minimum.reduceat(order, lead)
         self.rows = np.arange(len(units))  # ends sort first, in order of the list: row i is the end of unit i
 
     @staticmethod
-    def _suffixes(text: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix order (ends differ by place), and whether a suffix shares WIDTH symbols with the one before."""
+    def _suffixes(text: np.ndarray, ends: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+        """Suffix order (ends differ by place), and whether a suffix shares WIDTH symbols with the one before.
+
+        Ranks by 7 symbols, then by `ways` times as many in each round: three ranks of fewer than 2**21 places fit one key."""
         n = len(text)
-        pad = np.append(text, np.zeros(256, np.int64))
-        # seven symbols to a key; what follows an end is blanked
-        until = np.full(n, n, np.int64)
-        ends = np.flatnonzero(text == 0)
-        until = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)
+        until = np.repeat(ends, np.diff(np.append(-1, ends))) - np.arange(n)  # symbols left before the end
+        pad = np.append(text, np.zeros(8, np.int64))
         key = np.zeros(n, np.int64)
         for i in range(7):
             key = (key << 9) | np.where(i < until, pad[i : n + i], 0)
-        rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
-        span, at56 = 7, None
-        while span < longest + 1:
-            nxt = np.zeros(n, np.int64)
-            ok = until > span
-            nxt[ok] = rank[np.flatnonzero(ok) + span] + 1
-            rank = np.unique(rank * (n + 1) + nxt, return_inverse=True)[1].astype(np.int64)
-            span *= 2
-            if span == 56:
-                at56 = rank
-        order = np.argsort(rank, kind="stable")  # equal suffixes up to their ends: by place
+        ways, bits = (3, 21) if n + 1 < 1 << 21 else (2, 31)
+        span, levels, order = 7, [], None
+        while True:
+            last = span > longest
+            order = np.argsort(key, kind="stable" if last else None)
+            k = key[order]
+            rank = np.empty(n, np.int64)
+            rank[order] = np.cumsum(np.append(True, k[1:] != k[:-1]))  # from 1: 0 is past the end
+            levels.append((span, rank))
+            if last:
+                break
+            key = rank
+            for j in range(1, ways):
+                at = np.arange(j * span, n + j * span)
+                key = (key << bits) | np.where(until > j * span, rank[np.minimum(at, n - 1)], 0)
+            span *= ways
         a, b = order[1:], order[:-1]
-        whole = (until[a] >= WIDTH) & (until[b] >= WIDTH)
-        if at56 is None:
-            return order, np.zeros(n, bool)
-        a2, b2 = np.minimum(a + WIDTH - 56, n - 1), np.minimum(b + WIDTH - 56, n - 1)
-        return order, np.append(False, whole & (at56[a] == at56[b]) & (at56[a2] == at56[b2]))
+        same = (until[a] >= WIDTH) & (until[b] >= WIDTH)
+        if same.any():
+            span, rank = max((lv for lv in levels if lv[0] <= WIDTH), key=lambda lv: lv[0])
+            for at in [*range(0, WIDTH - span, span), WIDTH - span]:  # stretches of span symbols that cover WIDTH
+                same &= rank[np.minimum(a + at, n - 1)] == rank[np.minimum(b + at, n - 1)]
+        return order, np.append(False, same)
 
     def step(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The symbols before the suffixes at rows, and the rows of the suffixes with them."""
-        run = np.searchsorted(self.start, rows, side="right") - 1
+        run = self.runs.rank(rows) - 1
         return self.symbol[run], self.target[run] + rows - self.start[run]
 
     def earlier(self, rows: np.ndarray) -> np.ndarray:
-        """The earliest place of WIDTH bytes equal to the suffixes at rows; a place past all where none is shared."""
-        if not len(self.low):
-            return np.full(len(rows), np.iinfo(np.int64).max)
-        k = np.searchsorted(self.low, rows, side="right") - 1
-        inside = (k >= 0) & (rows < self.high[np.maximum(k, 0)])
-        return np.where(inside, self.first[np.maximum(k, 0)], np.iinfo(np.int64).max)
+        """The earliest place whose WIDTH bytes equal those at the suffixes of rows; their own where there is no other."""
+        return self.first[self.ranges.rank(rows) - 1]
 
 
 def resolve(contents: list[bytes], docs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
