@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import held_out, map_rows
+from pointloom.llm.common import held_out, map_rows, short_batches
 
 LONGEST = 5
 _CACHE_MOST = 500_000
@@ -59,31 +59,36 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Log frequencies by word and n-gram, one row of floats over the languages each."""
+    """Log frequencies of words and n-grams: tables of places (n = 0: words) in one matrix of a row each, a column a language."""
 
     def __init__(self, rows: list[tuple[str, int, str, int]]):
         self.langs = sorted({r[0] for r in rows})
         at = {name: i for i, name in enumerate(self.langs)}
         totals = np.ones((LONGEST + 1, len(self.langs)))
-        for lang, n, _, k in rows:
+        self.tables: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+        kinds: list[int] = []
+        for lang, n, gram, k in rows:
             totals[n, at[lang]] += k
-        self.tables: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
+            if gram not in self.tables[n]:
+                self.tables[n][gram] = len(kinds)
+                kinds.append(n)
+        self.values = np.full((len(kinds), len(self.langs)), 0.3)
         for lang, n, gram, k in rows:
-            row = self.tables[n].setdefault(gram, np.full(len(self.langs), 0.3))
-            row[at[lang]] += k
-        for n, table in enumerate(self.tables):
-            for row in table.values():
-                row[:] = np.log(row / totals[n])
+            self.values[self.tables[n][gram], at[lang]] += k
+        self.values = np.log(self.values / totals[kinds]) if kinds else self.values
 
-    def word(self, word: str) -> np.ndarray:
+    def places(self, word: str) -> list[int]:
+        """The matrix rows whose mean is the word's: its own, or those of its longest known n-grams."""
         known = self.tables[0].get(word)
         if known is not None:
-            return known
-        for n in range(min(LONGEST, len(word) + 2), 0, -1):
-            hits = [row for g in grams_of(word, n) if (row := self.tables[n].get(g)) is not None]
+            return [known]
+        padded = f"^{word}$"
+        for n in range(min(LONGEST, len(padded)), 0, -1):
+            table, text = self.tables[n], padded if n > 1 else word
+            hits = [p for i in range(len(text) - n + 1) if (p := table.get(text[i : i + n])) is not None]
             if hits:
-                return sum(hits[1:], hits[0]) / len(hits)
-        return np.zeros(len(self.langs))
+                return hits
+        return []
 
 
 def fit(docs: DataFrame, per_lang: int = 500, top_words: int = 8000, top_grams: int = 3000, least: int = 2) -> Model:
@@ -109,15 +114,27 @@ class Scorer:
     def _forget(self) -> None:
         self.at: dict[str, int] = {}
         self.rows = np.zeros((1024, len(self.model.langs)))
+        self.new: list[list[int]] = []  # places of the words seen last, whose rows are not set yet
 
     def _add(self, word: str) -> int:
-        i = len(self.at)
-        if i == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[i] = self.model.word(word)
-        self.at[word] = i
+        self.at[word] = i = len(self.at)
+        self.new.append(self.model.places(word))
         return i
 
+    def _settle(self) -> None:
+        """Sets the rows of new words, all at once."""
+        first = len(self.at) - len(self.new)
+        while len(self.rows) < len(self.at):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        count = np.array([len(p) for p in self.new])
+        self.rows[first : len(self.at)] = 0
+        some = np.flatnonzero(count)
+        if len(some):
+            flat = np.fromiter((p for ps in self.new for p in ps), np.int64, int(count.sum()))
+            starts = (np.cumsum(count) - count)[some]
+            self.rows[first + some] = np.add.reduceat(self.model.values[flat], starts, axis=0) / count[some, None]
+        self.new = []
+
     def score(self, text: str | None) -> tuple[str, float]:
         if not text or not self.model.langs or not any(map(str.isalpha, text)):
             return "und", 0.0
@@ -125,6 +142,8 @@ class Scorer:
             self._forget()
         get, add = self.at.get, self._add
         ids = [i if (i := get(w)) is not None else add(w) for w in words_of(text)]
+        if self.new:
+            self._settle()
         total = self.rows[ids].sum(axis=0)
         best = int(total.argmax())
         return self.model.langs[best], float(1.0 / np.exp(np.clip(total - total[best], -700, 0)).sum())
@@ -148,7 +167,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFr
     """docs without the rows whose language is undetermined or whose score is under least; lang becomes the prediction.
 
     Rows and other columns are otherwise unchanged."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = short_batches(docs).sparkSession.sparkContext.broadcast(model)
     state: dict[str, Scorer] = {}
 
     def predict(batches):
