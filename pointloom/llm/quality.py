@@ -82,6 +82,13 @@ def forward(p: dict[str, np.ndarray], texts: list[bytes]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(h @ p["w2"] + p["b2"], -30, 30)))
 
 
+def _first(hits: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the first hit of each group in each column."""
+    rows, cols = np.nonzero(hits)
+    at = np.unique(group[rows].astype(np.int64) * hits.shape[1] + cols, return_index=True)[1]
+    return rows[at], cols[at]
+
+
 def gradients(p: dict[str, np.ndarray], texts: list[bytes], y: np.ndarray) -> dict[str, np.ndarray]:
     f, (buf, starts, x, act, half, chunk_at, right, chunk, own, top, count) = pooled(p, texts)
     h = np.tanh(f @ p["w1"] + p["b1"])
@@ -92,14 +99,16 @@ def gradients(p: dict[str, np.ndarray], texts: list[bytes], y: np.ndarray) -> di
     g["w1"], g["b1"] = f.T @ dh, dh.sum(axis=0)
     df = dh @ p["w1"].T
     dtop, dmean = df[:, :FILTERS], df[:, FILTERS:]
-    dchunk = dmean[own] / count[own][:, None] + np.where(chunk == top[own], dtop[own], 0)
+    dchunk = dmean[own] / count[own][:, None]
+    r, c = _first(chunk == top[own], own)
+    dchunk[r, c] += dtop[own[r], c]
     dhalf = np.zeros_like(half)
     left_wins = half[chunk_at] >= half[right]
     np.add.at(dhalf, chunk_at, np.where(left_wins, dchunk, 0))
     np.add.at(dhalf, right, np.where(left_wins, 0, dchunk))
     size = np.diff(np.append(starts, len(act)))
     seg = np.repeat(np.arange(len(starts)), size)
-    rows, cols = np.nonzero((act == half[seg]) & (act > 0) & (dhalf[seg] != 0))  # a window that attains its half's maximum
+    rows, cols = _first((act == half[seg]) & (act > 0) & (dhalf[seg] != 0), seg)  # the window that attains its half's maximum
     v = dhalf[seg[rows], cols]
     dact = np.zeros_like(act)
     dact[rows, cols] = v
@@ -168,21 +177,24 @@ def score_quality(docs: DataFrame, model: dict | float, threshold: float = 0.7)
                 while end < len(texts) and (end == at or size + len(texts[end]) <= 120_000):
                     size += len(texts[end])
                     end += 1
-                scores += [float(s) for s in forward(p, texts[at:end])] if size <= 2_000_000 else [score_long(p, texts[at])]
+                scores += [float(s) for s in forward(p, texts[at:end])] if size <= 300_000 else [score_long(p, texts[at])]
                 at = end
         return {"doc_id": rows["doc_id"], "held_out": rows["held_out"], "score": scores, "predicted": [int(s >= threshold) for s in scores]}
 
     return map_rows(docs.select("doc_id", held_out().alias("held_out"), "text"), run, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def score_long(p: dict[str, np.ndarray], text: bytes, piece: int = 4000 * HALF) -> float:
-    """The score of one very long text, its chunks computed piece by piece with one half of overlap."""
+def score_long(p: dict[str, np.ndarray], text: bytes, piece: int = 1000 * HALF) -> float:
+    """The score of one very long text, its chunks computed piece by piece.
+
+    A piece but the last is read WIDTH bytes on, so its windows are whole, and leaves its last chunk to the next, which starts one half earlier."""
     top, total, count, at = np.zeros(FILTERS, np.float32), np.zeros(FILTERS), 0, 0
     while True:
-        part = text[at : at + piece + WIDTH]
-        _, (_, _, _, _, _, chunk_at, _, chunk, *_rest) = pooled(p, [part[: piece + WIDTH]])
+        last = at + piece >= len(text)
+        _, (_, _, _, _, _, _, _, chunk, *_rest) = pooled(p, [text[at:] if last else text[at : at + piece + WIDTH]])
+        chunk = chunk if last else chunk[:-1]
         top, total, count = np.maximum(top, chunk.max(axis=0)), total + chunk.sum(axis=0), count + len(chunk)
-        if at + piece >= len(text):
+        if last:
             break
         at += piece - HALF
     f = np.concatenate([top, (total / count).astype(np.float32)])
