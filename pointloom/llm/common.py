@@ -12,12 +12,22 @@ from pyspark.sql import functions as F
 
 #: Rows handed to Python code at once; bounds memory when texts are long.
 ROWS = 256
+#: Rows in an Arrow batch of texts.
+BATCH_ROWS = 2000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def short_batches(df: DataFrame) -> DataFrame:
+    """df, after its session's Arrow batches are bounded: texts can be long, and a batch is held whole on both sides."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder (spark.checkpoint.dir); a temporary one only where that is unset."""
     context = spark.sparkContext
@@ -46,7 +56,7 @@ def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], sc
                 out = fn({name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return short_batches(df).mapInArrow(run, schema)
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import ROWS
+from pointloom.llm.common import ROWS, short_batches
 
 _GAP = re.compile(r"[\W_]+")
 
@@ -168,7 +168,7 @@ def _against(docs: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
                 cols = list(zip(*rows)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))], names=["doc_id", "item_id", "distance", "errors", "match_end"])
 
-    return docs.mapInArrow(run, "doc_id long, item_id long, distance int, errors int, match_end long")
+    return short_batches(docs).mapInArrow(run, "doc_id long, item_id long, distance int, errors int, match_end long")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, most_bytes: int = 2_000_000, min_chars: int = 40) -> DataFrame:

@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pointloom.llm.common import short_batches
+
 #: Characters of a paragraph beyond which it is cut further.
 LONG = 120
 _SENTENCE = re.compile(r"[^.!?]*(?:[.!?]+\s*|$)")
@@ -134,7 +136,7 @@ def neighbours(docs: DataFrame, rows_per_range: int = 256, most_ranges: int = 65
     """docs dealt into ranges of descending ids, each followed by the first row of the next range.
 
     Columns: part, look (1: only looked at), back (descending order of ids), h, doc_id, text. One shuffle of the texts."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select(
+    rows = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").select(
         F.coalesce(F.bitwise_not("doc_id"), F.lit((1 << 63) - 1)).alias("back"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "doc_id", "text"
     )
     seen = rows.agg(F.count("*").alias("n"), F.min("back").alias("low")).first()

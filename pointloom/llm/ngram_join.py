@@ -73,7 +73,7 @@ def _common(n: int, least: int):
     return run
 
 
-def common_shingles(rows: DataFrame, n: int, least: int = 3, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+def common_shingles(rows: DataFrame, n: int, least: int = 2, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
     """Up to `most` shingles with the largest counts over all documents, sorted, and their ranks by count.
 
     This only sets an order, so the bounds cost no links."""

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import ROWS, BASE, _INVERSE, mix64, shared_folder
+from pointloom.llm.common import ROWS, BASE, _INVERSE, mix64, shared_folder, short_batches
 
 #: Differing units of one anchor that a block may hold.
 HOT = 3000
@@ -234,7 +234,7 @@ def stored(df: DataFrame) -> DataFrame:
 
 def one_text(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with one row an id: rows without id are left out, of rows that share an id the least text stays."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    rows = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     ids = rows.select("doc_id").groupBy("doc_id").count()
     return rows.groupBy("doc_id").agg(F.min("text").alias("text")) if ids.where("count > 1").limit(1).count() else rows
 

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import map_rows
+from pointloom.llm.common import map_rows, short_batches
 
 #: The base rules.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -261,5 +261,5 @@ def _redacted(texts: pd.Series) -> pd.Series:
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """docs with every secret span masked; all rows and columns stay, n_chars follows the text."""
-    out = docs.withColumn("text", F.pandas_udf(_redacted, "string")(F.col("text")))
+    out = short_batches(docs).withColumn("text", F.pandas_udf(_redacted, "string")(F.col("text")))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out

@@ -115,7 +115,7 @@ def test_language_held_out_and_edges(spark):
 
 def test_quality_gradient_and_accuracy(spark):
     rng = np.random.default_rng(0)
-    texts = [b"some plain text with words " * int(rng.integers(5, 40)) for _ in range(4)]
+    texts = [bytes(rng.integers(32, 120, size=int(rng.integers(100, 1500))).astype(np.uint8)) for _ in range(4)]
     y = np.array([1, 0, 1, 0], np.float32)
     p = {k: v.astype(np.float32) for k, v in quality.init(2).items()}
     g = quality.gradients(p, texts, y)
@@ -124,12 +124,12 @@ def test_quality_gradient_and_accuracy(spark):
         o = quality.forward(q, texts)
         return -float(np.mean(y * np.log(o) + (1 - y) * np.log(1 - o)))
 
-    for k in ("w2", "b1", "conv"):
+    for k in p:
         i = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
         up, down = ({n: a.copy() for n, a in p.items()} for _ in range(2))
         up[k][i] += 3e-3
         down[k][i] -= 3e-3
-        assert (loss(up) - loss(down)) / 6e-3 == pytest.approx(float(g[k][i]), rel=0.15, abs=2e-3)
+        assert (loss(up) - loss(down)) / 6e-3 == pytest.approx(float(g[k][i]), rel=0.02)
     long = b"some words here " * 5000
     assert quality.score_long(p, long, piece=40 * quality.HALF) == pytest.approx(float(quality.forward(p, [long])[0]), abs=1e-3)
     good = ["plain words about %d things and more" % i * 6 for i in range(60)]
