@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -24,6 +25,8 @@ def canon(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)]
 
     def plain(v):
+        if isinstance(v, (list, np.ndarray)):
+            return str([plain(x) for x in v])
         if isinstance(v, float) and v != v or v is None or v is pd.NA:
             return "null"
         return float(v) if isinstance(v, (int, float)) or hasattr(v, "item") and not isinstance(v, str) else str(v)
