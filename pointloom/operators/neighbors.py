@@ -33,6 +33,13 @@ def within(queries: DataFrame, points: DataFrame, radius: float, batch: str | No
     return pairs.where(F.col("d2") <= limit if closed else F.col("d2") < limit).select(*keys, "qid", "pid", "d2")
 
 
+def cell_for(points: DataFrame, k: int, batch: str = "scene") -> float:
+    """A first radius for knn at which a ball of the densest batch's mean density holds about 4 k points; it sets the work, no result."""
+    box = points.groupBy(batch).agg(F.count("*").alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in "xyz"])
+    each = F.pow(F.greatest(F.col("x") * F.col("y") * F.col("z"), F.lit(1e-9)) * k / F.col("n"), F.lit(1 / 3))
+    return float(box.agg(F.min(each)).first()[0] or 1.0)
+
+
 def knn(queries: DataFrame, points: DataFrame, k: int, cell: float, batch: str | None = "scene", most_rounds: int = 24) -> DataFrame:
     """The k nearest points of every query (qid, pid, d2, rank from 0), ties by pid; fewer where the batch has fewer.
 

@@ -175,6 +175,51 @@ def nearest_transfer(spark, sf):
     return neighbors.transfer(q, s.where("pid % 5 <> 0"), 2.0, ["segment"])
 
 
+# The queries above take the rows that their SQL takes. Those below take every point, on both sides; they have no SQL, tests/test_whole.py checks them by brute force.
+
+
+@query(None)
+def knn_k3_all(spark, sf):
+    p = points(spark, sf)
+    return neighbors.knn(p, p, 3, neighbors.cell_for(p, 3))
+
+
+@query(None)
+def radius_join_all(spark, sf):
+    p = points(spark, sf)
+    return neighbors.within(p, p, 2.5)
+
+
+@query(None)
+def ball_query_all(spark, sf):
+    p = points(spark, sf)
+    return neighbors.ball_query(p, p, 3.0, 4, 1.0)
+
+
+@query(None)
+def idw_interpolate_all(spark, sf):
+    p = points(spark, sf)
+    return rounded(neighbors.idw(neighbors.knn(p, p, 3, neighbors.cell_for(p, 3)), p, "strength"), ["strength"])
+
+
+@query(None)
+def nn_stats_all(spark, sf):
+    p = points(spark, sf)
+    return rounded(neighbors.distance_stats(neighbors.knn(p, p, 2, neighbors.cell_for(p, 2))), ["mean", "p50", "p95", "p99"])
+
+
+@query(None)
+def semi_overlap_all(spark, sf):
+    return neighbors.overlap_share(points(spark, sf), 1.0)
+
+
+@query(None)
+def nearest_transfer_all(spark, sf):
+    """Two clouds that together are all points: a fifth asks, the others answer."""
+    p = points(spark, sf)
+    return neighbors.transfer(p.where("pid % 5 = 0"), p.where("pid % 5 <> 0"), 2.0, ["segment"])
+
+
 @query("""with q as (select vec_id as qid, cast(embedding as double[]) as v from embeddings where vec_id % 50 = 0), p as (select vec_id, cast(embedding as double[]) as v from embeddings),
 s as (select qid, vec_id, round(list_cosine_similarity(p.v, q.v), 6) as similarity from p join q on vec_id <> qid)
 select qid, vec_id, similarity, row_number() over (partition by qid order by similarity desc, vec_id) as rank from s qualify rank <= 5""", points_view=False)
@@ -193,6 +238,11 @@ def _edges(spark, sf):
     return s, neighbors.radius_edges(s, 2.0, same="segment")
 
 
+def _all_edges(spark, sf):
+    p = points(spark, sf)
+    return p, neighbors.radius_edges(p, 2.0, same="segment")
+
+
 @query(_EDGE + " select u, v from e")
 def radius_edges(spark, sf):
     return _edges(spark, sf)[1]
@@ -206,6 +256,17 @@ def clusters(spark, sf):
     return graph.clusters(s, e, 2)
 
 
+@query(None)
+def radius_edges_all(spark, sf):
+    return _all_edges(spark, sf)[1]
+
+
+@query(None)
+def clusters_all(spark, sf):
+    p, e = _all_edges(spark, sf)
+    return graph.clusters(p, e, 2)
+
+
 _MASKS = """, m as (select cast(line as bigint) as mask, pid from points where pid % 5 < 3 and scene = 0 union select cast(line + 7 as bigint), pid from points where pid % 5 > 1 and scene = 0),
 s as (select mask, cast(mask % 2 as integer) as label, 1.0::double / (mask + 1) as score from (select distinct mask from m)),
 n as (select mask, count(*) as n from m group by mask),
@@ -225,6 +286,15 @@ def matrix_nms(spark, sf):
     return rounded(graph.matrix_nms(m, s), ["decayed"])
 
 
+@query(None)
+def matrix_nms_all(spark, sf):
+    """The masks of every scene: 16 numbers a scene, so that no mask spans two."""
+    p = points(spark, sf).withColumn("mask", F.col("scene").cast("long") * 16 + F.col("line"))
+    m = p.where("pid % 5 < 3").select("mask", "pid").union(p.where("pid % 5 > 1").select(F.col("mask") + 7, "pid")).distinct()
+    s = m.select("mask").distinct().select("mask", (F.col("mask") % 2).cast("int").alias("label"), (1.0 / (F.col("mask") + 1)).alias("score"))
+    return rounded(graph.matrix_nms(m, s), ["decayed"])
+
+
 @query(None)
 def farthest_points(spark, sf):
     return graph.farthest_points(points(spark, sf), 8)
@@ -232,7 +302,7 @@ def farthest_points(spark, sf):
 
 @query(None)
 def graph_segments(spark, sf):
-    s, e = _edges(spark, sf)
+    s, e = _all_edges(spark, sf)
     z = s.select("pid", "scene", "z")
     w = e.join(z.select(F.col("pid").alias("u"), "scene", F.col("z").alias("zu")), "u").join(z.select(F.col("pid").alias("v"), F.col("z").alias("zv")), "v")
     return graph.segment_graph(w.select("scene", "u", "v", F.abs(F.col("zu") - F.col("zv")).alias("w")))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pointloom.operators import curves, filters, gather, geometry, graph, labels, neighbors, raster, sets, tiles, vector, voxel
+from pointloom.operators.common import checkpointed, ranked
 from pointloom.plans.metric_queries import _D2, _SLICE, _slice
 from pointloom.plans.point_queries import _SCORES, _scores
 from pointloom.plans.point_queries import query, rounded
@@ -17,6 +18,11 @@ def collect_features(spark, sf):
     return filters.collect(points(spark, sf).where("pid % 10 = 0"), ["pid"], ["x", "y", "z", "strength"])
 
 
+@query(None)
+def collect_features_all(spark, sf):
+    return filters.collect(points(spark, sf), ["pid"], ["x", "y", "z", "strength"])
+
+
 @query("select pid, cast(segment as bigint) as segment, segment as origin_segment, 7 as split from points")
 def copy_update(spark, sf):
     p = filters.updated(filters.copied(points(spark, sf).select("pid", "segment"), {"segment": "origin_segment"}), {"split": 7})
@@ -91,6 +97,12 @@ def neighbour_difference(spark, sf):
     return gather.subtract(neighbors.within(q, s, 2.0).select("qid", "pid"), s, ["x", "y"])
 
 
+@query(None)
+def neighbour_difference_all(spark, sf):
+    p = points(spark, sf)
+    return gather.subtract(neighbors.within(p, p, 2.0).select("qid", "pid"), p, ["x", "y"])
+
+
 _WIN = ", s as (select pid, floor(x / 4) as wx, floor(y / 4) as wy, floor(x / 16) as cx, floor(y / 16) as cy, pid % 9 = 0 as sampled from points where pid % 29 = 0)"
 
 
@@ -101,6 +113,12 @@ def window_pairs(spark, sf):
     return gather.window_pairs(s, ["wx", "wy"], ["cx", "cy"], "sampled")
 
 
+@query(None)
+def window_pairs_all(spark, sf):
+    s = points(spark, sf).select("pid", *[F.expr(f"floor({c} / {k})").alias(n) for n, c, k in (("wx", "x", 4), ("wy", "y", 4), ("cx", "x", 16), ("cy", "y", 16))], F.expr("pid % 9 = 0").alias("sampled"))
+    return gather.window_pairs(s, ["wx", "wy"], ["cx", "cy"], "sampled")
+
+
 @query(""", r as (select cast(floor(x / 5) as bigint) as gx, cast(floor(y / 5) as bigint) as gy, cast(floor(z / 5) as bigint) as gz, pid, row_number() over (partition by floor(x / 5), floor(y / 5), floor(z / 5) order by pid) as rn from points)
 select gx, gy, gz, count(*) as n, list_resize(list(pid order by pid) filter (where rn <= 8), 8, cast(-1 as bigint)) as members from r group by gx, gy, gz""")
 def padded_members(spark, sf):
@@ -113,6 +131,13 @@ def incremental_fusion(spark, sf):
     return rounded(gather.fuse_sums([p.where(f"scene = {i}") for i in range(3)], ["line"], ["x", "strength"]), ["x", "strength"], 9)
 
 
+@query(None)
+def incremental_fusion_all(spark, sf):
+    """Every scene: points() deals them into four."""
+    p = points(spark, sf)
+    return rounded(gather.fuse_sums([p.where(f"scene = {i}") for i in range(4)], ["line"], ["x", "strength"]), ["x", "strength"], 9)
+
+
 @query(""", m as (select pid % 1000 as vertex, cast(line as bigint) * 10 + scene as instance, segment as label, pid as position from points), z as (select instance, count(*) as size from m group by instance),
 r as (select m.*, size from m join z using (instance) qualify row_number() over (partition by vertex order by position) <= 3)
 select vertex, arg_min(label, (size, position)) as label, count(*) as n from r group by vertex""")
@@ -146,10 +171,31 @@ def face_colours(spark, sf):
     return rounded(gather.face_colours(c, v), ["r", "g", "b"])
 
 
+def _full_mesh(spark, sf):
+    """A strip over every point in order of pid, numbered from 1 by range partitions."""
+    v = checkpointed(ranked(points(spark, sf).select("pid", "x", "y", "z"), ["pid"], "id").select((F.col("id") + 1).alias("id"), "x", "y", "z"))
+    n = v.count()
+    f = v.where(f"id % 2 = 0 and id + 2 <= {n}").select(F.col("id").alias("face"), F.col("id").alias("a"), (F.col("id") + 1).alias("b"), (F.col("id") + 2).alias("c"))
+    return v, f
+
+
+@query(None)
+def vertex_normals_all(spark, sf):
+    v, f = _full_mesh(spark, sf)
+    return rounded(gather.vertex_normals(f, v), ["nx", "ny", "nz"])
+
+
+@query(None)
+def face_colours_all(spark, sf):
+    v, f = _full_mesh(spark, sf)
+    c = f.select(F.array("a", "b", "c").alias("vertices"), (F.col("face") % 256).alias("r"), (F.col("face") * 3 % 256).alias("g"), (F.col("face") * 7 % 256).alias("b"))
+    return rounded(gather.face_colours(c, v), ["r", "g", "b"])
+
+
 @query(None)
 def pca_normals(spark, sf):
-    _, s = _slice(spark, sf)
-    return gather.normals_by_pca(s, neighbors.within(s, s, 4.0))
+    p = points(spark, sf)
+    return gather.normals_by_pca(p, neighbors.within(p, p, 4.0))
 
 
 @query(None)

@@ -63,6 +63,11 @@ def grid_fragments(spark, sf):
     return voxel.grid_fragments(points(spark, sf).where("x < 4"), 5.0).select("pid", "gx", "gy", "gz", "fragment")
 
 
+@query(None)
+def grid_fragments_all(spark, sf):
+    return voxel.grid_fragments(points(spark, sf), 5.0).select("pid", "gx", "gy", "gz", "fragment")
+
+
 @query(f"select pid, dense_rank() over (order by gx, gy, gz) - 1 as inverse from (select pid, {V5} from points)")
 def inverse_map(spark, sf):
     return voxel.inverse_map(points(spark, sf), 5.0).select("pid", "inverse")
@@ -375,6 +380,48 @@ def fill_statistics(spark, sf):
     return raster.fill_stats(_sparse(spark, sf).select("px", "py", (F.floor("z") % 3).alias("label")), "label")
 
 
+# The same over the raster of every point; checked by brute force in tests/test_whole.py.
+
+
+def _full(spark, sf):
+    return raster.pixels(points(spark, sf), 2.0).groupBy(*raster.PIXEL).agg(F.max("z").alias("z"))
+
+
+@query(None)
+def raster_mean_all(spark, sf):
+    return rounded(raster.smooth(_full(spark, sf), "z"), ["z"])
+
+
+@query(None)
+def raster_dilate_all(spark, sf):
+    return raster.dilate(_full(spark, sf).where("z > 9"))
+
+
+@query(None)
+def raster_erode_all(spark, sf):
+    return raster.erode(_full(spark, sf).where("z > 4"))
+
+
+@query(None)
+def raster_complete_all(spark, sf):
+    return raster.complete(_full(spark, sf).where("z <= 9.5"), "z", rounds=1)
+
+
+@query(None)
+def raster_laplace_all(spark, sf):
+    return rounded(raster.kernel(_full(spark, sf), "z", raster.LAPLACE), ["z"])
+
+
+@query(None)
+def raster_curvature_all(spark, sf):
+    return rounded(raster.curvature(_full(spark, sf), "z"), ["curvature"])
+
+
+@query(None)
+def fill_statistics_all(spark, sf):
+    return raster.fill_stats(_full(spark, sf).select("px", "py", (F.floor("z") % 3).alias("label")), "label")
+
+
 # merging of scores
 
 _SCORES = """, s as (select pid, [cast(x % 7 as double), z % 3, cast(line as double)] as bev, [strength * 50, cast(segment as double), z / 3] as cloud from points),
@@ -492,3 +539,12 @@ def rle_runs(spark, sf):
     i = F.row_number().over(Window.partitionBy("segment").orderBy("pid")).cast("long")
     m = points(spark, sf).where("pid % 5 = 0").select("segment", i.alias("i"), F.when(F.col("x") > 25, 1).otherwise(0).alias("mask"))
     return labels.runs(m, ["segment"], "i", "mask")
+
+
+@query(None)
+def rle_runs_all(spark, sf):
+    from pyspark.sql import Window
+
+    i = F.row_number().over(Window.partitionBy("segment").orderBy("pid")).cast("long")
+    m = points(spark, sf).select("segment", i.alias("i"), F.when(F.col("x") > 25, 1).otherwise(0).alias("mask"))
+    return labels.runs(m, ["segment"], "i", "mask")
