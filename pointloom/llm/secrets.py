@@ -6,7 +6,8 @@ less than a Hoeffding bound, recursively, are merged (red-blue order). The
 result is a probabilistic automaton. Every candidate token of a text is scored
 by its log-likelihood per symbol under each automaton and kept under the best
 format when it beats that format's threshold (from held-back labelled
-credentials).
+credentials). A token that is no credential as a whole is scored in parts, from
+each separator or format prefix to each later separator.
 
 Edge cases: a null or empty text has no spans; tokens of any length are scored;
 equal rows give equal results; null ids pass through; other columns are ignored.
@@ -19,6 +20,7 @@ import math
 import random
 import re
 import string
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
 import pandas as pd
@@ -51,6 +53,11 @@ FORMATS = (
 
 CANDIDATE = re.compile(r"[A-Za-z0-9_.=+/-]{16,}", re.ASCII)
 
+#: Where a credential may start or end inside a run: at a separator, or at a format's prefix.
+_CUT = re.compile(r"[=/.]+")
+_PREFIX = re.compile("(?=" + "|".join(re.escape(p) for _, ps, *_ in FORMATS for p in ps if p) + ")")
+_LONGEST = max(len(p) + longest for _, ps, _, _, longest in FORMATS for p in ps)
+
 
 def labelled_examples(per_format: int = 240, seed: int = 7) -> list[tuple[str, str]]:
     """Seeded labelled credentials (kind, text), drawn from the public formats."""
@@ -204,6 +211,23 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], order[s[2]], s[1]))
 
 
+def glued_spans(token: str) -> list[tuple[int, int, str]]:
+    """Credentials glued into a run that is none as a whole: from a separator or a prefix to a separator or the end, the longest that a format explains; none lies in another."""
+    cuts = [(m.start(), m.end()) for m in _CUT.finditer(token)]
+    starts = sorted({0, *(b for _, b in cuts), *(m.start() for m in _PREFIX.finditer(token))})
+    ends = [a for a, _ in cuts] + [len(token)]
+    out: list[tuple[int, int, str]] = []
+    for start in starts:
+        low, high = bisect_left(ends, start + 16), bisect_right(ends, start + _LONGEST)
+        for end in reversed(ends[low:high]):
+            if out and end <= out[-1][1]:
+                break
+            if kind := classify(token[start:end]):
+                out.append((start, end, kind))
+                break
+    return out
+
+
 def spans_of(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans, and all spans: the method adds candidates that no base span covers."""
     base = base_spans(text)
@@ -212,8 +236,12 @@ def spans_of(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int
         token = m.group().strip(".=")
         start = m.start() + m.group().index(token) if token else m.start()
         end = start + len(token)
-        if len(token) >= 16 and not any(s <= start and end <= e for s, e, _ in base) and (kind := classify(token)):
+        if len(token) < 16 or any(s <= start and end <= e for s, e, _ in base):
+            continue
+        if kind := classify(token):
             extra.append((start, end, kind))
+        else:
+            extra += [(start + a, start + b, k) for a, b, k in glued_spans(token) if not any(s <= start + a and start + b <= e for s, e, _ in base)]
     order = {k: i for i, k in enumerate(KINDS)}
     return base, sorted(base + extra, key=lambda s: (s[0], order.get(s[2], 9), s[2], s[1]))
 
