@@ -29,7 +29,7 @@ BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public l
 FAMILIES = (
     ("apache-2.0", r"apache-2\.0(?:-only)?", r"apache(?: software)? licen[cs]e,? (?:version|v\.?) ?2(?:\.0)?", "apache", 1),
     ("apache-1.1", r"apache-1\.1", r"apache(?: software)? licen[cs]e,? (?:version|v\.?) ?1\.1", "apache", 1),
-    ("mit", r"mit", r"(?:mit|expat) licen[cs]e", "mit", 2),
+    ("mit", r"mit", r"(?:mit|expat) licen[cs]e", "mit|expat", 2),
     ("mit-0", r"mit-0", r"mit no attribution(?: licen[cs]e)?", "mit no attribution", 1),
     ("x11", r"x11", r"(?:mit/)?x11 licen[cs]e", "x11", 2),
     ("bsd-2-clause", r"bsd-2-clause", r"(?:simplified|freebsd|(?:2|two)[- ]clause) bsd licen[cs]e", "bsd", 1),
@@ -110,8 +110,8 @@ def rules() -> list[tuple[int, str, re.Pattern, tuple[frozenset, ...], float]]:
     """All rules in order of priority: (priority, label, pattern, keyword sets each of which must be hit, confidence)."""
     out = []
     for label, ident, name, keyword, family in FAMILIES:
-        letters = re.split(r"[^a-z0-9]", re.sub(r"\(\?:|\\", "", ident))[0]
-        own = frozenset({*keyword.split("|"), letters})
+        letters = {re.split(r"[^a-z0-9]", way)[0] for way in re.sub(r"\(\?:|[\\)]", "", ident).split("|")}
+        own = frozenset({*keyword.split("|"), *letters} - {""})
         for at, template, word, confidence in NOTICES:
             pattern = template.replace("{name}", name).replace("{id}", ident)
             out.append((at + family, label, re.compile(pattern), (own, *([frozenset({word})] if word else [])), confidence))
