@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,43 +88,147 @@ def farthest_points(df: DataFrame, k: int, batch: str = "scene") -> DataFrame:
     return picked
 
 
-def segment_graph(edges: DataFrame, scene: str = "scene", scale: float = 0.5, least: int = 20) -> DataFrame:
+def _settled(df: DataFrame) -> DataFrame:
+    """df through a table in the checkpoint folder: a checkpoint keeps the constraints of the plan before it, and planning on them grows with every round."""
+    spark = df.sparkSession
+    folder = spark.sparkContext.getCheckpointDir() or checkpointed(spark.range(1)).sparkSession.sparkContext.getCheckpointDir()
+    df.write.parquet(path := f"{folder}/segments-{uuid.uuid4().hex}")
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def segment_graph(edges: DataFrame, scene: str = "scene", scale: float = 0.5, least: int = 20, most: int = 200_000) -> DataFrame:
     """Graph segmentation per scene: edges (u, v, w) by weight join parts whose weight is within both parts' threshold; small parts are merged after.
 
-    Sequential by nature, so a scene is one task's group; scenes are independent. Returns scene, node, part (least node)."""
+    Same result as edge by edge in order of (w, u, v), in checkpointed join rounds over each part's least outgoing edge. A part whose
+    least edge is over its threshold never grows again; an edge that is the least of both its parts is due, as neither can change before
+    it; edges of one weight may be taken at once, as a part that took one of weight w has a threshold over w. When at most `most` edges
+    between parts are undecided, they are finished in order in one grouped function. Returns scene, node, part (least node)."""
+    both = edges.select(scene, F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), F.coalesce(F.col("w").cast("double"), F.lit(float("nan"))).alias("w"))
+    both = _settled(both)
+    ends = both.select(scene, F.col("u").alias("node")).unionByName(both.select(scene, F.col("v").alias("node"))).distinct()
+    members = _settled(ends.withColumn("part", F.col("node")))
+    members = _grow(both, members, scene, scale, most)
+    members = _absorb(both, members, scene, least, most)
+    first = members.groupBy(scene, "part").agg(F.min("node").alias("_first"))
+    return members.join(first, [scene, "part"]).select(F.col(scene).cast("int").alias(scene), "node", F.col("_first").alias("part"))
+
+
+def _between(edges: DataFrame, members: DataFrame, scene: str) -> DataFrame:
+    """(scene, a, b, e): the least edge (w, u, v) between each two parts a < b."""
+    a = members.select(scene, F.col("node").alias("u"), F.col("part").alias("_a"))
+    b = members.select(scene, F.col("node").alias("v"), F.col("part").alias("_b"))
+    pairs = edges.join(a, [scene, "u"]).join(b, [scene, "v"]).where("_a <> _b")
+    return pairs.groupBy(scene, F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).agg(F.min(F.struct("w", "u", "v")).alias("e"))
+
+
+def _moved(pairs: DataFrame, into: DataFrame, scene: str) -> DataFrame:
+    """Pairs between the parts after the moves (scene, part, to)."""
+    for c in "ab":
+        pairs = pairs.join(into.select(scene, F.col("part").alias(c), F.col("to").alias("_to")), [scene, c], "left").withColumn(c, F.coalesce("_to", c)).drop("_to")
+    return pairs.where("a <> b").groupBy(scene, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("e").alias("e"))
+
+
+def _followed(members: DataFrame, into: DataFrame, scene: str) -> DataFrame:
+    return _settled(members.join(into, [scene, "part"], "left").select(scene, "node", F.coalesce("to", "part").alias("part")))
+
+
+def _with_least(pairs: DataFrame, parts: DataFrame, scene: str, columns: list[str]) -> DataFrame:
+    """Pairs with the least edge (ma, mb) and columns of both parts."""
+    low = pairs.select(scene, F.explode(F.array("a", "b")).alias("part"), "e").groupBy(scene, "part").agg(F.min("e").alias("m")).join(parts, [scene, "part"])
+    for c in "ab":
+        pairs = pairs.join(low.select(scene, F.col("part").alias(c), *[F.col(k).alias(f"{k}{c}") for k in ("m", *columns)]), [scene, c])
+    return _settled(pairs)
+
+
+def _finished(pairs: DataFrame, parts: DataFrame, scene: str, columns: list[str], decide) -> DataFrame:
+    """Moves (scene, part, to) from the last pairs, at most a bounded number, in order; decide(state, a, b, w) says whether two parts join."""
     import pandas as pd
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["w", "u", "v"])
         parent: dict = {}
-        size: dict = {}
-        limit: dict = {}
+        state: dict = {}
 
         def root(n):
-            parent.setdefault(n, n), size.setdefault(n, 1), limit.setdefault(n, scale)
             while parent[n] != n:
                 parent[n] = parent[parent[n]]
                 n = parent[n]
             return n
 
-        def join(a, b, w):
-            a, b = min(a, b), max(a, b)
-            parent[b] = a
-            size[a] += size[b]
-            limit[a] = w + scale / size[a]
-
-        rows = list(zip(pdf["u"], pdf["v"], pdf["w"]))
-        for u, v, w in rows:
-            a, b = root(u), root(v)
-            if a != b and w <= limit[a] and w <= limit[b]:
-                join(a, b, w)
-        for u, v, w in rows:
-            a, b = root(u), root(v)
-            if a != b and (size[a] < least or size[b] < least):
-                join(a, b, w)
-        return pd.DataFrame({scene: pdf[scene].iloc[0], "node": list(parent), "part": [root(n) for n in parent]})
-
-    return edges.groupBy(scene).applyInPandas(run, f"{scene} int, node long, part long")
+        for c in "ab":
+            for n, *values in zip(pdf[c], *[pdf[f"{k}{c}"] for k in columns]):
+                parent[n] = n
+                state[n] = values
+        for a, b, w in pdf.sort_values(["w", "u", "v"])[["a", "b", "w"]].itertuples(index=False, name=None):
+            a, b = root(a), root(b)
+            if a != b and decide(state, a, b, w):
+                parent[b] = a
+        return pd.DataFrame({scene: pdf[scene].iloc[0], "part": list(parent), "to": [root(n) for n in parent]})
+
+    flat = pairs.select(scene, "a", "b", "e.w", "e.u", "e.v")
+    for c in "ab":
+        flat = flat.join(parts.select(scene, F.col("part").alias(c), *[F.col(k).alias(f"{k}{c}") for k in columns]), [scene, c])
+    kind = dict(pairs.dtypes)[scene]
+    return _settled(flat.groupBy(scene).applyInPandas(run, f"{scene} {kind}, part long, to long"))
+
+
+def _grow(edges: DataFrame, members: DataFrame, scene: str, scale: float, most: int) -> DataFrame:
+    """Members after all edges within both parts' thresholds are taken."""
+
+    def decide(state, a, b, w):
+        if not (w <= state[a][1] and w <= state[b][1]):
+            return False
+        state[a][0] += state[b][0]
+        state[a][1] = w + scale / state[a][0]
+        return True
+
+    parts = _settled(members.select(scene, "part", F.lit(1).cast("long").alias("size"), F.lit(float(scale)).alias("limit")))
+    pairs = _settled(_between(edges, members, scene))
+    while n := pairs.count():
+        if n <= most:
+            return _followed(members, _finished(pairs, parts, scene, ["size", "limit"], decide), scene)
+        known = _with_least(pairs, parts, scene, ["size", "limit"])
+        open_ = known.where("ma.w <= limita and mb.w <= limitb")  # the others touch a part that never grows again
+        if open_.isEmpty():
+            return members
+        due = open_.where("e.w = ma.w and e.w = mb.w")
+        node = lambda c: F.struct(F.col(scene).alias("s"), F.col(c).alias("p"))
+        into = components(due.select(node("a").alias("u"), node("b").alias("v"))).select(F.col("node.s").alias(scene), F.col("node.p").alias("part"), F.col("component.p").alias("to"))
+        at = due.select(scene, F.explode(F.array("a", "b")).alias("part"), F.col("e.w").alias("w")).distinct()
+        grown = parts.join(into, [scene, "part"]).join(at, [scene, "part"]).groupBy(scene, F.col("to").alias("part")).agg(F.sum("size").alias("size"), F.max("w").alias("w"))
+        grown = grown.select(scene, "part", "size", (F.col("w") + scale / F.col("size")).alias("limit"))
+        parts = _settled(parts.join(into, [scene, "part"], "left_anti").unionByName(grown))
+        members = _followed(members, into, scene)
+        pairs = _settled(_moved(open_.select(scene, "a", "b", "e"), into, scene))
+    return members
+
+
+def _absorb(edges: DataFrame, members: DataFrame, scene: str, least: int, most: int) -> DataFrame:
+    """Members after every edge of a part under `least` nodes is taken.
+
+    A small part takes its least edge for certain: at once into a large part, which stays large, or where it is the other small part's least too."""
+
+    def decide(state, a, b, w):
+        if state[a][0] >= least and state[b][0] >= least:
+            return False
+        state[a][0] += state[b][0]
+        return True
+
+    pairs = _settled(_between(edges, members, scene))
+    while True:
+        parts = _settled(members.groupBy(scene, "part").agg(F.count("*").alias("size")))
+        small = lambda c: parts.where(F.col("size") < least).select(scene, F.col("part").alias(c), F.lit(True).alias(f"small{c}"))
+        pairs = _settled(pairs.join(small("a"), [scene, "a"], "left").join(small("b"), [scene, "b"], "left").where("smalla or smallb").select(scene, "a", "b", "e"))
+        n = pairs.count()
+        if not n:
+            return members
+        if n <= most:
+            return _followed(members, _finished(pairs, parts, scene, ["size"], decide), scene)
+        known = _with_least(pairs, parts, scene, ["size"])
+        up = known.where(f"sizea < {least} and e = ma and (sizeb >= {least} or e = mb)").select(scene, F.col("a").alias("part"), F.col("b").alias("to"))
+        down = known.where(f"sizeb < {least} and e = mb and sizea >= {least}").select(scene, F.col("b").alias("part"), F.col("a").alias("to"))
+        into = _settled(up.unionByName(down))
+        members = _followed(members, into, scene)
+        pairs = _settled(_moved(pairs, into, scene))
 
 
 def superpoint_pool(points: DataFrame, parts: DataFrame, columns: list[str], scene: str = "scene") -> DataFrame:
