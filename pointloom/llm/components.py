@@ -1,11 +1,43 @@
-"""Connected components of an edge table by alternating star contraction."""
+"""Connected components of an edge table: forests within partitions, alternating star contraction between them."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import checkpointed
+from pointloom.llm.common import dropped, stored
+
+#: Edges that one task turns into a forest; the number of tasks follows from the number of edges.
+EDGES = 500_000
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A star for each component of a partition's edges, around its least node."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while (up := parent.get(top, top)) != top:
+            top = up
+        while x != top:
+            parent[x], x = top, parent.get(x, x)
+        return top
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = root(u), root(v)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    nodes = list(parent)
+    for lo in range(0, len(nodes), 100_000):
+        part = np.array(nodes[lo : lo + 100_000], np.int64)
+        tops = np.array([root(x) for x in part.tolist()], np.int64)
+        far = part != tops
+        yield pa.RecordBatch.from_arrays([pa.array(part[far]), pa.array(tops[far])], names=["u", "v"])
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -18,21 +50,28 @@ def _settled(e: DataFrame) -> bool:
     return not ends.groupBy("n").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre")).where("leaf > 1 or (leaf > 0 and centre > 0)").limit(1).count()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def _contracted(e: DataFrame) -> DataFrame:
+    """One large and one small star: each node's larger neighbours point to its least one, then its smaller ones do."""
+    both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = _least(both).select("u", F.least("u", "m").alias("m"))
+    e = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+    small = e.join(_least(e), "u")
+    return small.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct()
+
+
+def components(edges: DataFrame, most_rounds: int = 60, per_task: int = EDGES) -> DataFrame:
     """(node, component): the least node reachable, for every node of the edges (u, v); nodes on no edge are absent.
 
-    Large star: each node's larger neighbours point to its least one. Small star: its smaller ones do. Edges become stars in a number of rounds that grows with the logarithm of the nodes."""
-    e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct()
-    e = checkpointed(e)
+    Each round first replaces the edges of every partition by a forest of stars. Edges that fit one task are done
+    then; others go through a star contraction, whose number of rounds grows with the logarithm of the nodes."""
+    e = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v"))
     for _ in range(most_rounds):
-        if _settled(e):
-            leaves = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-            return leaves.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = _least(both).select("u", F.least("u", "m").alias("m"))
-        e = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))  # large star
-        e = e.where("u > v").distinct()
-        small = e.join(_least(e), "u")
-        e = small.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct()
-        e = checkpointed(e)
+        tasks = max(1, -(-e.count() // per_task))
+        stars = stored(e.repartition(tasks).mapInArrow(_forest, "u long, v long"))
+        dropped(e)
+        if tasks == 1 or _settled(stars):
+            leaves = stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            return leaves.unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        e = stored(_contracted(stars))
+        dropped(stars)
     raise RuntimeError("components did not settle")

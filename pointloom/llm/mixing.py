@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import checkpointed
+from pointloom.llm.common import stored
 
 NONE = "(none)"
 
@@ -84,19 +84,21 @@ def hash_unit(seed: int, epoch: Column, doc_id: Column, text_hash: Column) -> Co
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def mix_sources(docs: DataFrame, budget: float = 0.5, weights: dict[str, float] | None = None, most_epochs: int = 4, seed: int = 17, rows_per_bucket: int = 4096) -> DataFrame:
-    """Selected (doc_id, domain, lang, source, epoch, n_tokens, take_tokens): each leaf's budget, from seeded epochs."""
+def mix_sources(docs: DataFrame, budget: float = 0.5, weights: dict[str, float] | None = None, most_epochs: int = 4, seed: int = 17, rows_per_bucket: int = 4096, digest: bool = False) -> DataFrame:
+    """Selected (doc_id, domain, lang, source, epoch, n_tokens, take_tokens): each leaf's budget, from seeded epochs.
+
+    digest: adds the digest of the text, by which with_texts finds it."""
     domain = F.col("domain") if "domain" in docs.columns else domain_of(F.coalesce(F.col("source"), F.lit(NONE)))
     rows = docs.select(
         "doc_id", *[F.coalesce(c.cast("string"), F.lit(NONE)).alias(n) for n, c in (("domain", domain), ("lang", F.col("lang")), ("source", F.col("source")))],
         n_tokens(F.col("text")).alias("n_tokens"), F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("_text"),
     ).where("n_tokens > 0")
-    rows = checkpointed(rows)  # a few dozen bytes a document; the texts are read once
+    rows = stored(rows)  # a few dozen bytes a document; the texts are read once
     leaf = ["domain", "lang", "source"]
     leaves = rows.groupBy(*leaf).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows"))
     plan = leaf_budgets(leaves, budget, weights or {}, most_epochs)
     plan = plan.withColumn("_whole", F.floor(F.col("got") / F.col("tokens")).cast("int")).withColumn("_want", F.col("got") % F.col("tokens"))
-    plan = checkpointed(plan.withColumn("_buckets", F.ceil(F.col("rows") / rows_per_bucket)))
+    plan = stored(plan.withColumn("_buckets", F.ceil(F.col("rows") / rows_per_bucket)))
     rows = rows.join(plan.select(*leaf, "_whole", "_want", "_buckets"), leaf)  # one row a leaf
     whole = rows.where("_whole > 0").withColumn("epoch", F.explode(F.expr("sequence(0, _whole - 1)"))).withColumn("take_tokens", F.col("n_tokens"))
     unit = hash_unit(seed, F.col("_whole"), F.col("doc_id"), F.col("_text"))
@@ -108,5 +110,17 @@ def mix_sources(docs: DataFrame, budget: float = 0.5, weights: dict[str, float]
     inside = Window.partitionBy(*leaf, "_bucket").orderBy("_u", "doc_id", "_text").rowsBetween(Window.unboundedPreceding, -1)
     part = part.withColumn("_before", F.col("_start") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).where("_before < _want")
     part = part.withColumn("epoch", F.col("_whole")).withColumn("take_tokens", F.least(F.col("n_tokens"), F.col("_want") - F.col("_before")))
-    out = ["doc_id", *leaf, F.col("epoch").cast("int").alias("epoch"), "n_tokens", F.col("take_tokens").cast("long").alias("take_tokens")]
+    out = ["doc_id", *leaf, F.col("epoch").cast("int").alias("epoch"), "n_tokens", F.col("take_tokens").cast("long").alias("take_tokens"), *([F.col("_text").alias("digest")] if digest else [])]
     return whole.select(*out).unionByName(part.select(*out))
+
+
+def with_texts(chosen: DataFrame, docs: DataFrame) -> DataFrame:
+    """chosen (of mix_sources over docs) with each row's text, cut after take_tokens tokens where the document is taken in part.
+
+    Texts are matched by id and digest, rows of equal id and text once; one shuffle of the texts."""
+    digest = F.md5(F.coalesce("text", F.lit("")))
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit(NONE)).alias("_id"), digest.alias("_digest"), "text").dropDuplicates(["_id", "_digest"])
+    rows = chosen.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit(NONE))).withColumnRenamed("digest", "_digest")
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    cut = F.when(F.col("take_tokens") < F.col("n_tokens"), F.array_join(F.slice(words, 1, F.col("take_tokens").cast("int")), " ")).otherwise(F.col("text"))
+    return rows.join(texts, ["_id", "_digest"]).withColumn("text", cut).drop("_id", "_digest")

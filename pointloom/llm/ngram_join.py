@@ -14,10 +14,11 @@ an element of their prefixes (size - ceil(t * size) + 1 elements).
 3. In further passes only lists that hold several components matter: the
    classes of one component are paired with another component's least class
    there. The last pass takes all pairs across components that pass the size,
-   position and sketch filters, so no link that could join components is missed.
-4. Pairs also pass a sketch filter before their texts are fetched: each set
-   has BITS parity bits, and two sets differ in at least as many elements as in
-   bits, so too many differing bits rule a pair out for certain.
+   sketch and count filters, so no link that could join components is missed.
+4. Pairs also pass two filters before their texts are fetched. Each set has
+   BITS parity bits, and two sets differ in at least as many elements as in
+   bits, so too many differing bits rule a pair out for certain. In the last
+   pass the number of prefix elements that a pair shares bounds its overlap.
 5. Verification computes both whole sets from the texts.
 
 Exactness: links inside one component may stay unseen, links between two
@@ -37,12 +38,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import ROWS, checkpointed, gram_hashes, mix64, word_hashes
+from pointloom.llm.common import ROWS, dropped, gram_hashes, mix64, stored, word_hashes
 from pointloom.llm.components import components
-from pointloom.llm.repeats import one_text, stored
+from pointloom.llm.repeats import one_text
 
-#: Ids up to which a table of ids may be broadcast as a filter (16 MB of longs); beyond, it is a shuffled join.
-MANY_IDS = 2_000_000
+#: Ids up to which a table of ids may be broadcast as a filter (4 MB of longs); beyond, it is a shuffled join.
+MANY_IDS = 500_000
 #: Parity bits of a set's sketch, 64 to a column.
 BITS = 512
 SKETCH = [f"k{i}" for i in range(BITS // 64)]
@@ -74,14 +75,24 @@ def _common(n: int, least: int):
 
 
 def common_shingles(rows: DataFrame, n: int, least: int = 2, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
-    """Up to `most` shingles with the largest counts over all documents, sorted, and their ranks by count.
+    """The shingles of largest counts over all documents, as many levels of count as hold `most` at the most; sorted, with their ranks by count.
 
     This only sets an order, so the bounds cost no links."""
-    counts = rows.select("text").mapInArrow(_common(n, least), "h long, k long").groupBy("h").agg(F.sum("k").alias("k"))
-    top = counts.orderBy(F.desc("k"), "h").limit(most).select("h").toPandas()["h"].to_numpy()  # at most `most` numbers
-    value = top.astype(np.int64).view(np.uint64)
+    counts = stored(rows.select("text").mapInArrow(_common(n, least), "h long, k long").groupBy("h").agg(F.sum("k").alias("k")).withColumn("level", F.floor(8 * F.log2("k")).cast("int")))
+    lowest, total = None, 0
+    for level, size in sorted(counts.groupBy("level").count().collect(), reverse=True):  # a few hundred levels
+        total += size
+        if total > most:
+            break
+        lowest = level
+    top = counts.where(F.col("level") >= F.lit(lowest)).select("h", "k").toArrow()  # at most `most` numbers
+    dropped(counts)
+    value, k = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()
+    by_count = np.lexsort((value, -k))
+    rank = np.empty(len(value), np.int64)
+    rank[by_count] = np.arange(len(value), 0, -1)
     order = np.argsort(value)
-    return value[order], (len(value) - order).astype(np.int64)
+    return value[order], rank[order]
 
 
 def prefix_length(size: int, num: int, den: int) -> int:
@@ -134,23 +145,25 @@ def _verify(n: int, num: int, den: int):
 
 
 class GroupedPrefixJoin:
-    """The join over one table of documents with one row an id: classes, groups, links and components."""
+    """The join over one table of documents with one row an id: classes, groups, links and components.
+
+    Prefixes are written once, with the sets; what is dealt by element holds only an element and a group."""
 
     def __init__(self, rows: DataFrame, n: int, num: int, den: int):
         self.rows, self.n, self.num, self.den = rows, n, num, den
         common = rows.sparkSession.sparkContext.broadcast(common_shingles(rows, n))
-        self.sets = stored(rows.mapInArrow(_sets(common, n, num, den), "doc long, size long, s1 long, s2 long, prefix array<long>, parity array<long>"))
-        classes = self.sets.where("size > 0").groupBy("size", "s1", "s2").agg(F.min("doc").alias("cls"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"))
-        self.classes = stored(classes.withColumn("p", F.xxhash64("size", "prefix")))
+        sets = rows.mapInArrow(_sets(common, n, num, den), "doc long, size long, s1 long, s2 long, prefix array<long>, parity array<long>")
+        self.sets = stored(sets.withColumn("p", F.xxhash64("size", "prefix")))
+        common.unpersist()
+        self.classes = stored(self.sets.where("size > 0").groupBy("size", "s1", "s2").agg(F.min("doc").alias("cls"), F.min("p").alias("p")))
         groups = self.classes.groupBy("size", "p").agg(F.min("cls").alias("grp"))
         bits = [F.col("parity")[i].alias(k) for i, k in enumerate(SKETCH)]
-        self.members = stored(self.classes.select("cls", "size", "p", *bits).join(groups, ["size", "p"]).select("cls", "grp", "size", *SKETCH))
-        leaders = groups.select(F.col("grp").alias("cls"))
-        lists = self.classes.join(leaders, "cls").select(F.col("cls").alias("grp"), "size", F.posexplode("prefix").alias("pos", "h"))
-        # one shuffle by element serves counting and joining
-        lists = lists.select("h", "grp", "size", F.col("pos").cast("int").alias("pos")).repartition("h")
-        least = lists.groupBy("h").agg(F.min("grp").alias("lead"), F.count("*").alias("k")).where("k > 1")
-        self.lists = stored(lists.join(least, "h").select("h", "grp", "size", "pos", "lead"))
+        placed = self.classes.join(groups, ["size", "p"]).select("cls", "grp", "size")
+        self.members = stored(placed.join(self.sets.select(F.col("doc").alias("cls"), *bits), "cls"))
+        leaders = self.members.where("cls = grp").select(F.col("grp").alias("doc"))
+        lists = self.sets.join(leaders, "doc", "left_semi").select(F.explode("prefix").alias("h"), F.col("doc").alias("grp"))
+        least = lists.groupBy("h").agg(F.min("grp").alias("lead"), F.count("*").alias("k")).where("k > 1").select("h", "lead")
+        self.lists = stored(lists.join(least, "h").select("h", "grp", "lead"))
 
     def fits(self, a: str, b: str):
         """Sizes that similarity allows."""
@@ -171,6 +184,7 @@ class GroupedPrefixJoin:
         """The pairs (u, v) of classes that are linked."""
         ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
         ids = stored(ids)
+        self.scratch.append(ids)
         texts = self.rows.join(F.broadcast(ids) if ids.count() <= MANY_IDS else ids, "doc_id", "left_semi")
         left = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("tu"))
         right = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("tv"))
@@ -183,11 +197,11 @@ class GroupedPrefixJoin:
 
     def mixed_lists(self, found: DataFrame) -> DataFrame:
         """Element lists by class with components, of elements whose list holds more than one; comp of an unlinked class is itself."""
-        known = self.members.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "grp", F.coalesce("component", "cls").alias("comp"), *SKETCH)
-        by_group = self.lists.select("h", "grp", "size", "pos").join(known, "grp")
+        known = self.members.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "grp", "size", F.coalesce("component", "cls").alias("comp"))
+        by_group = self.lists.select("h", "grp").join(known, "grp")
         many = self.members.groupBy("grp").count().where("count > 1").select("grp")  # a group of several classes is a list of its own
-        inside = known.join(many, "grp", "left_semi").join(self.members.select("cls", "size"), "cls").select("grp", "size", "cls", "comp", *SKETCH)
-        by_group = by_group.unionByName(inside.select("grp", F.xxhash64(F.lit("group"), "grp").alias("h"), "size", F.lit(0).alias("pos"), "cls", "comp", *SKETCH))
+        inside = known.join(many, "grp", "left_semi").withColumn("h", F.xxhash64(F.lit("group"), "grp"))
+        by_group = by_group.unionByName(inside.select(*by_group.columns))
         span = by_group.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h")
         return by_group.join(span, "h", "left_semi")
 
@@ -199,32 +213,38 @@ class GroupedPrefixJoin:
         return self.sketched(a.where(self.fits("size", "other")).select("u", "v").distinct())
 
     def cross_pairs(self, lists: DataFrame) -> DataFrame:
-        """All pairs of classes of different components in one list that sizes and positions allow."""
-        a = lists.select("h", F.col("cls").alias("u"), F.col("comp").alias("cu"), F.col("size").alias("nu"), F.col("pos").alias("pu"), *[F.col(k).alias(f"u{k}") for k in SKETCH])
-        b = lists.select("h", F.col("cls").alias("v"), F.col("comp").alias("cv"), F.col("size").alias("nv"), F.col("pos").alias("pv"), *[F.col(k).alias(f"v{k}") for k in SKETCH])
-        need = F.ceil((F.col("nu") + F.col("nv")) * self.num / (self.num + self.den))
-        room = 1 + F.least(F.col("nu") - F.col("pu") - 1, F.col("nv") - F.col("pv") - 1) + F.least("pu", "pv")
+        """All pairs of classes of different components that share enough elements of their prefixes.
+
+        Of two prefixes, the one that ends first in the order of elements holds all it shares with the other set up to
+        there, so the shared elements and its own rest bound the overlap; classes of one group share their prefix."""
+        lists = lists.join(self.members.select("cls", *SKETCH), "cls")
+        side = lambda c: lists.select("h", F.col("cls").alias(c), F.col("comp").alias(f"c{c}"), F.col("size").alias(f"n{c}"), F.col("grp").alias(f"g{c}"), *[F.col(k).alias(f"{c}{k}") for k in SKETCH])
         near = self.alike([F.col(f"u{k}") for k in SKETCH], [F.col(f"v{k}") for k in SKETCH], F.col("nu"), F.col("nv"))
-        return a.join(b, "h").where((F.col("u") > F.col("v")) & (F.col("cu") != F.col("cv")) & self.fits("nu", "nv") & (room >= need) & near).select("u", "v").distinct()
+        met = side("u").join(side("v"), "h").where((F.col("u") > F.col("v")) & (F.col("cu") != F.col("cv")) & self.fits("nu", "nv") & near)
+        shared = met.groupBy("u", "v", "nu", "nv").agg(F.count("*").alias("k"), F.max(F.col("gu") == F.col("gv")).alias("one"))
+        need = F.ceil((F.col("nu") + F.col("nv")) * self.num / (self.num + self.den))
+        rest = F.ceil(F.greatest("nu", "nv") * self.num / self.den) - 1  # of the larger set, past its prefix
+        return shared.where(F.col("one") | (F.col("k") + rest >= need)).select("u", "v")
 
     def run(self, star_passes: int = 1) -> tuple[DataFrame, DataFrame]:
         """(components, links): components of linked classes, and the links found on the way."""
+        self.scratch = []
         tried = stored(self.first_pairs())
         links = stored(self.verified(tried))
-        found = stored(components(links))
+        found = components(links)
         for k in range(star_passes + 1):
             lists = stored(self.mixed_lists(found))
             pairs = self.star_pairs(lists) if k < star_passes else self.cross_pairs(lists)
             pairs = stored(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).join(tried.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), ["u", "v"], "left_anti"))
-            if not pairs.limit(1).count():
-                if k < star_passes:
-                    continue
-                break
+            dropped(lists)
+            if pairs.isEmpty():
+                continue
             more = stored(self.verified(pairs))
             tried = tried.unionByName(pairs)
-            if more.limit(1).count():
+            if not more.isEmpty():
                 links = links.unionByName(more)
-                found = stored(components(links))
+                found = components(links)
+        dropped(self.lists, self.members, *self.scratch)
         return found, links
 
     def classified(self) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pointloom.llm.common import documents
+from pointloom.llm.pipeline import MIX
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,10 +23,6 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, fit(docs))
 
 
-#: Target weights of the mixing query, by child name.
-MIX = {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 1.0, "d0": 3.0, "d1": 2.0, "src3": 2.0}
-
-
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pointloom.llm.mixing import mix_sources
 
@@ -76,9 +73,9 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
+    from pointloom.llm.pipeline import run
 
-    return corpus_pipeline.run(spark, sf_dir)
+    return run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -12,7 +12,6 @@ compared by hash in a plain aggregation, which no single task has to hold.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import ROWS, BASE, _INVERSE, mix64, shared_folder, short_batches
+from pointloom.llm.common import ROWS, BASE, _INVERSE, mix64, short_batches, stored
 
 #: Differing units of one anchor that a block may hold.
 HOT = 3000
@@ -225,13 +224,6 @@ def _explode(win: Windows, dtype):
     return run
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written as a table in the shared folder and read again."""
-    path = f"{shared_folder(df.sparkSession)}/pointloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def one_text(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with one row an id: rows without id are left out, of rows that share an id the least text stays."""
     rows = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")

@@ -26,9 +26,10 @@ def brute_components(nodes, links):
 def test_components_of_chains_stars_and_cliques(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(200, 260)] + [(rng.randint(300, 330), rng.randint(300, 330)) for _ in range(40)] + [(5, 5)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     want = brute_components({x for e in edges for x in e}, edges)
-    assert got == {n: want[n] for n in got} and all(want[n] == n for n in want if n not in got)
+    for per_task in (500_000, 30):  # one task, and several with contraction rounds between them
+        got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long"), per_task=per_task).collect()}
+        assert got == {n: want[n] for n in got} and all(want[n] == n for n in want if n not in got)
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
