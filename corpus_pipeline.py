@@ -1,58 +1,5 @@
-"""The corpus pipeline: five stages over documents, each written and read again before the next.
+"""The corpus pipeline: language, near duplicates, decontamination, secrets, mixing. The stages are in pointloom.llm.pipeline."""
 
-language: documents whose language cannot be told are dropped, lang becomes the prediction.
-near_duplicates: of every component of near copies the smallest id stays.
-decontaminate: documents that hold a benchmark item within its error budget are dropped.
-secrets: secret spans are masked; every document stays.
-mix: documents are selected per source to the target weights, from seeded epochs.
-"""
+from pointloom.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-
-from pointloom.llm import decontam, langid, mixing, ngram_join, secrets
-from pointloom.llm.queries import MIX
-from pointloom.llm.repeats import stored
-
-
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return langid.keep_identified(docs, langid.fit(docs))
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.keep_one_each(docs)
-
-
-def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-
-
-def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secrets.redact_secrets(docs)
-
-
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(docs, budget=0.5, weights=MIX)
-
-
-STAGES = [
-    ("language", language),
-    ("near_duplicates", near_duplicates),
-    ("decontaminate", decontaminate),
-    ("secrets", mask_secrets),
-    ("mix", mix),
-]
-
-#: No stage but the last two can be told in SQL.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents; each result but the last is written as Parquet in the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stored(docs)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
