@@ -1,22 +1,24 @@
 """Language identification by words first, backing off to shorter character n-grams.
 
 Fit: per language, log relative frequencies of words and of character n-grams
-of padded words, from a bounded sample of labelled rows (per_lang rows of each
-language with the smallest id hashes; the vocabulary keeps the top_words words
-and top_grams n-grams of each language seen at least `least` times). Score: a known word adds its
-log frequencies; an unseen word adds the mean of its longest known n-grams.
-The best total wins; the score is its softmax share.
+of padded words, from a bounded sample of labelled rows (about per_lang rows of
+each language, picked by the hash of id and text; the model keeps the top_words
+words and top_grams n-grams of each language). Score: a known word adds its log
+frequencies; an unseen word adds the mean of its longest known n-grams. The
+best total wins, of equal ones the first language by name; the score is its
+softmax share.
 
 Edge cases: null texts and texts without a letter give `und` with score 0;
-without any labelled row every text is `und`; rows with null lang are not
-learned from; equal rows give equal results; ids and other columns are never
-inputs of a prediction.
+without any labelled row every text is `und`; rows with null lang or text are
+not learned from; rows without id are learned from and predicted like others
+and never held out; equal rows give equal results; ids and other columns are
+never inputs of a prediction.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -39,29 +41,28 @@ def grams_of(word: str, n: int) -> list[str]:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, n, gram, count) of the words (n = 0) and n-grams of a partition, one language at a time."""
+    """(lang, n, gram, count) of the words (n = 0) and n-grams of a partition's part of the sample, each once."""
+    words: dict[str, Counter] = {}
     for batch in batches:
-        lang, text = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        by: dict[tuple[str, int], Counter] = {}
-        for name, t in zip(lang, text):
-            words = Counter(w for w in words_of(t) if any(c.isalpha() for c in w))
-            by.setdefault((name, 0), Counter()).update(words)
-            for n in range(1, LONGEST + 1):
-                into = by.setdefault((name, n), Counter())
-                for w, k in words.items():
+        for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            words.setdefault(name, Counter()).update(w for w in words_of(t) if any(c.isalpha() for c in w))
+    for name, counts in words.items():
+        for n in range(LONGEST + 1):
+            grams = counts
+            if n:
+                grams = Counter()
+                for w, k in counts.items():
                     for g in grams_of(w, n):
-                        into[g] += k
-        rows = [(a, n, g, k) for (a, n), counts in by.items() for g, k in counts.items()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.int64())],
-            names=["lang", "n", "gram", "k"],
-        )
+                        grams[g] += k
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name] * len(grams), pa.string()), pa.array([n] * len(grams), pa.int32()), pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], names=["lang", "n", "gram", "k"]
+            )
 
 
 class Model:
     """Log frequencies of words and n-grams: tables of places (n = 0: words) in one matrix of a row each, a column a language."""
 
-    def __init__(self, rows: list[tuple[str, int, str, int]]):
+    def __init__(self, rows: Sequence[tuple[str, int, str, int]]):
         self.langs = sorted({r[0] for r in rows})
         at = {name: i for i, name in enumerate(self.langs)}
         totals = np.ones((LONGEST + 1, len(self.langs)))
@@ -91,17 +92,19 @@ class Model:
         return []
 
 
-def fit(docs: DataFrame, per_lang: int = 500, top_words: int = 8000, top_grams: int = 3000, least: int = 2) -> Model:
-    """A model of bounded size from at most per_lang labelled rows of each language; held-out rows are not used."""
-    rows = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & ~held_out())
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = rows.withColumn("_at", F.row_number().over(first)).where(F.col("_at") <= per_lang).select("doc_id").distinct()
-    chosen = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    chosen = chosen.join(F.broadcast(sample), "doc_id", "left_semi").select("lang", "text")  # at most per_lang ids a language
-    counts = chosen.mapInArrow(_counts, "lang string, n int, gram string, k long").groupBy("lang", "n", "gram").agg(F.sum("k").alias("k")).where(F.col("k") >= least)
-    best = Window.partitionBy("lang", "n").orderBy(F.desc("k"), "gram")
+def fit(docs: DataFrame, per_lang: int = 1500, top_words: int = 8000, top_grams: int = 3000) -> Model:
+    """A model of bounded size from about per_lang labelled rows of each language, all if there are fewer; held-out rows are not used.
+
+    A row is taken if the hash of its id and text falls under its language's share, so no language is one task's work."""
+    rows = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
+    shares = rows.groupBy("lang").agg((F.lit(float(per_lang)) / F.count("*")).alias("_share"))  # one row a language
+    place = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11).cast("double") / float(1 << 53)
+    chosen = rows.join(F.broadcast(shares), "lang").where(place < F.col("_share")).select("lang", "text")
+    counts = chosen.mapInArrow(_counts, "lang string, n int, gram string, k long").groupBy("lang", "n", "gram").agg(F.sum("k").alias("k"))
+    best = Window.partitionBy("lang", "n").orderBy(F.desc("k"), "gram")  # over the sample's vocabulary
     top = counts.withColumn("_at", F.row_number().over(best)).where(F.col("_at") <= F.when(F.col("n") == 0, top_words).otherwise(top_grams))
-    return Model([tuple(r) for r in top.select("lang", "n", "gram", "k").collect()])
+    table = top.select("lang", "n", "gram", "k").orderBy("lang", "n", "gram").toArrow()
+    return Model(list(zip(*(column.to_pylist() for column in table.columns))))
 
 
 class Scorer:
