@@ -4,8 +4,9 @@ Bytes are embedded, convolved with learned filters over every STRIDE-th window
 of the whole text, rectified, and max-pooled over overlapping chunks (two
 adjacent halves each). The maximum and the mean over all chunks feed a small
 dense layer and a sigmoid. Training is plain back-propagation with Adam on a
-bounded, seeded sample of labelled rows (most rows of each class with the
-smallest id hashes); scoring reads every text whole.
+bounded, seeded sample of labelled rows (about per_class of each class, by the
+hash of the id); scoring reads every text whole. Texts are multiplied in
+batches, so the last bits of a score can depend on its neighbours in a batch.
 
 Edge cases: null texts count as empty; empty texts are one chunk of padding;
 labels without a document or with a null mark are not used; a document with
@@ -17,7 +18,7 @@ results; labels, lang, source and doc_id are never inputs of a score.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.llm.common import held_out, map_rows
@@ -147,17 +148,22 @@ def train(texts: list[bytes], marks: list[int], epochs: int = 10, batch: int = 1
     return p
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1200, epochs: int = 10) -> dict | float:
-    """Network weights from at most per_class labelled rows of each class; a constant without both classes."""
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1200, epochs: int = 10, most_chars: int = 20_000) -> dict | float:
+    """Network weights from about per_class labelled rows of each class; a constant without both classes.
+
+    A label is taken if its id's hash falls under its class's share. Of a longer text most_chars characters from a
+    hashed place are sent, so what the driver gets is bounded in bytes."""
     marked = labels.select("doc_id", F.col("quality").cast("int").alias("mark")).where(F.col("mark").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).distinct()
-    first = Window.partitionBy("mark").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = marked.withColumn("_at", F.row_number().over(first)).where(F.col("_at") <= per_class).select("doc_id", "mark")
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").distinct().collect()  # at most 2 * per_class labelled documents
-    rows.sort(key=lambda r: (r.doc_id, r.mark, r.text or ""))
-    marks = [r.mark for r in rows]
+    shares = marked.groupBy("mark").agg((F.lit(float(per_class)) / F.count("*")).alias("_share"))
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11).cast("double") / float(1 << 53)
+    sample = marked.join(F.broadcast(shares), "mark").where(place < F.col("_share")).select("doc_id", "mark")
+    from_ = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - most_chars + 1, F.lit(1))).cast("int") + 1
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "mark", F.substring(F.col("text"), from_, F.lit(most_chars)).alias("text")).distinct().toArrow()
+    found = sorted(zip(*(column.to_pylist() for column in rows.columns)), key=lambda r: (r[0], r[1], r[2] or ""))
+    marks = [mark for _, mark, _ in found]
     if len(set(marks)) < 2:
         return sum(marks) / len(marks) if marks else 0.5
-    return train([(r.text or "").encode() for r in rows], marks, epochs=epochs)
+    return train([(text or "").encode() for _, _, text in found], marks, epochs=epochs)
 
 
 def score_quality(docs: DataFrame, model: dict | float, threshold: float = 0.7) -> DataFrame:
