@@ -25,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import held_out, map_rows, short_batches
+from pointloom.llm.common import ROWS, held_out, map_rows, short_batches
 
 LONGEST = 5
-_CACHE_MOST = 500_000
+#: Words whose rows a scorer keeps before it starts anew.
+_CACHE_MOST = 50_000
 
 
 def words_of(text: str) -> list[str]:
@@ -169,19 +170,21 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """docs without the rows whose language is undetermined or whose score is under least; lang becomes the prediction.
 
-    Rows and other columns are otherwise unchanged."""
+    Rows and other columns are otherwise unchanged. The texts go through Python once."""
     shared = short_batches(docs).sparkSession.sparkContext.broadcast(model)
+    names = docs.columns
+    text, lang = names.index("text"), names.index("lang")
     state: dict[str, Scorer] = {}
 
-    def predict(batches):
-        import pandas as pd
-
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if "s" not in state:
             state["s"] = Scorer(shared.value)
-        for texts in batches:
-            yield pd.DataFrame([state["s"].score(t) for t in texts], columns=["lang", "score"])
-
-    predicted = F.pandas_udf(predict, "lang string, score double", functionType=F.PandasUDFType.SCALAR_ITER)
-    found = docs.withColumn("_found", predicted(F.col("text")))
-    kept = found.where((F.col("_found.lang") != "und") & (F.col("_found.score") >= least))
-    return kept.withColumn("lang", F.col("_found.lang")).select(*docs.columns)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                found = [state["s"].score(t) for t in part.column(text).to_pylist()]
+                columns = [*part.columns]
+                columns[lang] = pa.array([name for name, _ in found], part.column(lang).type)
+                yield pa.RecordBatch.from_arrays(columns, schema=part.schema).filter(pa.array([name != "und" and score >= least for name, score in found], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
