@@ -7,13 +7,14 @@ of the item holds at least one piece unchanged. An Aho-Corasick pass over the
 text finds all pieces; each hit places the item, and Myers' bit-parallel
 algorithm finds the least edit distance of the item to any stretch of the text
 around that place. A document is contaminated by an item whose distance is at
-most k.
+most k. Items of under SHORT characters are one piece with no errors and must
+stand between word boundaries, so that "no" is not found in "note".
 
 The items are a table of bounded size (its bytes are checked before it is
 broadcast; a larger table is handled block by block, each within the bound).
-Edge cases: null and empty texts and items match nothing; items of under
-min_chars normalised characters are ignored; equal items count once each;
-repeated rows give repeated results; null ids pass through.
+Edge cases: null and empty texts, and items without a letter or digit, match
+nothing; equal items count once each; repeated rows give repeated results; null
+ids pass through.
 """
 
 from __future__ import annotations
@@ -34,8 +35,12 @@ def normalise(text: str) -> str:
     return _GAP.sub(" ", text.lower()).strip()
 
 
+#: Characters below which an item must be found exactly, as whole words.
+SHORT = 40
+
+
 def budget_of(length: int) -> int:
-    return length // 20
+    return length // 20 if length >= SHORT else 0
 
 
 def pieces(item: str, errors: int) -> list[tuple[int, str]]:
@@ -84,6 +89,9 @@ class Matcher:
         self.items = [(item_id, Pattern(text)) for item_id, text in items]
         hits: dict[str, list[tuple[int, int]]] = {}
         for i, (_, p) in enumerate(self.items):
+            if len(p.text) < SHORT:
+                hits.setdefault(f" {p.text} ", []).append((i, -1))
+                continue
             for at, piece in pieces(p.text, p.errors):
                 hits.setdefault(piece, []).append((i, at))
         self.auto = ahocorasick.Automaton()
@@ -97,10 +105,15 @@ class Matcher:
         if not self.items or not text:
             return []
         spots: dict[int, set[int]] = {}
-        for end, (length, where) in self.auto.iter(text):
-            for i, at in where:
-                spots.setdefault(i, set()).add(end + 1 - length - at)
         out = []
+        found: set[int] = set()
+        for end, (length, where) in self.auto.iter(f" {text} "):  # a place of the text is one less
+            for i, at in where:
+                if at >= 0:
+                    spots.setdefault(i, set()).add(end - length - at)
+                elif i not in found:  # a short item, with the spaces around it
+                    found.add(i)
+                    out.append((self.items[i][0], end - length + 1, end - 1, 0))
         for i, starts in spots.items():
             item_id, p = self.items[i]
             k, best = p.errors, None
@@ -125,13 +138,13 @@ class Matcher:
         return sorted(out)
 
 
-def item_blocks(items: DataFrame, most_bytes: int, min_chars: int) -> Iterator[list[tuple[int, str]]]:
+def item_blocks(items: DataFrame, most_bytes: int) -> Iterator[list[tuple[int, str]]]:
     """Normalised items in blocks of at most most_bytes bytes (one item at least)."""
     block, size = [], 0
     rows = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").orderBy("item_id", "text")
     for item_id, text in rows.toLocalIterator():
         norm = normalise(text)
-        if len(norm) < min_chars:
+        if not norm:
             continue
         if block and size + len(norm) > most_bytes:
             yield block
@@ -141,12 +154,12 @@ def item_blocks(items: DataFrame, most_bytes: int, min_chars: int) -> Iterator[l
     yield block
 
 
-def contaminated(docs: DataFrame, items: DataFrame, most_bytes: int = 2_000_000, min_chars: int = 40) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, most_bytes: int = 2_000_000) -> DataFrame:
     """(doc_id, item_id, distance, errors, match_end): one row for each document and item found in it within the error budget.
 
     match_end counts characters of the normalised text."""
     out = None
-    for block in item_blocks(items, most_bytes, min_chars):
+    for block in item_blocks(items, most_bytes):
         found = _against(docs.select("doc_id", "text"), block)
         out = found if out is None else out.unionByName(found)
     return out
@@ -171,10 +184,10 @@ def _against(docs: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
     return short_batches(docs).mapInArrow(run, "doc_id long, item_id long, distance int, errors int, match_end long")
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, most_bytes: int = 2_000_000, min_chars: int = 40) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, most_bytes: int = 2_000_000) -> DataFrame:
     """docs without the rows whose text holds an item within its error budget; other rows and all columns are unchanged."""
     out = docs
-    for block in item_blocks(items, most_bytes, min_chars):
+    for block in item_blocks(items, most_bytes):
         out = out.where(~_hit(out, block)(F.col("text")))
     return out
 

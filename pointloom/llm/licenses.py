@@ -1,11 +1,12 @@
 """License scan: ordered signature rules behind a keyword prefilter.
 
 Every rule is a regular expression over the lower-cased text with a label, a
-priority and keywords: one of its family's (or its identifier's letters) and
-its notice's must be present. One Aho-Corasick pass finds the keywords; only
-the rules whose keywords are all present run. Detections are taken by priority,
-then length, then start, and one whose interval lies inside an accepted
-interval is suppressed.
+priority and keywords. The keywords are read off the expression: letters that
+every match must hold, or for alternatives one of several, so the filter loses
+no match. One Aho-Corasick pass finds the keywords; only the rules whose
+keywords are all present run. Detections are taken by priority, then length,
+then start, and one whose interval lies inside an accepted interval is
+suppressed.
 
 Edge cases: a null text counts as empty (no words, no labels, score 0); a text
 without any keyword has no detections; equal rows give equal results; null ids
@@ -17,6 +18,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from functools import lru_cache
+from re import _parser
 
 from pyspark.sql import DataFrame
 
@@ -25,99 +27,205 @@ from pointloom.llm.common import map_rows
 #: Phrases counted as base places, and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Hand-written signatures: label, identifier, pattern of the name, keyword, priority of the family.
+#: Names: label, identifier, pattern of the name, priority of the family.
 FAMILIES = (
-    ("apache-2.0", r"apache-2\.0(?:-only)?", r"apache(?: software)? licen[cs]e,? (?:version|v\.?) ?2(?:\.0)?", "apache", 1),
-    ("apache-1.1", r"apache-1\.1", r"apache(?: software)? licen[cs]e,? (?:version|v\.?) ?1\.1", "apache", 1),
-    ("mit", r"mit", r"(?:mit|expat) licen[cs]e", "mit|expat", 2),
-    ("mit-0", r"mit-0", r"mit no attribution(?: licen[cs]e)?", "mit no attribution", 1),
-    ("x11", r"x11", r"(?:mit/)?x11 licen[cs]e", "x11", 2),
-    ("bsd-2-clause", r"bsd-2-clause", r"(?:simplified|freebsd|(?:2|two)[- ]clause) bsd licen[cs]e", "bsd", 1),
-    ("bsd-3-clause", r"bsd-3-clause", r"(?:new|modified|revised|(?:3|three)[- ]clause) bsd licen[cs]e", "bsd", 1),
-    ("bsd-4-clause", r"bsd-4-clause", r"(?:original|(?:4|four)[- ]clause) bsd licen[cs]e", "bsd", 1),
-    ("bsd", r"0bsd", r"(?:zero[- ]clause )?bsd(?:-style)? licen[cs]e", "bsd", 3),
-    ("isc", r"isc", r"isc licen[cs]e", "isc", 2),
-    ("gpl-2.0", r"gpl-2\.0(?:-only|-or-later|\+)?", r"(?:gnu )?(?:general public licen[cs]e|gpl),? ?(?:version |v\.? ?)?2(?:\.0)?\b", "gpl|general public", 1),
-    ("gpl-3.0", r"gpl-3\.0(?:-only|-or-later|\+)?", r"(?:gnu )?(?:general public licen[cs]e|gpl),? ?(?:version |v\.? ?)?3(?:\.0)?\b", "gpl|general public", 1),
-    ("gpl", r"gpl", r"gnu general public licen[cs]e", "general public", 3),
-    ("lgpl-2.1", r"lgpl-2\.1(?:-only|-or-later|\+)?", r"(?:gnu )?(?:lesser general public licen[cs]e|lgpl),? ?(?:version |v\.? ?)?2\.1", "lgpl|lesser general", 1),
-    ("lgpl-3.0", r"lgpl-3\.0(?:-only|-or-later|\+)?", r"(?:gnu )?(?:lesser general public licen[cs]e|lgpl),? ?(?:version |v\.? ?)?3(?:\.0)?\b", "lgpl|lesser general", 1),
-    ("lgpl", r"lgpl", r"gnu (?:lesser|library) general public licen[cs]e", "general public", 2),
-    ("agpl-3.0", r"agpl-3\.0(?:-only|-or-later|\+)?", r"(?:gnu )?(?:affero general public licen[cs]e|agpl),? ?(?:version |v\.? ?)?3(?:\.0)?\b", "agpl|affero", 1),
-    ("agpl", r"agpl", r"gnu affero general public licen[cs]e", "affero", 2),
-    ("mpl-1.1", r"mpl-1\.1", r"mozilla public licen[cs]e,? (?:version |v\.? ?)?1\.1", "mozilla public", 1),
-    ("mpl-2.0", r"mpl-2\.0", r"mozilla public licen[cs]e,? (?:version |v\.? ?)?2(?:\.0)?", "mozilla public", 1),
-    ("epl-1.0", r"epl-1\.0", r"eclipse public licen[cs]e(?:,? -? ?(?:version |v\.? ?)?1(?:\.0)?)", "eclipse public", 1),
-    ("epl-2.0", r"epl-2\.0", r"eclipse public licen[cs]e(?:,? -? ?(?:version |v\.? ?)?2(?:\.0)?)", "eclipse public", 1),
-    ("cddl-1.0", r"cddl-1\.0", r"common development and distribution licen[cs]e", "common development", 1),
-    ("cpl-1.0", r"cpl-1\.0", r"common public licen[cs]e", "common public", 1),
-    ("artistic-2.0", r"artistic-2\.0", r"artistic licen[cs]e,? (?:version |v\.? ?)?2(?:\.0)?", "artistic", 1),
-    ("artistic-1.0", r"artistic-1\.0", r"(?:perl |clarified )?artistic licen[cs]e", "artistic", 2),
-    ("bsl-1.0", r"bsl-1\.0", r"boost software licen[cs]e", "boost software", 1),
-    ("zlib", r"zlib", r"zlib(?:/libpng)? licen[cs]e", "zlib", 1),
-    ("unlicense", r"unlicense", r"the unlicen[cs]e", "unlicen", 1),
-    ("wtfpl", r"wtfpl", r"do what the f[u*]ck you want to public licen[cs]e", "do what the f", 1),
-    ("cc0-1.0", r"cc0-1\.0", r"(?:cc0|creative commons zero)(?: 1\.0)?(?: universal)?", "cc0|creative commons", 1),
-    ("cc-by-4.0", r"cc-by-4\.0", r"(?:cc[- ]by|creative commons attribution)(?: licen[cs]e)?[- ]4\.0", "cc by|cc-by|creative commons", 1),
-    ("cc-by-3.0", r"cc-by-3\.0", r"(?:cc[- ]by|creative commons attribution)(?: licen[cs]e)?[- ]3\.0", "cc by|cc-by|creative commons", 1),
-    ("cc-by-sa-4.0", r"cc-by-sa-4\.0", r"(?:cc[- ]by[- ]sa|creative commons attribution-sharealike)[- ]4\.0", "cc by|cc-by|creative commons", 1),
-    ("cc-by-sa-3.0", r"cc-by-sa-3\.0", r"(?:cc[- ]by[- ]sa|creative commons attribution-sharealike)[- ]3\.0", "cc by|cc-by|creative commons", 1),
-    ("cc-by-nc-4.0", r"cc-by-nc-4\.0", r"(?:cc[- ]by[- ]nc|creative commons attribution-noncommercial)[- ]4\.0", "cc by|cc-by|creative commons", 1),
-    ("cc-by-nc-sa-4.0", r"cc-by-nc-sa-4\.0", r"(?:cc[- ]by[- ]nc[- ]sa|creative commons attribution-noncommercial-sharealike)[- ]4\.0", "cc by|cc-by|creative commons", 1),
-    ("cc-by-nd-4.0", r"cc-by-nd-4\.0", r"(?:cc[- ]by[- ]nd|creative commons attribution-noderiv(?:ative)?s)[- ]4\.0", "cc by|cc-by|creative commons", 1),
-    ("cc-by-nc-nd-4.0", r"cc-by-nc-nd-4\.0", r"(?:cc[- ]by[- ]nc[- ]nd|creative commons attribution-noncommercial-noderiv(?:ative)?s)[- ]4\.0", "cc by|cc-by|creative commons", 1),
-    ("ofl-1.1", r"ofl-1\.1", r"sil open font licen[cs]e", "open font", 1),
-    ("odbl-1.0", r"odbl-1\.0", r"open (?:data commons open )?database licen[cs]e", "database", 1),
-    ("pddl-1.0", r"pddl-1\.0", r"public domain dedication and licen[cs]e", "public domain", 1),
-    ("python-2.0", r"(?:psf-2\.0|python-2\.0)", r"python software foundation licen[cs]e", "python software", 1),
-    ("php-3.01", r"php-3\.01", r"php licen[cs]e", "php", 2),
-    ("ruby", r"ruby", r"ruby licen[cs]e", "ruby", 2),
-    ("openssl", r"openssl", r"openssl licen[cs]e", "openssl", 1),
-    ("postgresql", r"postgresql", r"postgresql licen[cs]e", "postgresql", 1),
-    ("eupl-1.2", r"eupl-1\.2", r"european union public licen[cs]e", "european union public", 1),
-    ("ms-pl", r"ms-pl", r"microsoft public licen[cs]e", "microsoft public", 1),
-    ("bsl-business", r"busl-1\.1", r"business source licen[cs]e", "business source", 1),
-    ("sspl-1.0", r"sspl-1\.0", r"server side public licen[cs]e", "server side public", 1),
-    ("proprietary", r"licenseref-proprietary", r"(?:proprietary|commercial) licen[cs]e", "licen", 4),
+    ("apache-2.0", r"apache-2\.0(?:-only)?", r"apache(?: software)? licen[cs]e,? ?(?:version|v\.?)? ?2(?:\.0)?\b", 1),
+    ("apache-1.1", r"apache-1\.1", r"apache(?: software)? licen[cs]e,? ?(?:version|v\.?)? ?1\.1", 1),
+    ("mit", r"mit", r"(?:mit|expat) licen[cs]e", 2),
+    ("mit-0", r"mit-0", r"mit no attribution(?: licen[cs]e)?", 1),
+    ("x11", r"x11", r"(?:mit/)?x11 licen[cs]e", 2),
+    ("bsd-2-clause", r"bsd-2-clause", r"(?:simplified|freebsd|(?:2|two)[- ]clause) bsd licen[cs]e", 1),
+    ("bsd-3-clause", r"bsd-3-clause", r"(?:new|modified|revised|(?:3|three)[- ]clause) bsd licen[cs]e", 1),
+    ("bsd-4-clause", r"bsd-4-clause", r"(?:original|(?:4|four)[- ]clause) bsd licen[cs]e", 1),
+    ("bsd", r"0bsd", r"(?:zero[- ]clause )?bsd(?:-style)? licen[cs]e", 3),
+    ("isc", r"isc", r"isc licen[cs]e", 2),
+    ("gpl-2.0", r"gpl-2\.0(?:-only|-or-later|\+)?", r"(?:gnu )?(?:general public licen[cs]e|gpl),? ?(?:version |v\.? ?)?2(?:\.0)?\b", 1),
+    ("gpl-3.0", r"gpl-3\.0(?:-only|-or-later|\+)?", r"(?:gnu )?(?:general public licen[cs]e|gpl),? ?(?:version |v\.? ?)?3(?:\.0)?\b", 1),
+    ("gpl", r"gpl", r"gnu general public licen[cs]e", 3),
+    ("lgpl-2.1", r"lgpl-2\.1(?:-only|-or-later|\+)?", r"(?:gnu )?(?:lesser general public licen[cs]e|lgpl),? ?(?:version |v\.? ?)?2\.1", 1),
+    ("lgpl-3.0", r"lgpl-3\.0(?:-only|-or-later|\+)?", r"(?:gnu )?(?:lesser general public licen[cs]e|lgpl),? ?(?:version |v\.? ?)?3(?:\.0)?\b", 1),
+    ("lgpl", r"lgpl", r"gnu (?:lesser|library) general public licen[cs]e", 2),
+    ("agpl-3.0", r"agpl-3\.0(?:-only|-or-later|\+)?", r"(?:gnu )?(?:affero general public licen[cs]e|agpl),? ?(?:version |v\.? ?)?3(?:\.0)?\b", 1),
+    ("agpl", r"agpl", r"gnu affero general public licen[cs]e", 2),
+    ("mpl-1.1", r"mpl-1\.1", r"mozilla public licen[cs]e,? (?:version |v\.? ?)?1\.1", 1),
+    ("mpl-2.0", r"mpl-2\.0", r"mozilla public licen[cs]e,? (?:version |v\.? ?)?2(?:\.0)?", 1),
+    ("epl-1.0", r"epl-1\.0", r"eclipse public licen[cs]e(?:,? -? ?(?:version |v\.? ?)?1(?:\.0)?)", 1),
+    ("epl-2.0", r"epl-2\.0", r"eclipse public licen[cs]e(?:,? -? ?(?:version |v\.? ?)?2(?:\.0)?)", 1),
+    ("cddl-1.0", r"cddl-1\.0", r"common development and distribution licen[cs]e", 1),
+    ("cpl-1.0", r"cpl-1\.0", r"common public licen[cs]e", 1),
+    ("artistic-2.0", r"artistic-2\.0", r"artistic licen[cs]e,? (?:version |v\.? ?)?2(?:\.0)?", 1),
+    ("artistic-1.0", r"artistic-1\.0", r"(?:perl |clarified )?artistic licen[cs]e", 2),
+    ("bsl-1.0", r"bsl-1\.0", r"boost software licen[cs]e", 1),
+    ("zlib", r"zlib", r"zlib(?:/libpng)? licen[cs]e", 1),
+    ("unlicense", r"unlicense", r"the unlicen[cs]e", 1),
+    ("wtfpl", r"wtfpl", r"do what the f[u*]ck you want to public licen[cs]e", 1),
+    ("cc0-1.0", r"cc0-1\.0", r"(?:cc0|creative commons zero)(?: 1\.0)?(?: universal)?", 1),
+    ("cc-by-4.0", r"cc-by-4\.0", r"(?:cc[- ]by|creative commons attribution)(?: licen[cs]e)?[- ]4\.0", 1),
+    ("cc-by-3.0", r"cc-by-3\.0", r"(?:cc[- ]by|creative commons attribution)(?: licen[cs]e)?[- ]3\.0", 1),
+    ("cc-by-sa-4.0", r"cc-by-sa-4\.0", r"(?:cc[- ]by[- ]sa|creative commons attribution-sharealike)[- ]4\.0", 1),
+    ("cc-by-sa-3.0", r"cc-by-sa-3\.0", r"(?:cc[- ]by[- ]sa|creative commons attribution-sharealike)[- ]3\.0", 1),
+    ("cc-by-nc-4.0", r"cc-by-nc-4\.0", r"(?:cc[- ]by[- ]nc|creative commons attribution-noncommercial)[- ]4\.0", 1),
+    ("cc-by-nc-sa-4.0", r"cc-by-nc-sa-4\.0", r"(?:cc[- ]by[- ]nc[- ]sa|creative commons attribution-noncommercial-sharealike)[- ]4\.0", 1),
+    ("cc-by-nd-4.0", r"cc-by-nd-4\.0", r"(?:cc[- ]by[- ]nd|creative commons attribution-noderiv(?:ative)?s)[- ]4\.0", 1),
+    ("cc-by-nc-nd-4.0", r"cc-by-nc-nd-4\.0", r"(?:cc[- ]by[- ]nc[- ]nd|creative commons attribution-noncommercial-noderiv(?:ative)?s)[- ]4\.0", 1),
+    ("ofl-1.1", r"ofl-1\.1", r"sil open font licen[cs]e", 1),
+    ("odbl-1.0", r"odbl-1\.0", r"open (?:data commons open )?database licen[cs]e", 1),
+    ("pddl-1.0", r"pddl-1\.0", r"public domain dedication and licen[cs]e", 1),
+    ("python-2.0", r"(?:psf-2\.0|python-2\.0)", r"python software foundation licen[cs]e", 1),
+    ("php-3.01", r"php-3\.01", r"php licen[cs]e", 2),
+    ("ruby", r"ruby", r"ruby licen[cs]e", 2),
+    ("openssl", r"openssl", r"openssl licen[cs]e", 1),
+    ("postgresql", r"postgresql", r"postgresql licen[cs]e", 1),
+    ("eupl-1.2", r"eupl-1\.2", r"european union public licen[cs]e", 1),
+    ("ms-pl", r"ms-pl", r"microsoft public licen[cs]e", 1),
+    ("bsl-business", r"busl-1\.1", r"business source licen[cs]e", 1),
+    ("sspl-1.0", r"sspl-1\.0", r"server side public licen[cs]e", 1),
+    ("proprietary", r"licenseref-proprietary", r"(?:proprietary|commercial) licen[cs]e", 4),
 )
 
 #: Ways of granting, each a template with its own precedence and confidence.
 NOTICES = (
-    (0, r"spdx-license-identifier:\s*{id}(?![\w.+-])", "spdx-license-identifier", 1.0),
-    (10, r"(?:dual[- ])?licen[cs]ed\s+(?:to\s+\w+\s+)?(?:under|according to)\s+(?:the\s+)?(?:terms\s+(?:and conditions\s+)?of\s+)?(?:the\s+)?(?:{name}|{id}(?![\w+-]))", "licen", 0.95),
-    (20, r"(?:released|distributed|published|made available|provided)\s+under\s+(?:the\s+)?(?:terms\s+of\s+)?(?:the\s+)?{name}", "under", 0.9),
-    (30, r"subject\s+to\s+the\s+(?:terms\s+(?:and conditions\s+)?of\s+the\s+)?{name}", "subject", 0.85),
-    (40, r"(?:under|see|read|accept)\s+the\s+{name}(?:\s+(?:for|text|file|below))", "the", 0.7),
-    (50, r"(?<!\w){name}", None, 0.6),
+    (0, r"spdx-license-identifier:\s*{id}(?![\w.+-])", 1.0),
+    (10, r"(?:dual[- ])?licen[cs]ed\s+(?:to\s+\w+\s+)?(?:under|according to)\s+(?:the\s+)?(?:terms\s+(?:and conditions\s+)?of\s+)?(?:the\s+)?(?:{name}|{id}(?![\w+-]))", 0.95),
+    (20, r"(?:released|distributed|published|made available|provided)\s+under\s+(?:the\s+)?(?:terms\s+of\s+)?(?:the\s+)?{name}", 0.9),
+    (30, r"subject\s+to\s+the\s+(?:terms\s+(?:and conditions\s+)?of\s+the\s+)?{name}", 0.85),
+    (40, r"(?:under|see|read|accept)\s+the\s+{name}(?:\s+(?:for|text|file|below))", 0.7),
+    (50, r"(?<!\w){name}", 0.6),
 )
 
-#: Notices without a family of their own.
-SINGLES = (
-    ("public-domain", r"(?:placed|released|dedicated)\s+(?:in|into|to)\s+the\s+public\s+domain", "public domain", 15, 0.8),
-    ("all-rights-reserved", r"all\s+rights\s+reserved", "rights", 60, 0.5),
-    ("bsd", r"redistribution\s+and\s+use\s+in\s+source\s+and\s+binary\s+forms", "redistribution", 12, 0.9),
-    ("mit", r"permission\s+is\s+hereby\s+granted,?\s+free\s+of\s+charge", "hereby granted", 12, 0.9),
-    ("isc", r"permission\s+to\s+use,\s+copy,\s+modify,\s+and(?:/or)?\s+distribute", "permission to use", 12, 0.9),
-    ("gpl", r"free\s+software\s+foundation;?\s+either\s+version", "free software foundation", 12, 0.9),
+#: Signature texts: label, words of the text (a space is any white space, the rest a regular expression), priority, confidence.
+SIGNATURES = (
+    ("public-domain", r"(?:placed|released|dedicated) (?:in|into|to) the public domain", 15, 0.8),
+    ("public-domain", r"no copyright is claimed", 20, 0.6),
+    ("all-rights-reserved", r"all rights reserved", 60, 0.5),
+    ("bsd", r"redistribution and use in source and binary forms", 12, 0.9),
+    ("bsd-3-clause", r"neither the names? of .{1,80}? nor the names of (?:its|any|their) contributors may be used to endorse", 11, 0.95),
+    ("bsd-4-clause", r"all advertising materials mentioning features or use of this software must display", 10, 0.95),
+    ("bsd-2-clause", r"redistributions in binary form must reproduce the above copyright notice", 13, 0.8),
+    ("bsd", r"redistributions of source code must retain the above copyright notice", 13, 0.8),
+    ("mit", r"permission is hereby granted,? free of charge", 12, 0.9),
+    ("mit", r"the above copyright notice and this permission notice (?:\(including the next paragraph\) )?shall be included in all copies", 13, 0.9),
+    ("mit", r"to deal in the software without restriction", 14, 0.8),
+    ("x11", r"shall not be used in advertising or otherwise to promote the sale,? use or other dealings in this software", 11, 0.9),
+    ("isc", r"permission to use, copy, modify, and(?:/or)? distribute", 12, 0.9),
+    ("isc", r"the software is provided \W{0,3}as is\W{0,3} and the author disclaims all warranties", 13, 0.85),
+    ("apache-2.0", r"you may obtain a copy of the license at https?://www\.apache\.org/licenses/license-2\.0", 9, 1.0),
+    ("apache-2.0", r"unless required by applicable law or agreed to in writing, software distributed under the license", 12, 0.9),
+    ("apache-2.0", r"licensed to the apache software foundation", 10, 0.95),
+    ("apache-1.1", r"this product includes software developed by the apache software foundation", 11, 0.85),
+    ("gpl", r"free software foundation;? either version", 12, 0.9),
+    ("gpl-2.0", r"either version 2 of the license, or \(at your option\) any later version", 11, 0.95),
+    ("gpl-3.0", r"either version 3 of the license, or \(at your option\) any later version", 11, 0.95),
+    ("gpl", r"you should have received a copy of the gnu general public license", 13, 0.9),
+    ("gpl", r"51 franklin (?:street|st), fifth floor", 40, 0.5),
+    ("gpl", r"the licenses for most software (?:and other practical works )?are designed to take away your freedom", 12, 0.95),
+    ("gpl-3.0", r"\W?propagate\W? a work means to do anything with it", 12, 0.95),
+    ("lgpl", r"you should have received a copy of the gnu (?:lesser|library) general public license", 11, 0.95),
+    ("lgpl-2.1", r"either version 2\.1 of the license, or \(at your option\) any later version", 10, 0.95),
+    ("lgpl", r"a program that contains no derivative of any portion of the library", 12, 0.9),
+    ("agpl", r"you should have received a copy of the gnu affero general public license", 11, 0.95),
+    ("agpl-3.0", r"interacting with it remotely through a computer network", 12, 0.9),
+    ("gpl-classpath", r"as a special exception, the copyright holders of this library give you permission to link", 12, 0.85),
+    ("gpl-font", r"if you create a document which uses this font", 12, 0.85),
+    ("mpl-2.0", r"this source code form is subject to the terms of the mozilla public license, v\. ?2\.0", 9, 1.0),
+    ("mpl-1.1", r"the contents of this file are subject to the mozilla public license version 1\.1", 9, 1.0),
+    ("mpl-2.0", r"incompatible with secondary licenses", 20, 0.8),
+    ("epl-2.0", r"https?://www\.eclipse\.org/legal/epl-2\.0", 12, 0.95),
+    ("epl-1.0", r"https?://www\.eclipse\.org/legal/epl-v10\.html", 12, 0.95),
+    ("epl", r"this program and the accompanying materials are made available under the terms of the eclipse", 14, 0.85),
+    ("cddl-1.0", r"you may not use this file except in compliance with the common development", 12, 0.9),
+    ("cddl-1.0", r"when distributing covered code, include this cddl header", 12, 0.95),
+    ("cpl-1.0", r"any use, reproduction or distribution of the program constitutes recipient'?s acceptance", 16, 0.7),
+    ("bsl-1.0", r"any person or organization obtaining a copy of the software and accompanying documentation covered by this license", 12, 0.95),
+    ("zlib", r"this software is provided \W{0,3}as-is\W{0,3}, without any express or implied warranty", 12, 0.9),
+    ("zlib", r"the origin of this software must not be misrepresented", 12, 0.9),
+    ("unlicense", r"this is free and unencumbered software released into the public domain", 9, 1.0),
+    ("unlicense", r"anyone is free to copy, modify, publish, use, compile, sell, or distribute this software", 11, 0.95),
+    ("wtfpl", r"everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed", 12, 0.9),
+    ("beerware", r"if we meet some day,? and you think this stuff is worth it", 12, 0.95),
+    ("cc0-1.0", r"has waived all copyright and related or neighboring rights", 12, 0.95),
+    ("cc0-1.0", r"https?://creativecommons\.org/publicdomain/zero/1\.0", 10, 1.0),
+    ("cc-by-4.0", r"https?://creativecommons\.org/licenses/by/4\.0", 10, 1.0),
+    ("cc-by-3.0", r"https?://creativecommons\.org/licenses/by/3\.0", 10, 1.0),
+    ("cc-by-sa-4.0", r"https?://creativecommons\.org/licenses/by-sa/4\.0", 10, 1.0),
+    ("cc-by-sa-3.0", r"https?://creativecommons\.org/licenses/by-sa/3\.0", 10, 1.0),
+    ("cc-by-nc-4.0", r"https?://creativecommons\.org/licenses/by-nc/4\.0", 10, 1.0),
+    ("cc-by-nc-sa-4.0", r"https?://creativecommons\.org/licenses/by-nc-sa/4\.0", 10, 1.0),
+    ("cc-by-nd-4.0", r"https?://creativecommons\.org/licenses/by-nd/4\.0", 10, 1.0),
+    ("cc-by-nc-nd-4.0", r"https?://creativecommons\.org/licenses/by-nc-nd/4\.0", 10, 1.0),
+    ("ofl-1.1", r"the fonts, including any derivative works, can be bundled, embedded, redistributed", 12, 0.95),
+    ("ofl-1.1", r"with reserved font name", 20, 0.8),
+    ("artistic", r"the intent of this document is to state the conditions under which a package may be copied", 12, 0.9),
+    ("artistic-2.0", r"you are permitted to use the standard version and create and use modified versions", 12, 0.85),
+    ("python-2.0", r"psf is making python (?:\S+ )?available to licensee on an \W{0,3}as is\W{0,3} basis", 12, 0.95),
+    ("openssl", r"this product includes software developed by the openssl project", 11, 0.95),
+    ("openssl", r"this product includes cryptographic software written by eric young", 11, 0.95),
+    ("php-3.01", r"this product includes php software, freely available from", 12, 0.95),
+    ("postgresql", r"in no event shall the university of california be liable to any party for direct, indirect, special", 15, 0.7),
+    ("ncsa", r"to deal with the software without restriction, including without limitation", 12, 0.8),
+    ("eupl-1.2", r"licensed under the eupl", 11, 0.85),
+    ("ms-pl", r"if you use the software, you accept this license\. if you do not accept the license, do not use the software", 13, 0.8),
+    ("bsl-business", r"change date .{0,60}?change license", 18, 0.7),
+    ("sspl-1.0", r"offering the functionality of the program or modified version to third parties as a service", 14, 0.9),
+    ("elastic-2.0", r"you may not provide the software to third parties as a hosted or managed service", 12, 0.9),
+    ("commons-clause", r"the license does not grant to you, the right to sell the software", 12, 0.95),
+    ("llama-community", r"llama \d(?:\.\d)? community license", 12, 0.9),
+    ("rail", r"(?:open|big(?:science|code)) ?(?:open)?rail(?:-m)? license", 12, 0.85),
+    ("proprietary", r"unauthori[sz]ed copying of this file,? via any medium,? is strictly prohibited", 14, 0.9),
+    ("proprietary", r"proprietary and confidential", 30, 0.6),
+    ("proprietary", r"may not be (?:reproduced|redistributed|copied),? .{0,60}?without (?:the )?(?:prior )?(?:express )?written (?:permission|consent)", 25, 0.7),
+    ("warranty-disclaimer", r"without even the implied warranty of merchantability or fitness for a particular purpose", 50, 0.4),
 )
 
-#: A text holding none of these cannot match any rule, so the keyword pass is skipped.
-GATES = ("licen", "spdx", "public domain", "rights", "redistribution", "hereby", "permission", "foundation", "gpl", "cc0", "cc by", "cc-by", "creative commons", "no attribution")
+
+def _needs(tree) -> list[frozenset]:
+    """Sets of letters of a parsed expression: every match holds one member of each set."""
+    out, run = [], ""
+    for op, arg in [*tree, (None, None)]:
+        if str(op) == "LITERAL":
+            run += chr(arg)
+            continue
+        if run:
+            out.append(frozenset({run}))
+            run = ""
+        match str(op):
+            case "SUBPATTERN":
+                out += _needs(arg[-1])
+            case "MAX_REPEAT" | "MIN_REPEAT" if arg[0] > 0:
+                out += _needs(arg[2])
+            case "BRANCH":
+                ways = [_needs(way) for way in arg[1]]
+                if all(ways):
+                    out.append(frozenset().union(*(max(way, key=_strength) for way in ways)))
+    return out
+
+
+def _strength(words: frozenset) -> tuple[int, int]:
+    return min(map(len, words)), -len(words)
+
+
+def keywords(pattern: str) -> tuple[frozenset, ...]:
+    """The two strongest sets of letters that every match of the pattern must hold one of."""
+    return tuple(sorted(set(_needs(_parser.parse(pattern))), key=lambda w: (*_strength(w), sorted(w)))[-2:])
 
 
 @lru_cache(1)
 def rules() -> list[tuple[int, str, re.Pattern, tuple[frozenset, ...], float]]:
     """All rules in order of priority: (priority, label, pattern, keyword sets each of which must be hit, confidence)."""
     out = []
-    for label, ident, name, keyword, family in FAMILIES:
-        letters = {re.split(r"[^a-z0-9]", way)[0] for way in re.sub(r"\(\?:|[\\)]", "", ident).split("|")}
-        own = frozenset({*keyword.split("|"), *letters} - {""})
-        for at, template, word, confidence in NOTICES:
-            pattern = template.replace("{name}", name).replace("{id}", ident)
-            out.append((at + family, label, re.compile(pattern), (own, *([frozenset({word})] if word else [])), confidence))
-    for label, pattern, keyword, at, confidence in SINGLES:
-        out.append((at, label, re.compile(pattern), (frozenset({keyword}),), confidence))
-    return sorted(out, key=lambda r: (r[0], r[1], r[2].pattern))
+    for label, ident, name, family in FAMILIES:
+        for at, template, confidence in NOTICES:
+            out.append((at + family, label, template.replace("{name}", name).replace("{id}", ident), confidence))
+    for label, words, at, confidence in SIGNATURES:
+        out.append((at, label, words.replace(" ", r"\s+"), confidence))
+    return sorted(((at, label, re.compile(pattern, re.DOTALL), keywords(pattern), confidence) for at, label, pattern, confidence in out), key=lambda r: (r[0], r[1], r[2].pattern))
+
+
+@lru_cache(1)
+def gates() -> list[str]:
+    """Letters one of which every match of any rule holds: the strongest sets' words that hold no other one."""
+    words = {w for rule in rules() for w in rule[3][-1]}
+    return sorted((w for w in words if not any(x != w and x in w for x in words)), key=len)
 
 
 @lru_cache(1)
@@ -132,14 +240,14 @@ def _automaton():
     return auto
 
 
-def detect(low: str) -> list[tuple[int, int, str, float]]:
-    """Detections (start, end, label, confidence) that survive suppression, by start."""
-    if not any(g in low for g in GATES):
+def detect(low: str, filtered: bool = True) -> list[tuple[int, int, str, float]]:
+    """Detections (start, end, label, confidence) that survive suppression, by start; the same without the keyword filter."""
+    if filtered and not any(g in low for g in gates()):
         return []
     present = {word for _, word in _automaton().iter(low)}
     found = []
     for at, label, pattern, needs, confidence in rules():
-        if not all(need & present for need in needs):
+        if filtered and not all(need & present for need in needs):
             continue
         found += [(at, -(m.end() - m.start()), m.start(), m.end(), label, confidence) for m in pattern.finditer(low)]
     kept: list[tuple[int, int, str, float]] = []

@@ -3,13 +3,16 @@
 Inference (ALERGIA style): labelled credentials of one format build a prefix
 tree with counts; states whose stopping and branching frequencies differ by
 less than a Hoeffding bound, recursively, are merged (red-blue order). The
-result is a probabilistic automaton. Every candidate token of a text is scored
-by its log-likelihood per symbol under each automaton and kept under the best
-format when it beats that format's threshold (from held-back labelled
-credentials). A token that is no credential as a whole is scored in parts, from
-each separator or format prefix to each later separator.
-
-Edge cases: a null or empty text has no spans; tokens of any length are scored;
+result is a probabilistic automaton. A candidate is a stretch of a run of
+credential symbols, from the run's start, a separator or a format's prefix to a
+separator or the run's end, no shorter and no longer than the labelled
+credentials. Every candidate is scored by its log-likelihood per symbol under
+each automaton; those above a format's threshold (from held-back labelled
+credentials) are taken by the margin over it, and none overlaps one taken
+before. A format gives no likelihood to less than its shortest example, and
+spans inside base spans are reported too.
+
+Edge cases: a null or empty text has no spans; runs of any length are scored;
 equal rows give equal results; null ids pass through; other columns are ignored.
 """
 
@@ -51,12 +54,15 @@ FORMATS = (
     ("digest", ("",), "0123456789abcdef", 32, 64),
 )
 
-CANDIDATE = re.compile(r"[A-Za-z0-9_.=+/-]{16,}", re.ASCII)
+#: Length of the shortest and the longest credential that any format has.
+_SHORTEST = min(len(p) + shortest for _, ps, _, shortest, _ in FORMATS for p in ps)
+_LONGEST = max(len(p) + longest for _, ps, _, _, longest in FORMATS for p in ps)
+#: Runs of credential symbols; a shorter one holds no candidate.
+CANDIDATE = re.compile(r"[A-Za-z0-9_.=+/-]{%d,}" % _SHORTEST, re.ASCII)
 
 #: Where a credential may start or end inside a run: at a separator, or at a format's prefix.
-_CUT = re.compile(r"[=/.]+")
+_CUT = re.compile(r"[=/.+-]+")
 _PREFIX = re.compile("(?=" + "|".join(re.escape(p) for _, ps, *_ in FORMATS for p in ps if p) + ")")
-_LONGEST = max(len(p) + longest for _, ps, _, _, longest in FORMATS for p in ps)
 
 
 def labelled_examples(per_format: int = 240, seed: int = 7) -> list[tuple[str, str]]:
@@ -95,7 +101,7 @@ class Automaton:
         return (total + step[s][0]) / max(1, len(text))
 
 
-def infer(samples: list[str], alpha: float = 0.05, least: int = 12, alphabet: int = 96) -> Automaton:
+def infer(samples: list[str], alpha: float = 0.05, least: int = 4, alphabet: int = 96) -> Automaton:
     """Merge statistically compatible prefix-tree states of the samples into an automaton."""
     total, stops, kids = [0], [0], [{}]
     for text in samples:
@@ -124,7 +130,7 @@ def infer(samples: list[str], alpha: float = 0.05, least: int = 12, alphabet: in
             out[k] = out.get(k, 0) + n
         return out
 
-    def compatible(a: int, b: int, depth: int = 0) -> bool:
+    def compatible(a: int, b: int) -> bool:
         if total[a] < 1 or total[b] < 1:
             return True
         if differ(stops[a], total[a], stops[b], total[b]):
@@ -134,7 +140,7 @@ def infer(samples: list[str], alpha: float = 0.05, least: int = 12, alphabet: in
             return False
         if total[a] >= least and total[b] >= least and any(differ(count[a].get(c, 0), total[a], count[b].get(c, 0), total[b]) for c in {*count[a], *count[b]}):
             return False
-        return depth > 40 or all(compatible(kids[a][c], kids[b][c], depth + 1) for c in kids[a].keys() & kids[b].keys() if kids[a][c] != kids[b][c])
+        return all(compatible(kids[a][c], kids[b][c]) for c in kids[a].keys() & kids[b].keys() if kids[a][c] != kids[b][c])
 
     def fold(a: int, b: int) -> None:
         """Add b's subtree to a."""
@@ -157,7 +163,7 @@ def infer(samples: list[str], alpha: float = 0.05, least: int = 12, alphabet: in
         if not blue:
             break
         r, c, t = max(blue, key=lambda e: (total[e[2]], -e[2]))
-        target = next((q for q in red if q != 0 and total[t] < least * 64 and compatible(q, t)), None)
+        target = next((q for q in red if q != 0 and compatible(q, t)), None)
         if target is None:
             red.append(t)
             done.add(t)
@@ -181,21 +187,18 @@ def models() -> dict[str, tuple[Automaton, float, int]]:
     return out
 
 
+def likeliest(token: str) -> tuple[float, str | None]:
+    """The largest margin of a format's log-likelihood over its threshold, summed over the symbols, and the format; (-inf, None) if none is likely enough."""
+    best: tuple[float, str | None] = (-math.inf, None)
+    for name, (auto, least, shortest) in models().items():
+        if len(token) >= shortest and (margin := (auto.score(token) - least) * len(token)) >= 0 and margin > best[0]:
+            best = (margin, name)
+    return best
 
 
 def classify(token: str) -> str | None:
     """The format that explains the token best, or None if none is likely enough."""
-    digits = sum(c.isdigit() for c in token)
-    if digits == len(token) or digits == 0 and token.islower():
-        return None  # a number or plain words: no format here has such bodies
-    best, kind = -math.inf, None
-    for name, (auto, least, shortest) in models().items():
-        if len(token) < shortest:
-            continue
-        s = auto.score(token)
-        if s >= least and s > best:
-            best, kind = s, name
-    return kind
+    return likeliest(token)[1]
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -211,37 +214,28 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], order[s[2]], s[1]))
 
 
-def glued_spans(token: str) -> list[tuple[int, int, str]]:
-    """Credentials glued into a run that is none as a whole: from a separator or a prefix to a separator or the end, the longest that a format explains; none lies in another."""
-    cuts = [(m.start(), m.end()) for m in _CUT.finditer(token)]
-    starts = sorted({0, *(b for _, b in cuts), *(m.start() for m in _PREFIX.finditer(token))})
-    ends = [a for a, _ in cuts] + [len(token)]
-    out: list[tuple[int, int, str]] = []
+def likely_spans(run: str) -> list[tuple[int, int, str]]:
+    """Credentials in a run of credential symbols: the candidates that a format explains, by margin and then length, none overlapping a better one."""
+    cuts = [(m.start(), m.end()) for m in _CUT.finditer(run)]
+    starts = sorted({0, *(b for _, b in cuts), *(m.start() for m in _PREFIX.finditer(run))} - {a for a, _ in cuts})
+    ends = sorted({*(a for a, _ in cuts), len(run)} - {b for _, b in cuts})
+    found = []
     for start in starts:
-        low, high = bisect_left(ends, start + 16), bisect_right(ends, start + _LONGEST)
-        for end in reversed(ends[low:high]):
-            if out and end <= out[-1][1]:
-                break
-            if kind := classify(token[start:end]):
-                out.append((start, end, kind))
-                break
-    return out
+        for end in ends[bisect_left(ends, start + _SHORTEST) : bisect_right(ends, start + _LONGEST)]:
+            margin, kind = likeliest(run[start:end])
+            if kind:
+                found.append((-margin, start - end, start, end, kind))
+    out: list[tuple[int, int, str]] = []
+    for _, _, start, end, kind in sorted(found):
+        if all(end <= a or b <= start for a, b, _ in out):
+            out.append((start, end, kind))
+    return sorted(out)
 
 
 def spans_of(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
-    """Base spans, and all spans: the method adds candidates that no base span covers."""
+    """Base spans, and all spans: the method adds the likely credentials."""
     base = base_spans(text)
-    extra = []
-    for m in CANDIDATE.finditer(text):
-        token = m.group().strip(".=")
-        start = m.start() + m.group().index(token) if token else m.start()
-        end = start + len(token)
-        if len(token) < 16 or any(s <= start and end <= e for s, e, _ in base):
-            continue
-        if kind := classify(token):
-            extra.append((start, end, kind))
-        else:
-            extra += [(start + a, start + b, k) for a, b, k in glued_spans(token) if not any(s <= start + a and start + b <= e for s, e, _ in base)]
+    extra = [(m.start() + a, m.start() + b, kind) for m in CANDIDATE.finditer(text) for a, b, kind in likely_spans(m.group())]
     order = {k: i for i, k in enumerate(KINDS)}
     return base, sorted(base + extra, key=lambda s: (s[0], order.get(s[2], 9), s[2], s[1]))
 

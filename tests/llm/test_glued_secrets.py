@@ -1,4 +1,6 @@
-"""Credentials glued to other text by separators."""
+"""Credentials among other symbols, against all candidates scored one by one."""
+
+import random
 
 import pytest
 
@@ -14,9 +16,49 @@ def test_glued_credentials_are_masked(glue):
         assert text not in out and text[-12:] not in out, (kind, glue, out)
 
 
+def test_boundaries():
+    token = next(t for k, t in HELD if k == "github")
+    assert secrets.spans_of(f"x={token}")[1] == [(2, 2 + len(token), "github")]
+    text = f"https://host.example/q?k={token}&z=1"
+    assert secrets.spans_of(text)[1] == [(text.index(token), text.index(token) + len(token), "github")]
+    inside = f"password={token}"
+    assert (9, 9 + len(token), "github") in secrets.spans_of(inside)[1] and (0, len(inside), "assign") in secrets.spans_of(inside)[1]
+
+
 def test_two_in_one_run_and_plain_paths():
     a, b = [t for k, t in HELD if k == "github"][:2]
     out = secrets.redact(f"x/{a}/y/{b}/z")
     assert a not in out and b not in out
     for plain in ("https://example.com/docs/guide/getting-started/index.html", "v1.2.3/release-notes/2024-01-02=final"):
         assert secrets.redact(plain) == plain
+
+
+def test_spans_against_all_candidates():
+    """Every candidate of every run scored under every automaton, taken by margin."""
+    rng = random.Random(4)
+    tokens = [t for _, t in HELD] + ["plain", "v1.2", "0123456789" * 4, "abcdef" * 5, "some-long-identifier_name", "=", "/", "Q" * 30]
+    for _ in range(40):
+        text = "".join(rng.choice(tokens) + rng.choice([" ", "=", "/", ".", "-", ""]) for _ in range(6))
+        want = []
+        at = 0
+        while at < len(text):
+            end = at
+            while end < len(text) and text[end].isascii() and (text[end].isalnum() or text[end] in "_.=+/-"):
+                end += 1
+            run = text[at:end]
+            starts = {0} | {i for i in range(len(run)) if (i and run[i - 1] in "=/.+-") or any(run.startswith(p, i) for _, ps, *_ in secrets.FORMATS for p in ps if p)}
+            ends = {len(run)} | {i for i in range(len(run)) if run[i] in "=/.+-"}
+            found = []
+            for a in starts:
+                for b in ends:
+                    scores = [((auto.score(run[a:b]) - least) * (b - a), name) for name, (auto, least, shortest) in secrets.models().items() if shortest <= b - a <= secrets._LONGEST]
+                    scores = [x for x in scores if x[0] >= 0]
+                    if scores and not (run[a] in "=/.+-" or run[b - 1] in "=/.+-"):
+                        margin = max(x[0] for x in scores)
+                        found.append((-margin, a - b, a, b, next(n for m, n in scores if m == margin)))
+            for _, _, a, b, name in sorted(found):
+                if all(b <= x or y <= a for x, y, _ in [(s[0] - at, s[1] - at, s[2]) for s in want if s[0] >= at]):
+                    want.append((at + a, at + b, name))
+            at = max(end, at + 1)
+        base, spans = secrets.spans_of(text)
+        assert sorted(s for s in spans if s[2] not in secrets.KINDS) == sorted(want)
