@@ -185,6 +185,12 @@ def _needs(tree) -> list[frozenset]:
         if str(op) == "LITERAL":
             run += chr(arg)
             continue
+        if str(op) == "BRANCH":  # what stands before goes with each way: the parser takes common first letters out
+            ways = [_needs([*(("LITERAL", ord(c)) for c in run), *way]) for way in arg[1]]
+            if all(ways):
+                out.append(frozenset().union(*(max(way, key=_strength) for way in ways)))
+                run = ""
+                continue
         if run:
             out.append(frozenset({run}))
             run = ""
@@ -193,15 +199,16 @@ def _needs(tree) -> list[frozenset]:
                 out += _needs(arg[-1])
             case "MAX_REPEAT" | "MIN_REPEAT" if arg[0] > 0:
                 out += _needs(arg[2])
-            case "BRANCH":
-                ways = [_needs(way) for way in arg[1]]
-                if all(ways):
-                    out.append(frozenset().union(*(max(way, key=_strength) for way in ways)))
     return out
 
 
-def _strength(words: frozenset) -> tuple[int, int]:
-    return min(map(len, words)), -len(words)
+#: Words too common to tell much.
+EVERYDAY = frozenset("the under for file below text by worth released provided distributed available published subject document contents written received".split())
+
+
+def _strength(words: frozenset) -> tuple[int, int, int]:
+    plain = {w.strip() for w in words}
+    return -len(plain & EVERYDAY), min(map(len, plain)), -len(words)
 
 
 def keywords(pattern: str) -> tuple[frozenset, ...]:

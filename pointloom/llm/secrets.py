@@ -217,8 +217,8 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def likely_spans(run: str) -> list[tuple[int, int, str]]:
     """Credentials in a run of credential symbols: the candidates that a format explains, by margin and then length, none overlapping a better one."""
     cuts = [(m.start(), m.end()) for m in _CUT.finditer(run)]
-    starts = sorted({0, *(b for _, b in cuts), *(m.start() for m in _PREFIX.finditer(run))} - {a for a, _ in cuts})
-    ends = sorted({*(a for a, _ in cuts), len(run)} - {b for _, b in cuts})
+    starts = sorted({0, *(b for _, b in cuts), *(m.start() for m in _PREFIX.finditer(run))})
+    ends = sorted({*(x for cut in cuts for x in cut), len(run)})  # some formats have bodies that may end in a separator
     found = []
     for start in starts:
         for end in ends[bisect_left(ends, start + _SHORTEST) : bisect_right(ends, start + _LONGEST)]:

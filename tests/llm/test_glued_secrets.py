@@ -46,14 +46,15 @@ def test_spans_against_all_candidates():
             while end < len(text) and text[end].isascii() and (text[end].isalnum() or text[end] in "_.=+/-"):
                 end += 1
             run = text[at:end]
-            starts = {0} | {i for i in range(len(run)) if (i and run[i - 1] in "=/.+-") or any(run.startswith(p, i) for _, ps, *_ in secrets.FORMATS for p in ps if p)}
-            ends = {len(run)} | {i for i in range(len(run)) if run[i] in "=/.+-"}
+            cut = lambda i: 0 <= i < len(run) and run[i] in "=/.+-"
+            starts = {0} | {i for i in range(len(run) + 1) if (cut(i - 1) and not cut(i)) or any(run.startswith(p, i) for _, ps, *_ in secrets.FORMATS for p in ps if p)}
+            ends = {len(run)} | {i for i in range(len(run)) if cut(i) != cut(i - 1)}
             found = []
             for a in starts:
                 for b in ends:
                     scores = [((auto.score(run[a:b]) - least) * (b - a), name) for name, (auto, least, shortest) in secrets.models().items() if shortest <= b - a <= secrets._LONGEST]
                     scores = [x for x in scores if x[0] >= 0]
-                    if scores and not (run[a] in "=/.+-" or run[b - 1] in "=/.+-"):
+                    if scores:
                         margin = max(x[0] for x in scores)
                         found.append((-margin, a - b, a, b, next(n for m, n in scores if m == margin)))
             for _, _, a, b, name in sorted(found):
