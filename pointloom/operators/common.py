@@ -1,19 +1,39 @@
-"""Shared pieces: hashed randomness, checkpoints, distributed ranks."""
+"""Shared pieces: hashed randomness, stored tables, distributed ranks."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the session's checkpoint folder; a temporary one only where none is set."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder (spark.checkpoint.dir); a temporary one only where that is unset and all runs on one machine."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pointloom-"))
-    return df.checkpoint(eager=True)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="pointloom-"))
+    return context.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as a table in the shared folder and read again: no lineage, and real sizes for the planner."""
+    path = f"{shared_folder(df.sparkSession)}/pointloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables that stored() gave; what is derived from them must not be read any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def uniform(*keys: str | Column, seed: int = 0) -> Column:
@@ -34,7 +54,7 @@ def ranked(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
     Range partitions are numbered inside, then shifted by the sizes of those before: no single task sees all rows."""
     cols = [F.col(c) for c in order]
     keys = df.select(*order).distinct().repartitionByRange(*cols).sortWithinPartitions(*cols)
-    keys = checkpointed(keys.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
+    keys = stored(keys.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
     sizes = sorted((r["_part"], r["n"]) for r in keys.groupBy("_part").agg(F.count("*").alias("n")).collect())  # one row a partition
     offsets, total = [], 0
     for part, n in sizes:

@@ -4,22 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import dropped, stored
+from pointloom.operators.common import dropped, stored
 
 #: Edges that one task turns into a forest; the number of tasks follows from the number of edges.
 EDGES = 500_000
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A star for each component of a partition's edges, around its least node."""
-    parent: dict[int, int] = {}
+    """A star for each component of a partition's edges, around its least node; nodes are numbers or structs of such."""
+    parent: dict = {}
+    kind = None
 
-    def root(x: int) -> int:
+    def root(x):
         top = x
         while (up := parent.get(top, top)) != top:
             top = up
@@ -27,17 +27,22 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parent[x], x = top, parent.get(x, x)
         return top
 
+    def nodes(column: pa.Array) -> list:
+        return list(zip(*(f.to_pylist() for f in column.flatten()))) if pa.types.is_struct(column.type) else column.to_pylist()
+
+    def column(found: list) -> pa.Array:
+        return pa.array([dict(zip((f.name for f in kind), x)) for x in found] if pa.types.is_struct(kind) else found, kind)
+
     for batch in batches:
-        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        kind = batch.schema.field(0).type
+        for u, v in zip(nodes(batch.column(0)), nodes(batch.column(1))):
             a, b = root(u), root(v)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-    nodes = list(parent)
-    for lo in range(0, len(nodes), 100_000):
-        part = np.array(nodes[lo : lo + 100_000], np.int64)
-        tops = np.array([root(x) for x in part.tolist()], np.int64)
-        far = part != tops
-        yield pa.RecordBatch.from_arrays([pa.array(part[far]), pa.array(tops[far])], names=["u", "v"])
+    known = list(parent)
+    for lo in range(0, len(known), 100_000):
+        pairs = [(x, top) for x in known[lo : lo + 100_000] if (top := root(x)) != x]
+        yield pa.RecordBatch.from_arrays([column([u for u, _ in pairs]), column([v for _, v in pairs])], names=["u", "v"])
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -67,7 +72,7 @@ def components(edges: DataFrame, most_rounds: int = 60, per_task: int = EDGES) -
     e = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v"))
     for _ in range(most_rounds):
         tasks = max(1, -(-e.count() // per_task))
-        stars = stored(e.repartition(tasks).mapInArrow(_forest, "u long, v long"))
+        stars = stored(e.repartition(tasks).mapInArrow(_forest, e.schema))
         dropped(e)
         if tasks == 1 or _settled(stars):
             leaves = stars.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -2,30 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.operators.common import checkpointed
-
-
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, component): the least node reachable, for every node on an edge (u, v).
-
-    Labels spread along edges and jump through pointers, with the lineage cut each round."""
-    both = checkpointed(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    label = checkpointed(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("u"), F.min("v")).alias("component")))
-    for _ in range(most_rounds):
-        spread = both.join(label.select(F.col("node").alias("v"), "component"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("_m"))
-        step = label.join(spread, "node").select("node", F.least("component", "_m").alias("component"))
-        jump = step.alias("a").join(step.alias("b"), F.col("a.component") == F.col("b.node")).select(F.col("a.node").alias("node"), F.col("b.component").alias("component"))
-        new = checkpointed(jump)
-        changed = new.alias("n").join(label.alias("o"), "node").where("n.component <> o.component").limit(1).count()
-        label = new
-        if not changed:
-            return label
-    raise RuntimeError("components did not settle")
+from pointloom.operators.common import stored
+from pointloom.operators.components import components
 
 
 def clusters(points: DataFrame, edges: DataFrame, least: int = 1) -> DataFrame:
@@ -78,35 +59,27 @@ def farthest_points(df: DataFrame, k: int, batch: str = "scene") -> DataFrame:
     picked = None
     for step in range(k):
         best = state.groupBy(batch).agg(F.max_by(F.struct(*w), F.struct(F.col("_d"), -F.col("pid"))).alias("_p"))
-        best = checkpointed(best.select(batch, *[F.col(f"_p.{c}").alias(f"_{c}") for c in w]))  # one row a batch
+        best = stored(best.select(batch, *[F.col(f"_p.{c}").alias(f"_{c}") for c in w]))  # one row a batch
         now = best.select(batch, F.col("_pid").alias("pid"), F.lit(step).alias("step"))
         picked = now if picked is None else picked.unionByName(now)
         d2 = sum((F.col(c) - F.col(f"_{c}")) * (F.col(c) - F.col(f"_{c}")) for c in "xyz")
         state = state.join(best, batch).withColumn("_d", F.least("_d", d2)).where("_d > 0").select(batch, *w, "_d")
         if step % 8 == 7:
-            state = checkpointed(state)
+            state = stored(state)
     return picked
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """df through a table in the checkpoint folder: a checkpoint keeps the constraints of the plan before it, and planning on them grows with every round."""
-    spark = df.sparkSession
-    folder = spark.sparkContext.getCheckpointDir() or checkpointed(spark.range(1)).sparkSession.sparkContext.getCheckpointDir()
-    df.write.parquet(path := f"{folder}/segments-{uuid.uuid4().hex}")
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def segment_graph(edges: DataFrame, scene: str = "scene", scale: float = 0.5, least: int = 20, most: int = 200_000) -> DataFrame:
     """Graph segmentation per scene: edges (u, v, w) by weight join parts whose weight is within both parts' threshold; small parts are merged after.
 
-    Same result as edge by edge in order of (w, u, v), in checkpointed join rounds over each part's least outgoing edge. A part whose
+    Same result as edge by edge in order of (w, u, v), in stored join rounds over each part's least outgoing edge. A part whose
     least edge is over its threshold never grows again; an edge that is the least of both its parts is due, as neither can change before
     it; edges of one weight may be taken at once, as a part that took one of weight w has a threshold over w. When at most `most` edges
     between parts are undecided, they are finished in order in one grouped function. Returns scene, node, part (least node)."""
     both = edges.select(scene, F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), F.coalesce(F.col("w").cast("double"), F.lit(float("nan"))).alias("w"))
-    both = _settled(both)
+    both = stored(both)
     ends = both.select(scene, F.col("u").alias("node")).unionByName(both.select(scene, F.col("v").alias("node"))).distinct()
-    members = _settled(ends.withColumn("part", F.col("node")))
+    members = stored(ends.withColumn("part", F.col("node")))
     members = _grow(both, members, scene, scale, most)
     members = _absorb(both, members, scene, least, most)
     first = members.groupBy(scene, "part").agg(F.min("node").alias("_first"))
@@ -129,7 +102,7 @@ def _moved(pairs: DataFrame, into: DataFrame, scene: str) -> DataFrame:
 
 
 def _followed(members: DataFrame, into: DataFrame, scene: str) -> DataFrame:
-    return _settled(members.join(into, [scene, "part"], "left").select(scene, "node", F.coalesce("to", "part").alias("part")))
+    return stored(members.join(into, [scene, "part"], "left").select(scene, "node", F.coalesce("to", "part").alias("part")))
 
 
 def _with_least(pairs: DataFrame, parts: DataFrame, scene: str, columns: list[str]) -> DataFrame:
@@ -137,7 +110,7 @@ def _with_least(pairs: DataFrame, parts: DataFrame, scene: str, columns: list[st
     low = pairs.select(scene, F.explode(F.array("a", "b")).alias("part"), "e").groupBy(scene, "part").agg(F.min("e").alias("m")).join(parts, [scene, "part"])
     for c in "ab":
         pairs = pairs.join(low.select(scene, F.col("part").alias(c), *[F.col(k).alias(f"{k}{c}") for k in ("m", *columns)]), [scene, c])
-    return _settled(pairs)
+    return stored(pairs)
 
 
 def _finished(pairs: DataFrame, parts: DataFrame, scene: str, columns: list[str], decide) -> DataFrame:
@@ -168,7 +141,7 @@ def _finished(pairs: DataFrame, parts: DataFrame, scene: str, columns: list[str]
     for c in "ab":
         flat = flat.join(parts.select(scene, F.col("part").alias(c), *[F.col(k).alias(f"{k}{c}") for k in columns]), [scene, c])
     kind = dict(pairs.dtypes)[scene]
-    return _settled(flat.groupBy(scene).applyInPandas(run, f"{scene} {kind}, part long, to long"))
+    return stored(flat.groupBy(scene).applyInPandas(run, f"{scene} {kind}, part long, to long"))
 
 
 def _grow(edges: DataFrame, members: DataFrame, scene: str, scale: float, most: int) -> DataFrame:
@@ -181,8 +154,8 @@ def _grow(edges: DataFrame, members: DataFrame, scene: str, scale: float, most:
         state[a][1] = w + scale / state[a][0]
         return True
 
-    parts = _settled(members.select(scene, "part", F.lit(1).cast("long").alias("size"), F.lit(float(scale)).alias("limit")))
-    pairs = _settled(_between(edges, members, scene))
+    parts = stored(members.select(scene, "part", F.lit(1).cast("long").alias("size"), F.lit(float(scale)).alias("limit")))
+    pairs = stored(_between(edges, members, scene))
     while n := pairs.count():
         if n <= most:
             return _followed(members, _finished(pairs, parts, scene, ["size", "limit"], decide), scene)
@@ -196,9 +169,9 @@ def _grow(edges: DataFrame, members: DataFrame, scene: str, scale: float, most:
         at = due.select(scene, F.explode(F.array("a", "b")).alias("part"), F.col("e.w").alias("w")).distinct()
         grown = parts.join(into, [scene, "part"]).join(at, [scene, "part"]).groupBy(scene, F.col("to").alias("part")).agg(F.sum("size").alias("size"), F.max("w").alias("w"))
         grown = grown.select(scene, "part", "size", (F.col("w") + scale / F.col("size")).alias("limit"))
-        parts = _settled(parts.join(into, [scene, "part"], "left_anti").unionByName(grown))
+        parts = stored(parts.join(into, [scene, "part"], "left_anti").unionByName(grown))
         members = _followed(members, into, scene)
-        pairs = _settled(_moved(open_.select(scene, "a", "b", "e"), into, scene))
+        pairs = stored(_moved(open_.select(scene, "a", "b", "e"), into, scene))
     return members
 
 
@@ -213,11 +186,11 @@ def _absorb(edges: DataFrame, members: DataFrame, scene: str, least: int, most:
         state[a][0] += state[b][0]
         return True
 
-    pairs = _settled(_between(edges, members, scene))
+    pairs = stored(_between(edges, members, scene))
     while True:
-        parts = _settled(members.groupBy(scene, "part").agg(F.count("*").alias("size")))
+        parts = stored(members.groupBy(scene, "part").agg(F.count("*").alias("size")))
         small = lambda c: parts.where(F.col("size") < least).select(scene, F.col("part").alias(c), F.lit(True).alias(f"small{c}"))
-        pairs = _settled(pairs.join(small("a"), [scene, "a"], "left").join(small("b"), [scene, "b"], "left").where("smalla or smallb").select(scene, "a", "b", "e"))
+        pairs = stored(pairs.join(small("a"), [scene, "a"], "left").join(small("b"), [scene, "b"], "left").where("smalla or smallb").select(scene, "a", "b", "e"))
         n = pairs.count()
         if not n:
             return members
@@ -226,9 +199,9 @@ def _absorb(edges: DataFrame, members: DataFrame, scene: str, least: int, most:
         known = _with_least(pairs, parts, scene, ["size"])
         up = known.where(f"sizea < {least} and e = ma and (sizeb >= {least} or e = mb)").select(scene, F.col("a").alias("part"), F.col("b").alias("to"))
         down = known.where(f"sizeb < {least} and e = mb and sizea >= {least}").select(scene, F.col("b").alias("part"), F.col("a").alias("to"))
-        into = _settled(up.unionByName(down))
+        into = stored(up.unionByName(down))
         members = _followed(members, into, scene)
-        pairs = _settled(_moved(pairs, into, scene))
+        pairs = stored(_moved(pairs, into, scene))
 
 
 def superpoint_pool(points: DataFrame, parts: DataFrame, columns: list[str], scene: str = "scene") -> DataFrame:

@@ -44,7 +44,7 @@ def knn(queries: DataFrame, points: DataFrame, k: int, cell: float, batch: str |
     """The k nearest points of every query (qid, pid, d2, rank from 0), ties by pid; fewer where the batch has fewer.
 
     Rings of doubling radius: a query is done when its k-th neighbour lies within the radius searched, or everything does."""
-    from pointloom.operators.common import checkpointed
+    from pointloom.operators.common import stored
 
     keys = [batch] if batch else []
     left, done, radius = queries, None, cell
@@ -59,9 +59,9 @@ def knn(queries: DataFrame, points: DataFrame, k: int, cell: float, batch: str |
         last = radius > far
         ranked = within(left, points, radius, batch, closed=True).withColumn("rank", F.row_number().over(near) - 1).where(F.col("rank") < k)
         full = ranked.groupBy(*keys, "qid").agg(F.count("*").alias("_n")).where(F.col("_n") >= (1 if last else k)).drop("_n")
-        got = checkpointed(ranked.join(full, [*keys, "qid"]))
+        got = stored(ranked.join(full, [*keys, "qid"]))
         done = got if done is None else done.unionByName(got)
-        left = checkpointed(left.join(got.select(*keys, F.col("qid").alias("pid")).distinct(), [*keys, "pid"], "left_anti"))
+        left = stored(left.join(got.select(*keys, F.col("qid").alias("pid")).distinct(), [*keys, "pid"], "left_anti"))
         if last or left.isEmpty():
             break
         radius *= 2

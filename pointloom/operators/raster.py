@@ -160,7 +160,7 @@ def merge_priority(df: DataFrame, bev: str, cloud: str, threshold: float = 0.7)
 
 def fill_holes(mask: DataFrame, margin: int = 1) -> DataFrame:
     """The mask with the background it encloses: background that 4-connects to the outside of its box stays out."""
-    from pointloom.operators.graph import components
+    from pointloom.operators.components import components
 
     box = mask.agg(*[f(c).alias(f"{n}{c}") for c in PIXEL for n, f in (("lo", F.min), ("hi", F.max))]).first()
     if box["lopx"] is None:

@@ -157,7 +157,7 @@ def contours(mask: DataFrame, components: DataFrame, least: int = 1) -> DataFram
 
 def mask_components(mask: DataFrame) -> DataFrame:
     """px, py, component: 8-connected components of a mask, numbered by their least pixel."""
-    from pointloom.operators.graph import components
+    from pointloom.operators.components import components
     from pointloom.operators.raster import neighbourhood
 
     node = mask.select("px", "py").distinct().withColumn("node", F.shiftleft(F.col("px").cast("long"), 32) + F.col("py").cast("long"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pointloom.operators import curves, filters, gather, geometry, graph, labels, neighbors, raster, sets, tiles, vector, voxel
-from pointloom.operators.common import checkpointed, ranked
+from pointloom.operators.common import ranked, stored
 from pointloom.plans.metric_queries import _D2, _SLICE, _slice
 from pointloom.plans.point_queries import _SCORES, _scores
 from pointloom.plans.point_queries import query, rounded
@@ -173,7 +173,7 @@ def face_colours(spark, sf):
 
 def _full_mesh(spark, sf):
     """A strip over every point in order of pid, numbered from 1 by range partitions."""
-    v = checkpointed(ranked(points(spark, sf).select("pid", "x", "y", "z"), ["pid"], "id").select((F.col("id") + 1).alias("id"), "x", "y", "z"))
+    v = stored(ranked(points(spark, sf).select("pid", "x", "y", "z"), ["pid"], "id").select((F.col("id") + 1).alias("id"), "x", "y", "z"))
     n = v.count()
     f = v.where(f"id % 2 = 0 and id + 2 <= {n}").select(F.col("id").alias("face"), F.col("id").alias("a"), (F.col("id") + 1).alias("b"), (F.col("id") + 2).alias("c"))
     return v, f

@@ -50,9 +50,9 @@ def voxel_first(spark, sf):
     return voxel.first_in_voxel(points(spark, sf).select("pid", "x", "y", "z", "segment"), 5.0)
 
 
-@query(f"""select {V5}, count(*) as n, round(avg(x), 6) as x, round(avg(y), 6) as y, round(avg(z), 6) as z from points group by all""".replace("group by all", "group by 1, 2, 3"))
+@query(f"""select {V5}, count(*) as n, round(avg(x), 9) as x, round(avg(y), 9) as y, round(avg(z), 9) as z from points group by 1, 2, 3""")
 def voxel_mean(spark, sf):
-    return rounded(voxel.mean_in_voxel(points(spark, sf), 5.0, ["x", "y", "z"]), ["x", "y", "z"])
+    return rounded(voxel.mean_in_voxel(points(spark, sf), 5.0, ["x", "y", "z"]), ["x", "y", "z"], 9)  # y is a multiple of 5e-6: six digits would meet ties
 
 
 @query(f""", v as (select pid, {V5} from points where x < 4),
@@ -118,9 +118,9 @@ def zorder_sort(spark, sf):
 
 
 @query(f""", v as (select *, {V5} from points), c as (select *, {ZCODE} >> 3 as cluster from v)
-select scene, cluster, count(*) as n, round(avg(x), 6) as mean_x, round(avg(y), 6) as mean_y, round(avg(z), 6) as mean_z, arg_min(segment, pid) as segment from c group by scene, cluster""")
+select scene, cluster, count(*) as n, round(avg(x), 9) as mean_x, round(avg(y), 9) as mean_y, round(avg(z), 9) as mean_z, arg_min(segment, pid) as segment from c group by scene, cluster""")
 def serialized_pooling(spark, sf):
-    return rounded(voxel.serialized_pooling(points(spark, sf), 5.0, 1, "scene"), ["mean_x", "mean_y", "mean_z"])
+    return rounded(voxel.serialized_pooling(points(spark, sf), 5.0, 1, "scene"), ["mean_x", "mean_y", "mean_z"], 9)
 
 
 @query(f""", v as (select {V5} from points), c as (select {ZCODE} as code from v)
