@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointloom.operators.common import dropped, shared_folder, stored  # noqa: F401  (what the text operators share with the core)
+
 #: Rows handed to Python code at once; bounds memory when texts are long.
 ROWS = 256
 #: Rows in an Arrow batch of texts.
@@ -29,33 +29,6 @@ def short_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder (spark.checkpoint.dir); a temporary one only where that is unset and all runs on one machine."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="pointloom-"))
-    return context.getCheckpointDir()
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df written as a table in the shared folder and read again."""
-    path = f"{shared_folder(df.sparkSession)}/pointloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._stored_at = path
-    return out
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Removes tables that stored() gave; what is derived from them must not be read any more."""
-    for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
     """Apply fn to column lists of at most ROWS rows; text stays inside Arrow batches."""
     from pyspark.sql.types import _parse_datatype_string
