@@ -69,3 +69,8 @@ def hue_shift(df: DataFrame, shift: float) -> DataFrame:
     """Hue turned by shift (a share of the circle)."""
     cols = df.columns
     return hsv_to_rgb(rgb_to_hsv(df).withColumn("h", F.pmod(F.col("h") + shift, F.lit(1.0)))).select(*cols)
+
+
+def standardised(df: DataFrame, mean: tuple[float, float, float], std: tuple[float, float, float]) -> DataFrame:
+    """Channels over 255, less their mean, by their deviation."""
+    return df.withColumns({c: (F.col(c) / 255 - m) / d for c, m, d in zip("rgb", mean, std)})

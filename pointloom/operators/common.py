@@ -48,18 +48,41 @@ def normal(*keys: str | Column, seed: int = 0) -> Column:
     return radius * F.cos(2.0 * 3.141592653589793 * uniform(*keys, seed=seed + 1))
 
 
-def ranked(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
-    """df with its 0-based place in the global order of distinct keys `order`.
+def drawn(*keys: str | Column, seed: int = 0) -> Column:
+    """A repeatable number in [0, 1) for each key from a digest's first 52 bits, the same in any SQL engine."""
+    text = F.concat_ws(":", *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long").cast("double") / float(1 << 52)
 
-    Range partitions are numbered inside, then shifted by the sizes of those before: no single task sees all rows."""
-    cols = [F.col(c) for c in order]
-    keys = df.select(*order).distinct().repartitionByRange(*cols).sortWithinPartitions(*cols)
-    keys = stored(keys.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
-    sizes = sorted((r["_part"], r["n"]) for r in keys.groupBy("_part").agg(F.count("*").alias("n")).collect())  # one row a partition
+
+def drawn_normal(*keys: str | Column, seed: int = 0) -> Column:
+    """A repeatable standard normal number for each key (Box-Muller on drawn numbers of seed and seed + 1)."""
+    return F.sqrt(-2.0 * F.log(1.0 - drawn(*keys, seed=seed))) * F.cos(2.0 * 3.141592653589793 * drawn(*keys, seed=seed + 1))
+
+
+def _shifted(rows: DataFrame, name: str) -> DataFrame:
+    """Stored range partitions, numbered inside by _at, with their global place: one row a partition is collected."""
+    sizes = sorted((r["_part"], r["n"]) for r in rows.groupBy("_part").agg(F.count("*").alias("n")).collect())
     offsets, total = [], 0
     for part, n in sizes:
         offsets.append((part, total))
         total += n
-    shift = df.sparkSession.createDataFrame(offsets or [(0, 0)], "_part int, _shift long")
-    placed = keys.join(F.broadcast(shift), "_part").select(*order, (F.col("_at") + F.col("_shift")).alias(name))
-    return df.join(placed, order)
+    shift = rows.sparkSession.createDataFrame(offsets or [(0, 0)], "_part int, _shift long")
+    return rows.join(F.broadcast(shift), "_part").withColumn(name, F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")
+
+
+def _in_ranges(df: DataFrame, order: list[str]) -> DataFrame:
+    cols = [F.col(c) for c in order]
+    rows = df.repartitionByRange(*cols).sortWithinPartitions(*cols)
+    return stored(rows.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
+
+
+def placed(df: DataFrame, order: list[str], name: str = "place") -> DataFrame:
+    """df with its 0-based place in the global order of `order`, which tells all rows apart: whole rows are ranged, none is joined back."""
+    return _shifted(_in_ranges(df, order), name)
+
+
+def ranked(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
+    """df with its 0-based place in the global order of distinct keys `order`.
+
+    Range partitions are numbered inside, then shifted by the sizes of those before: no single task sees all rows."""
+    return df.join(_shifted(_in_ranges(df.select(*order).distinct(), order), name), order)

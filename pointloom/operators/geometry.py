@@ -137,3 +137,78 @@ def random_scale(df: DataFrame, low: float, high: float, scene: str = "scene", s
 def random_flip(df: DataFrame, scene: str = "scene", chance: float = 0.5, seed: int = 0) -> DataFrame:
     """Signs of x and y flipped independently for each scene."""
     return df.withColumns({c: F.when(uniform(scene, seed=seed + i) < chance, -F.col(c)).otherwise(F.col(c)) for i, c in enumerate("xy")})
+
+
+def radial_normals(df: DataFrame, centre: tuple[float, float, float]) -> DataFrame:
+    """nx, ny, nz: the unit vector from the centre to the point; null at the centre."""
+    d = {c: F.col(c) - v for c, v in zip("xyz", centre)}
+    size = F.sqrt(d["x"] * d["x"] + d["y"] * d["y"] + d["z"] * d["z"])
+    return df.withColumns({f"n{c}": F.when(size > 0, v / size) for c, v in d.items()})
+
+
+def oriented(df: DataFrame, sensor: tuple[float, float, float]) -> DataFrame:
+    """Normals nx, ny, nz turned to the sensor: flipped where they point away from it."""
+    away = sum(F.col(f"n{c}") * (F.col(c) - v) for c, v in zip("xyz", sensor))
+    return df.withColumns({f"n{c}": F.when(away > 0, -F.col(f"n{c}")).otherwise(F.col(f"n{c}")) for c in "xyz"})
+
+
+def euler_matrix(roll: float, pitch: float, yaw: float) -> list[list[float]]:
+    """Rz(yaw) Ry(pitch) Rx(roll), angles in radians."""
+    import math
+
+    (cr, sr), (cp, sp), (cy, sy) = ((math.cos(a), math.sin(a)) for a in (roll, pitch, yaw))
+    return [[cy * cp, cy * sp * sr - sy * cr, cy * sp * cr + sy * sr], [sy * cp, sy * sp * sr + cy * cr, sy * sp * cr - cy * sr], [-sp, cp * sr, cp * cr]]
+
+
+def turned(df: DataFrame, matrix: list[list[float]]) -> DataFrame:
+    """x, y, z times a 3 x 3 matrix."""
+    return df.withColumns({c: sum(F.col(a) * m for a, m in zip("xyz", row)) for c, row in zip("xyz", matrix)})
+
+
+def z_up(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Y-up coordinates turned a quarter about x to Z-up, then moved so that each key's least is 0."""
+    out = df.withColumns({"x": F.col("x"), "y": -F.col("z"), "z": F.col("y")})
+    low = out.groupBy(*keys).agg(*[F.min(c).alias(f"_lo{c}") for c in "xyz"])
+    return out.join(low, keys).withColumns({c: F.col(c) - F.col(f"_lo{c}") for c in "xyz"}).select(*df.columns)
+
+
+def floor_levels(df: DataFrame, height: str = "y", reach: int = 2, least: int = 2000) -> DataFrame:
+    """Levels (level, lo, hi, n): heights rounded to 0.1 whose neighbourhood of `reach` steps holds `least` points, joined while no further apart.
+
+    One row a height is windowed, not one a point."""
+    counts = df.groupBy(F.round(F.col(height) * 10).cast("long").alias("h")).agg(F.count("*").alias("n"))
+    whole = Window.partitionBy(F.lit(0)).orderBy("h")
+    core = counts.withColumn("_m", F.sum("n").over(whole.rangeBetween(-reach, reach))).where(F.col("_m") >= least)
+    fresh = F.when(F.col("h") - F.lag("h").over(whole) <= reach, 0).otherwise(1)
+    core = core.withColumn("level", fresh)
+    core = core.withColumn("level", F.sum("level").over(whole.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    return core.groupBy("level").agg((F.min("h") / 10).alias("lo"), (F.max("h") / 10).alias("hi"), F.sum("n").alias("n"))
+
+
+def grid_normals(grid: DataFrame, value: str) -> DataFrame:
+    """Normals of an organised grid (px, py, value): the cross product of the steps to the next pixels, null at the border, unit length."""
+    right = grid.select((F.col("px") - 1).alias("px"), "py", F.col(value).alias("_r"))
+    up = grid.select("px", (F.col("py") - 1).alias("py"), F.col(value).alias("_u"))
+    near = grid.join(right, ["px", "py"], "left").join(up, ["px", "py"], "left").withColumns({"_a": F.col(value) - F.col("_r"), "_b": F.col(value) - F.col("_u")})
+    size = F.sqrt(F.col("_a") * F.col("_a") + F.col("_b") * F.col("_b") + 1.0)
+    return near.select("px", "py", (F.col("_a") / size).alias("nx"), (F.col("_b") / size).alias("ny"), (1.0 / size).alias("nz"))
+
+
+def crop_correspondences(df: DataFrame, box: tuple[int, int, int, int], patch: int) -> DataFrame:
+    """Pixel-point pairs (u, v, pid) inside the box (u0, v0, width, height), moved to it and scaled down to patches, as distinct (row, col, pid)."""
+    u0, v0, width, height = box
+    inside = df.where(F.col("u").between(u0, u0 + width - 1) & F.col("v").between(v0, v0 + height - 1))
+    return inside.select(F.floor((F.col("v") - v0) / patch).cast("int").alias("row"), F.floor((F.col("u") - u0) / patch).cast("int").alias("col"), "pid").distinct()
+
+
+def pooled_correspondences(df: DataFrame, keys: list[str], u: str = "u", v: str = "v") -> DataFrame:
+    """Mean pixel of each cluster's members that have one (u >= 0), -1 without any."""
+    valid = F.col(u) >= 0
+    return df.groupBy(*keys).agg(*[F.coalesce(F.avg(F.when(valid, F.col(c))), F.lit(-1.0)).alias(c) for c in (u, v)])
+
+
+def linear_head(df: DataFrame, vector: str, weights: list[list[float]], bias: list[float]) -> DataFrame:
+    """logits: a linear layer on a vector column; label: the largest one's place."""
+    row = lambda w, b: F.aggregate(F.zip_with(F.col(vector), F.array(*[F.lit(float(x)) for x in w]), lambda a, c: a.cast("double") * c), F.lit(float(b)), lambda s, x: s + x)
+    out = df.withColumn("logits", F.array(*[row(w, b) for w, b in zip(weights, bias)]))
+    return out.withColumn("label", (F.array_position("logits", F.array_max("logits")) - 1).cast("int"))

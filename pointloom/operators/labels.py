@@ -94,3 +94,10 @@ def face_votes(faces: DataFrame) -> DataFrame:
     """Label of every vertex by its faces (face, label, vertices): the most common, the least on a tie."""
     by = faces.select("label", F.explode("vertices").alias("vertex")).groupBy("vertex", "label").agg(F.count("*").alias("_n"))
     return by.groupBy("vertex").agg(F.max_by("label", F.struct(F.col("_n"), -F.col("label"))).alias("label"))
+
+
+def hex_classes(df: DataFrame, mapping: dict[str, int], default: int = -1) -> DataFrame:
+    """label: the class of a point's colour by its #rrggbb name."""
+    name = F.lower(F.concat(F.lit("#"), *[F.lpad(F.hex(F.col(c).cast("int")), 2, "0") for c in "rgb"]))
+    table = F.create_map(*[x for k, v in mapping.items() for x in (F.lit(k.lower()), F.lit(v))])
+    return df.withColumn("label", F.coalesce(table[name], F.lit(default)))

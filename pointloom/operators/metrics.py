@@ -129,3 +129,49 @@ def average_precision(association: DataFrame, scored: DataFrame, gt_counts: Data
         return pd.DataFrame({"label": [pdf["label"].iloc[0]], "overlap": [level], "ap": [ap / total if total else None]})
 
     return rows.groupBy("label", "overlap").applyInPandas(run, "label int, overlap double, ap double")
+
+
+def focal(df: DataFrame, scores: str, gt: str, gamma: float = 2.0, alpha: float = 0.5, ignore: int = -1) -> DataFrame:
+    """Mean focal loss of sigmoid scores against one-hot labels, over points with a label and all classes."""
+
+    def one(v, i):
+        hit = i == F.col(gt)
+        p = 1.0 / (1.0 + F.exp(-v))
+        miss = F.when(hit, 1.0 - p).otherwise(p)
+        entropy = -F.log(F.greatest(1.0 - miss, F.lit(1e-12)))
+        return F.when(hit, alpha).otherwise(1 - alpha) * F.pow(miss, F.lit(gamma)) * entropy
+
+    each = F.aggregate(F.transform(scores, one), F.lit(0.0), lambda a, b: a + b) / F.size(scores)
+    return df.where(F.col(gt) != ignore).agg(F.avg(each).alias("loss"), F.count("*").alias("n"))
+
+
+def dice(df: DataFrame, scores: str, gt: str, smooth: float = 1.0, exponent: float = 2.0, ignore: int = -1) -> DataFrame:
+    """Dice loss of every class from softmax scores: 1 - (2 sum(p t) + smooth) / (sum(p^e + t^e) + smooth)."""
+    from pointloom.operators.raster import softmax
+
+    rows = df.where(F.col(gt) != ignore).select(F.col(gt).alias("gt"), F.posexplode(softmax(scores)).alias("class", "p"))
+    hit = F.when(F.col("gt") == F.col("class"), 1.0).otherwise(0.0)
+    sums = rows.groupBy("class").agg(F.sum(F.col("p") * hit).alias("both"), F.sum(F.pow("p", F.lit(exponent)) + hit).alias("all"))
+    return sums.select("class", (1.0 - (2.0 * F.col("both") + smooth) / (F.col("all") + smooth)).alias("loss"))
+
+
+def part_iou(df: DataFrame, category: str, item: str, gt: str = "gt", pred: str = "pred") -> DataFrame:
+    """Per category: mean over its items of their mean IoU over the category's parts, 1 for a part absent from both; and the items.
+
+    The parts of a category are the labels its items have."""
+    cells = df.groupBy(category, item, gt, pred).agg(F.count("*").alias("n"))
+    parts = cells.select(category, F.col(gt).alias("part")).distinct()
+    side = lambda c: cells.groupBy(category, item, F.col(c).alias("part")).agg(F.sum("n").alias(f"n_{c}"))
+    both = cells.where(F.col(gt) == F.col(pred)).select(category, item, F.col(gt).alias("part"), F.col("n").alias("both"))
+    every = cells.select(category, item).distinct().join(parts, category)
+    keys = [category, item, "part"]
+    rows = every.join(side(gt), keys, "left").join(side(pred), keys, "left").join(both, keys, "left").na.fill(0, [f"n_{gt}", f"n_{pred}", "both"])
+    union = F.col(f"n_{gt}") + F.col(f"n_{pred}") - F.col("both")
+    each = rows.withColumn("iou", F.when(union == 0, 1.0).otherwise(F.col("both") / union)).groupBy(category, item).agg(F.avg("iou").alias("iou"))
+    return each.groupBy(category).agg(F.avg("iou").alias("iou"), F.count("*").alias("items"))
+
+
+def inverse_validity(df: DataFrame, inverse: str, bound: int) -> DataFrame:
+    """Length, least and largest index of an inverse map, and the share outside 0..bound - 1."""
+    out = F.when(F.col(inverse).between(0, bound - 1), 0.0).otherwise(1.0)
+    return df.agg(F.count("*").alias("n"), F.min(inverse).alias("lo"), F.max(inverse).alias("hi"), F.avg(out).alias("outside"))

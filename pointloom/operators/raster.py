@@ -123,6 +123,14 @@ def mode_pool(raster: DataFrame, label: str) -> DataFrame:
     return by.groupBy(*PIXEL).agg(F.max_by(label, F.struct("_n", label)).alias(label)).join(raster.select(*PIXEL), PIXEL, "left_semi")
 
 
+def max_count_pool(raster: DataFrame, label: str) -> DataFrame:
+    """The commonest label of every pixel's 3 x 3 window, the largest one on a tie; pixels without a point stay out."""
+    near = [F.struct((F.col("px") + a).alias("px"), (F.col("py") + b).alias("py")) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+    votes = raster.select(F.explode(F.array(*near)).alias("p"), label).groupBy("p.px", "p.py", label).agg(F.count("*").alias("_n"))
+    best = votes.groupBy("px", "py").agg(F.max(F.struct("_n", label)).alias("_b")).select("px", "py", F.col(f"_b.{label}").alias(label))
+    return best.join(raster.select("px", "py"), ["px", "py"], "left_semi")
+
+
 def fill_stats(raster: DataFrame, label: str) -> DataFrame:
     """Pixels of every label and their share of the raster's box."""
     box = raster.agg(((F.max("px") - F.min("px") + 1) * (F.max("py") - F.min("py") + 1)).alias("_all"))

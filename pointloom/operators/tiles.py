@@ -132,3 +132,26 @@ def patch_padding(df: DataFrame, batch: str, order: str, k: int) -> DataFrame:
     lent = rows.where((F.col("_n") > k) & (r > 0)).where((F.col("_rn") >= F.col("_n") - k) & (F.col("_rn") < F.col("_n") - r))
     lent = lent.withColumn("patch", F.floor(F.col("_n") / k)).withColumn("slot", F.col("_rn") - (F.col("_n") - k) + r)
     return own.unionByName(lent).drop("_n", "_rn")
+
+
+def strip_overlapping_tiles(df: DataFrame, size: float, step: float, scene: str = "scene") -> DataFrame:
+    """Each point in one strip of x and in every tile of y that covers it: tx, ty, with coordinates from the tile's corner."""
+    out = df.join(df.groupBy(scene).agg(F.min("x").alias("_ox"), F.min("y").alias("_oy")), scene)
+    out = out.withColumn("tx", F.floor((F.col("x") - F.col("_ox")) / size).cast("long"))
+    dy = F.col("y") - F.col("_oy")
+    last = F.floor(dy / step).cast("long")
+    first = F.greatest(F.floor((dy - size) / step).cast("long") + 1, F.lit(0))
+    out = out.withColumn("ty", F.explode(F.sequence(first, last)))
+    return out.withColumns({"lx": F.col("x") - F.col("_ox") - F.col("tx") * size, "ly": dy - F.col("ty") * step}).drop("_ox", "_oy")
+
+
+def stitch_points(points: DataFrame, predicted: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """Every point's value from the last of its tiles, -1 for a point in none."""
+    last = predicted.groupBy(key).agg(F.max_by(value, order).alias(value))
+    return points.select(key).join(last, key, "left").withColumn(value, F.coalesce(value, F.lit(-1)))
+
+
+def labelled_tiles(df: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """Rows of tiles in which some pixel has a label other than 0."""
+    some = df.groupBy(*keys).agg(F.max(F.abs(F.col(label))).alias("_m")).where("_m > 0").select(*keys)
+    return df.join(some, keys, "left_semi")

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.operators.common import ranked, uniform
+from pointloom.operators.common import placed, ranked, uniform
 
 VOXEL = ["gx", "gy", "gz"]
 
@@ -145,7 +145,7 @@ def curve_sorted(df: DataFrame, size: float) -> DataFrame:
     """Adds code and place: the Z-order of the points' voxels; ties by pid."""
     out = voxel_index(df, size)
     out = out.withColumn("code", z_code(*[F.col(g) for g in VOXEL]))
-    return ranked(out, ["code", "pid"], "place")
+    return placed(out, ["code", "pid"])
 
 
 def serialized_pooling(df: DataFrame, size: float, depth: int, batch: str) -> DataFrame:
