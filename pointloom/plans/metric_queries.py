@@ -115,12 +115,18 @@ def instance_ap(spark, sf):
 
 # neighbours
 
-_SLICE = ", s as (select * from points where pid % 11 = 0 and x < 20), q as (select * from s where pid % 5 = 0)"
+#: Points whose id is divisible by 50 ask, all points answer.
+_SLICE = ", s as (select * from points), q as (select * from s where pid % 50 = 0)"
 
 
 def _slice(spark, sf):
-    s = points(spark, sf).where("pid % 11 = 0 and x < 20")
-    return s.where("pid % 5 = 0"), s
+    s = points(spark, sf)
+    return s.where("pid % 50 = 0"), s
+
+
+#: Points by cell of the given edge, and each of them in the cells around its own.
+_CELLS = """, c as (select *, cast(floor(x / {0}) as bigint) as cx, cast(floor(y / {0}) as bigint) as cy, cast(floor(z / {0}) as bigint) as cz from points), o as (select unnest([-1, 0, 1]) as i),
+w as (select c.* exclude (cx, cy, cz), cx + a.i as cx, cy + b.i as cy, cz + d.i as cz from c, o a, o b, o d)"""
 
 
 _D2 = "(s.x - q.x) * (s.x - q.x) + (s.y - q.y) * (s.y - q.y) + (s.z - q.z) * (s.z - q.z)"
@@ -154,14 +160,14 @@ def idw_interpolate(spark, sf):
     return rounded(neighbors.idw(neighbors.knn(q, s, 3, 2.0), s, "strength"), ["strength"])
 
 
-@query(_SLICE + f""", d as (select q.pid as qid, s.pid, {_D2} as d2 from s q join s on q.scene = s.scene), k as (select sqrt(d2) as d from (select *, row_number() over (partition by qid order by d2, pid) as r from d) where r = 2)
+@query(_SLICE + f""", d as (select q.pid as qid, s.pid, {_D2} as d2 from q join s on q.scene = s.scene), k as (select sqrt(d2) as d from (select *, row_number() over (partition by qid order by d2, pid) as r from d) where r = 2)
 select count(*) as n, min(d) as least, max(d) as most, round(avg(d), 6) as mean, round(quantile_cont(d, 0.5), 6) as p50, round(quantile_cont(d, 0.95), 6) as p95, round(quantile_cont(d, 0.99), 6) as p99 from k""")
 def nn_stats(spark, sf):
-    _, s = _slice(spark, sf)
-    return rounded(neighbors.distance_stats(neighbors.knn(s, s, 2, 2.0)), ["mean", "p50", "p95", "p99"])
+    q, s = _slice(spark, sf)
+    return rounded(neighbors.distance_stats(neighbors.knn(q, s, 2, 2.0)), ["mean", "p50", "p95", "p99"])
 
 
-@query(_SLICE + """, h as (select a.scene as a, b.scene as b, a.pid from s a join s b on a.scene <> b.scene and (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) < 1 group by all),
+@query(_SLICE + _CELLS.format(1) + """, h as (select a.scene as a, b.scene as b, a.pid from c a join w b on a.cx = b.cx and a.cy = b.cy and a.cz = b.cz and a.scene <> b.scene and (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) < 1 group by all),
 n as (select a, b, count(*) as n from h group by a, b), t as (select scene as a, count(*) as total from s group by scene)
 select least(a, b) as a, greatest(a, b) as b, max(n / total) as share from n join t using (a) group by 1, 2""")
 def semi_overlap(spark, sf):
@@ -243,9 +249,10 @@ def _all_edges(spark, sf):
     return p, neighbors.radius_edges(p, 2.0, same="segment")
 
 
-@query(_EDGE + " select u, v from e")
+@query(_CELLS.format(2) + """ select a.pid as u, b.pid as v from c a join w b on a.cx = b.cx and a.cy = b.cy and a.cz = b.cz and a.scene = b.scene and a.segment = b.segment and a.pid < b.pid
+and (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) < 4""")
 def radius_edges(spark, sf):
-    return _edges(spark, sf)[1]
+    return _all_edges(spark, sf)[1]
 
 
 @query(f"with recursive {POINTS_SQL}" + _EDGE + """, b as (select u, v from e union all select v, u from e), r(n, m) as (select pid, pid from s union select r.n, b.v from r join b on b.u = r.m),

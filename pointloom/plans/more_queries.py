@@ -13,9 +13,9 @@ from pointloom.plans.point_queries import query, rounded
 from pointloom.sources.tables import features, points
 
 
-@query("select pid, [x, y, z, strength] as feat from points where pid % 10 = 0")
+@query("select pid, [x, y, z, strength] as feat from points")
 def collect_features(spark, sf):
-    return filters.collect(points(spark, sf).where("pid % 10 = 0"), ["pid"], ["x", "y", "z", "strength"])
+    return filters.collect(points(spark, sf), ["pid"], ["x", "y", "z", "strength"])
 
 
 @query(None)
@@ -125,10 +125,10 @@ def padded_members(spark, sf):
     return gather.padded_members(voxel.voxel_index(points(spark, sf), 5.0), voxel.VOXEL, 8)
 
 
-@query("select line, count(*) as n, round(avg(x), 9) as x, round(avg(strength), 9) as strength from points where scene < 3 group by line")
+@query("select line, count(*) as n, round(avg(x), 9) as x, round(avg(strength), 9) as strength from points group by line")
 def incremental_fusion(spark, sf):
     p = points(spark, sf)
-    return rounded(gather.fuse_sums([p.where(f"scene = {i}") for i in range(3)], ["line"], ["x", "strength"]), ["x", "strength"], 9)
+    return rounded(gather.fuse_sums([p.where(f"scene = {i}") for i in range(4)], ["line"], ["x", "strength"]), ["x", "strength"], 9)
 
 
 @query(None)

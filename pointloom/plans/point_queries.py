@@ -55,12 +55,12 @@ def voxel_mean(spark, sf):
     return rounded(voxel.mean_in_voxel(points(spark, sf), 5.0, ["x", "y", "z"]), ["x", "y", "z"], 9)  # y is a multiple of 5e-6: six digits would meet ties
 
 
-@query(f""", v as (select pid, {V5} from points where x < 4),
+@query(f""", v as (select pid, {V5} from points),
 r as (select *, row_number() over (partition by gx, gy, gz order by pid) - 1 as rn, count(*) over (partition by gx, gy, gz) as cnt from v),
 m as (select max(cnt) as top from r)
 select pid, gx, gy, gz, cast(fragment as bigint) as fragment from r, m, unnest(range(rn, top, cnt)) as u(fragment)""")
 def grid_fragments(spark, sf):
-    return voxel.grid_fragments(points(spark, sf).where("x < 4"), 5.0).select("pid", "gx", "gy", "gz", "fragment")
+    return voxel.grid_fragments(points(spark, sf), 5.0).select("pid", "gx", "gy", "gz", "fragment")
 
 
 @query(None)
@@ -324,13 +324,12 @@ def overlay_count(spark, sf):
     return raster.overlay_count(points(spark, sf), 5.0)
 
 
-_TOP = """, r as (select cast(floor(x / 2) as bigint) as px, cast(floor(y / 2) as bigint) as py, max(z) as z from points where pid % 3 = 0 group by 1, 2)"""
+_TOP = """, r as (select cast(floor(x / 2) as bigint) as px, cast(floor(y / 2) as bigint) as py, max(z) as z from points group by 1, 2)"""
 _OFF = "(select a.i as dx, b.i as dy from (select unnest([-1, 0, 1]) i) a, (select unnest([-1, 0, 1]) i) b)"
 
 
 def _sparse(spark, sf):
-    p = points(spark, sf).where("pid % 3 = 0")
-    return raster.pixels(p, 2.0).groupBy(*raster.PIXEL).agg(F.max("z").alias("z"))
+    return raster.pixels(points(spark, sf), 2.0).groupBy(*raster.PIXEL).agg(F.max("z").alias("z"))
 
 
 @query(f"{_TOP} select r.px, r.py, round(avg(n.z), 6) as z from r, {_OFF} o join r n on n.px = r.px + dx and n.py = r.py + dy group by r.px, r.py".replace(f"from r, {_OFF} o join r n on", f"from r cross join {_OFF} o join r n on"))
@@ -530,14 +529,14 @@ def instance_boxes(spark, sf):
     return labels.instances(points(spark, sf).withColumn("instance", F.col("line")), "instance", "segment", ["scene"])
 
 
-@query(""", m as (select segment, row_number() over (partition by segment order by pid) as i, case when x > 25 then 1 else 0 end as mask from points where pid % 5 = 0),
+@query(""", m as (select segment, row_number() over (partition by segment order by pid) as i, case when x > 25 then 1 else 0 end as mask from points),
 c as (select *, case when mask <> coalesce(lag(mask) over (partition by segment order by i), -1) then 1 else 0 end as ch from m), g as (select *, sum(ch) over (partition by segment order by i) as g from c)
 select segment, min(i) as start, count(*) as length from g where mask = 1 group by segment, g""")
 def rle_runs(spark, sf):
     from pyspark.sql import Window
 
     i = F.row_number().over(Window.partitionBy("segment").orderBy("pid")).cast("long")
-    m = points(spark, sf).where("pid % 5 = 0").select("segment", i.alias("i"), F.when(F.col("x") > 25, 1).otherwise(0).alias("mask"))
+    m = points(spark, sf).select("segment", i.alias("i"), F.when(F.col("x") > 25, 1).otherwise(0).alias("mask"))
     return labels.runs(m, ["segment"], "i", "mask")
 
 
