@@ -6,8 +6,10 @@ windows always share their anchor; consecutive windows with one anchor form a
 unit. Units are dealt by anchor. Equal units but the first are repeats as a
 whole; anchors that occur once are done; units that share an anchor but differ
 go to an index (the caller's resolver), many anchors to one bounded block.
-Anchors with more than HOT differing units skip the block: their windows are
-compared by hash in a plain aggregation, which no single task has to hold.
+Anchors with more than HOT differing units are split: their windows are dealt
+anew by longer anchors, in units again, as often as needed. The longest anchor
+is the window itself, under which no two units differ, so every anchor ends in
+a block that fits a task.
 """
 
 from __future__ import annotations
@@ -21,18 +23,21 @@ from pyspark.sql import functions as F
 
 from pointloom.llm.common import ROWS, BASE, _INVERSE, mix64, short_batches, stored
 
-#: Differing units of one anchor that a block may hold.
+#: Differing units of one anchor that a block may hold; an anchor with more is split.
 HOT = 3000
 #: Bytes of unit content in one indexed block.
 BLOCK = 1_000_000
 
 
 class Windows:
-    """How to read documents as symbols: width of a window, length of an anchor's q-gram, symbols of a text, 64-bit values of symbols.
+    """How to read documents as symbols: width of a window, lengths of an anchor's q-gram, symbols of a text, 64-bit values of symbols.
 
+    q: the usual length first, then those that split hot anchors, the last being width;
     same_document: whether a window may repeat an earlier one of its own document."""
 
-    def __init__(self, width: int, q: int, symbols: Callable[[str], np.ndarray], values: Callable[[np.ndarray], np.ndarray], same_document: bool):
+    def __init__(self, width: int, q: tuple[int, ...], symbols: Callable[[str], np.ndarray], values: Callable[[np.ndarray], np.ndarray], same_document: bool):
+        if q[-1] != width or list(q) != sorted(set(q)):
+            raise ValueError("anchor lengths grow, up to the window's width")
         self.width, self.q, self.symbols, self.values, self.same_document = width, q, symbols, values, same_document
 
 
@@ -76,8 +81,23 @@ def _long(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64)
 
 
+def _units(parts: list[list[np.ndarray]], same_document: bool) -> pa.RecordBatch | None:
+    """Units of a batch from lists of (anchor, content, document, first window, windows) columns.
+
+    Repeats inside the batch are told at once (kind 1) and dealt by their own hash."""
+    if not parts[0] or not sum(map(len, parts[0])):
+        return None
+    a, u, doc, at, n = (np.concatenate(p) for p in parts)
+    order = np.lexsort((at, doc, u))
+    a, u, doc, at, n = (x[order] for x in (a, u, doc, at, n))
+    run_first = _fill(np.append(True, u[1:] != u[:-1]))
+    copy = (doc > doc[run_first]) | ((at != at[run_first]) if same_document else False)
+    a = np.where(copy, _long(mix64(u.view(np.uint64) + doc.view(np.uint64))), a)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (copy.astype(np.int8), a, u, doc, at, n.astype(np.int32))], names=["kind", "a", "u", "doc", "at", "n"])
+
+
 def _extract(win: Windows):
-    """Units of a batch of documents. Repeats inside the batch are told at once (kind 1) and dealt by their own hash."""
+    """Units of documents, rows (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,18 +107,31 @@ def _extract(win: Windows):
                 text = batch.column(1)[i].as_py()
                 if text is None:
                     continue
-                a, u, at, n = units_of(win.values(win.symbols(text)), win.width, win.q)
+                a, u, at, n = units_of(win.values(win.symbols(text)), win.width, win.q[0])
                 for into, x in zip(parts, (a, u, np.full(len(a), ids[i], np.int64), at, n)):
                     into.append(_long(x))
-            if not parts[0] or not sum(map(len, parts[0])):
-                continue
-            a, u, doc, at, n = (np.concatenate(p) for p in parts)
-            order = np.lexsort((at, doc, u))
-            a, u, doc, at, n = (x[order] for x in (a, u, doc, at, n))
-            run_first = _fill(np.append(True, u[1:] != u[:-1]))
-            copy = (doc > doc[run_first]) | ((at != at[run_first]) if win.same_document else False)
-            a = np.where(copy, _long(mix64(u.view(np.uint64) + doc.view(np.uint64))), a)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (copy.astype(np.int8), a, u, doc, at, n.astype(np.int32))], names=["kind", "a", "u", "doc", "at", "n"])
+            found = _units(parts, win.same_document)
+            if found is not None:
+                yield found
+
+    return run
+
+
+def _split(win: Windows, q: int):
+    """Units under longer anchors, of q symbols, from units of hot anchors, rows (a, doc, at, n, content)."""
+    dtype = win.symbols("").dtype
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts: list[list[np.ndarray]] = [[] for _ in range(5)]
+            for old, doc, at, content in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4))):
+                a, u, first, n = units_of(win.values(np.frombuffer(content, dtype)), win.width, q)
+                a = mix64(a + np.array([old], np.int64).view(np.uint64))  # windows of different anchors differ
+                for into, x in zip(parts, (a, u, np.full(len(a), doc, np.int64), at + _long(first), n)):
+                    into.append(_long(x))
+            found = _units(parts, win.same_document)
+            if found is not None:
+                yield found
 
     return run
 
@@ -204,26 +237,6 @@ def _blocks(resolve):
     return run
 
 
-def _explode(win: Windows, dtype):
-    """(window hash, doc, at) of every window of units whose anchor is hot."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h, d, s = [], [], []
-            for doc, at, n, content in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4))):
-                values = win.values(np.frombuffer(content, dtype))
-                up, down = _powers(len(values) + 1)
-                sums = np.append(np.uint64(0), np.cumsum(values * up[: len(values)]))
-                i = np.arange(n)
-                h.append(mix64((sums[i + win.width] - sums[i]) * down[i]).view(np.int64))
-                d.append(np.full(n, doc, np.int64))
-                s.append(at + i)
-            if h:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (h, d, s)], names=["h", "doc", "at"])
-
-    return run
-
-
 def one_text(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with one row an id: rows without id are left out, of rows that share an id the least text stays."""
     rows = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
@@ -235,25 +248,36 @@ def repeated_spans(docs: DataFrame, win: Windows, resolve) -> DataFrame:
     """(doc, start, end): symbol ranges made of windows that repeat an earlier one; docs has one row an id.
 
     resolve(contents, docs, counts) gets a block's units in order and returns arrays (unit, first, end) of marked symbols."""
-    units = docs.mapInArrow(_extract(win), "kind byte, a long, u long, doc long, at long, n int")
-    sifted = stored(
-        units.repartition("a").sortWithinPartitions("a", "u", "doc", "at").mapInArrow(_sift(win.same_document), "kind byte, a long, doc long, at long, n int")
-    )
-    whole = sifted.where("kind = 1").select("doc", F.col("at").alias("start"), (F.col("at") + F.col("n") - 1 + win.width).alias("end"))
-    open_ = sifted.where("kind = 0").select("a", "doc", "at", "n")
+    dealt = "kind byte, a long, u long, doc long, at long, n int"
+    units, spans = docs.mapInArrow(_extract(win), dealt), None
+    for q in (*win.q[1:], None):
+        sifted = stored(
+            units.repartition("a").sortWithinPartitions("a", "u", "doc", "at").mapInArrow(_sift(win.same_document), "kind byte, a long, doc long, at long, n int")
+        )
+        whole = sifted.where("kind = 1").select("doc", F.col("at").alias("start"), (F.col("at") + F.col("n") - 1 + win.width).alias("end"))
+        spans = whole if spans is None else spans.unionByName(whole)
+        if q is None:  # under the last anchors units do not differ
+            break
+        open_ = sifted.where("kind = 0").select("a", "doc", "at", "n")
+        held = _held(docs, open_, win)
+        hot = open_.groupBy("a").count().where(F.col("count") > HOT).select("a")
+        any_hot = hot.limit(1).count() > 0
+        if any_hot:
+            hot = stored(hot)
+            units = _held(docs, open_.join(hot, "a", "left_semi"), win).mapInArrow(_split(win, q), dealt)
+            held = _held(docs, open_.join(hot, "a", "left_anti"), win)
+        marked = held.repartition("a").sortWithinPartitions("a", "doc", "at").mapInArrow(_blocks(resolve), "doc long, start long, end long")
+        spans = spans.unionByName(marked)
+        if not any_hot:
+            break
+    return spans
+
+
+def _held(docs: DataFrame, open_: DataFrame, win: Windows) -> DataFrame:
+    """Units with their symbols, cut from the texts again: cheaper than keeping them."""
     by_doc = open_.groupBy("doc").agg(F.collect_list(F.struct("a", "at", "n")).alias("units"))  # no more than a document has windows
-    held = docs.join(by_doc, docs["doc_id"] == by_doc["doc"]).select("doc_id", "text", "units").mapInArrow(_contents(win), "a long, doc long, at long, n int, content binary")
-    hot = open_.groupBy("a").count().where(F.col("count") > HOT).select("a")
-    if hot.limit(1).count():
-        hot = stored(hot)  # the contents are cut again for either branch: cheaper than keeping them
-        windows = held.join(hot, "a", "left_semi").select("a", "doc", "at", "n", "content").mapInArrow(_explode(win, win.symbols("").dtype), "h long, doc long, at long")
-        first = windows.groupBy("h").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
-        later = (F.struct(F.col("w.doc"), F.col("w.at")) > F.col("f.first")) if win.same_document else (F.col("w.doc") > F.col("f.first.doc"))
-        more = windows.alias("w").join(first.alias("f"), F.col("w.h") == F.col("f.h")).where(later).select(F.col("w.doc").alias("doc"), F.col("w.at").alias("start"), (F.col("w.at") + win.width).alias("end"))
-        whole = whole.unionByName(more)
-        held = held.join(hot, "a", "left_anti").select("a", "doc", "at", "n", "content")
-    marked = held.repartition("a").sortWithinPartitions("a", "doc", "at").mapInArrow(_blocks(resolve), "doc long, start long, end long")
-    return whole.unionByName(marked)
+    joined = docs.join(by_doc, docs["doc_id"] == by_doc["doc"]).select("doc_id", "text", "units")
+    return joined.mapInArrow(_contents(win), "a long, doc long, at long, n int, content binary")
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, fn, schema: str) -> DataFrame:

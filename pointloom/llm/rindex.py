@@ -139,7 +139,7 @@ def _bytes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode(), np.uint8)
 
 
-BYTES = Windows(WIDTH, 16, _bytes, lambda b: _BYTE_KEYS[b], same_document=True)
+BYTES = Windows(WIDTH, (16, 48, 80, WIDTH), _bytes, lambda b: _BYTE_KEYS[b], same_document=True)
 
 
 def _digest(doc_id: int, text: str | None, spans: np.ndarray) -> tuple:

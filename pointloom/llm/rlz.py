@@ -122,7 +122,7 @@ def words(text: str) -> np.ndarray:
     return word_hashes(text.encode())[2]
 
 
-WORDS = Windows(WIDTH, 6, words, lambda w: w, same_document=False)
+WORDS = Windows(WIDTH, (6, 9, 11, WIDTH), words, lambda w: w, same_document=False)
 
 
 def _digest(doc_id: int, text: str | None, spans: np.ndarray) -> tuple:

@@ -54,7 +54,7 @@ def brute_bytes(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot", [3000, 2])
+@pytest.mark.parametrize("hot", [3000, 2, 1])
 def test_against_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(repeats, "HOT", hot)
     for seed in (1, 2):
