@@ -117,25 +117,6 @@ def _extract(win: Windows):
     return run
 
 
-def _split(win: Windows, q: int):
-    """Units under longer anchors, of q symbols, from units of hot anchors, rows (a, doc, at, n, content)."""
-    dtype = win.symbols("").dtype
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts: list[list[np.ndarray]] = [[] for _ in range(5)]
-            for old, doc, at, content in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4))):
-                a, u, first, n = units_of(win.values(np.frombuffer(content, dtype)), win.width, q)
-                a = mix64(a + np.array([old], np.int64).view(np.uint64))  # windows of different anchors differ
-                for into, x in zip(parts, (a, u, np.full(len(a), doc, np.int64), at + _long(first), n)):
-                    into.append(_long(x))
-            found = _units(parts, win.same_document)
-            if found is not None:
-                yield found
-
-    return run
-
-
 def _fill(starts: np.ndarray) -> np.ndarray:
     """For each place the last place at or before it where starts holds."""
     return np.maximum.accumulate(np.where(starts, np.arange(len(starts)), 0))
@@ -192,8 +173,16 @@ def _out(kind, a, doc, at, n) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(x).astype(t)) for x, t in ((kind, np.int8), (a, np.int64), (doc, np.int64), (at, np.int64), (n, np.int32))], names=["kind", "a", "doc", "at", "n"])
 
 
+def _finer(win: Windows, q: int, a: int, doc: int, at: int, content: bytes) -> list[tuple]:
+    """Rows (a, doc, at, n, content) of one unit's windows dealt by anchors of q symbols; windows of different anchors differ, so the old one counts too."""
+    symbols = np.frombuffer(content, win.symbols("").dtype)
+    new, _, first, n = units_of(win.values(symbols), win.width, q)
+    new = mix64(new + np.array([a], np.int64).view(np.uint64)).view(np.int64)
+    return [(x, doc, at + i, k, symbols[i : i + k - 1 + win.width].tobytes()) for x, i, k in zip(new.tolist(), first.tolist(), n.tolist())]
+
+
 def _contents(win: Windows):
-    """Attaches its symbols to each unit of a document: rows (a, doc, at, n, content)."""
+    """Attaches its symbols to each unit of a document, units of hot anchors under longer anchors: rows (a, doc, at, n, content)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,40 +192,91 @@ def _contents(win: Windows):
                 for doc, text, units in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()):
                     symbols = win.symbols(text)
                     for x in units:
-                        rows.append((x["a"], doc, x["at"], x["n"], symbols[x["at"] : x["at"] + x["n"] - 1 + win.width].tobytes()))
+                        content = symbols[x["at"] : x["at"] + x["n"] - 1 + win.width].tobytes()
+                        rows += _finer(win, win.q[1], x["a"], doc, x["at"], content) if x["hot"] else [(x["a"], doc, x["at"], x["n"], content)]
                 cols = list(zip(*rows)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["a", "doc", "at", "n", "content"])
 
     return run
 
 
-def _blocks(resolve):
-    """Gathers whole anchors up to BLOCK bytes of content and resolves each block; rows are sorted by anchor, document and place."""
+def _settle(win: Windows, resolve, q: int | None):
+    """Resolves units (a, u, doc, at, n, content) sorted by anchor, content hash, document and place, whole anchors to a block of BLOCK bytes.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        size = 0
+    Gives repeated ranges (kind 1; n symbols from at). Of an anchor with more than HOT differing units only
+    HOT are ever held: all are given back under anchors of q symbols (kind 0). q is None after the last length,
+    where an anchor is the window and no two units of it differ."""
+    types = (pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
 
-        def flush():
-            rows.sort(key=lambda r: (r[1], r[2]))  # the order in which windows count as earlier
-            marks = resolve([r[4] for r in rows], np.array([r[1] for r in rows]), np.array([r[3] for r in rows]))
-            unit, first, end = marks  # marked symbols of units, from first to end
-            doc, at = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(doc[unit]), pa.array(at[unit] + first), pa.array(at[unit] + end)], names=["doc", "start", "end"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: list[tuple] = []  # (a, doc, at, n, content)
+        out: list[tuple] = []
+        size = since = 0  # bytes in the block, where the anchor's units begin in it
+        anchor = first = None
+        hot = False
+
+        def flush() -> list[tuple]:
+            block.sort(key=lambda r: (r[1], r[2]))  # the order in which windows count as earlier
+            unit, start, end = resolve([r[4] for r in block], np.array([r[1] for r in block]), np.array([r[3] for r in block]))
+            by = np.argsort(unit, kind="stable")
+            unit, start, end = unit[by], start[by], end[by]
+            found = []
+            for lo, hi in zip(*_groups(unit)):
+                _, doc, at, _, _ = block[unit[lo]]
+                found += [(1, 0, doc, at + x, y - x, b"") for x, y in merge(start[lo:hi], end[lo:hi]).tolist()]
+            block.clear()
+            return found
+
+        def rows() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["kind", "a", "doc", "at", "n", "content"])
+            out.clear()
+            return batch
+
+        def split(units: list[tuple]) -> None:
+            for a, doc, at, _, content in units:
+                out.extend((0, *x) for x in _finer(win, q, a, doc, at, content))
 
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if size > BLOCK and row[0] != rows[-1][0]:
-                    yield flush()
-                    rows, size = [], 0
-                rows.append(row)
-                size += len(row[4])
-        if rows:
-            yield flush()
+            for a, u, doc, at, n, content in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if a != anchor:
+                    if size > BLOCK:
+                        out += flush()
+                        size = 0
+                    anchor, first, since, hot = a, None, len(block), False
+                if first is None or first[0] != u or first[3] != content:
+                    first = (u, doc, at, content)
+                elif doc > first[1] or (win.same_document and at != first[2]):
+                    out.append((1, 0, doc, at, n - 1 + win.width, b""))
+                    continue
+                unit = (a, doc, at, n, content)
+                if hot:
+                    split([unit])
+                elif q is not None:
+                    block.append(unit)
+                    size += len(content)
+                    if len(block) - since > HOT:
+                        hot = True
+                        size -= sum(len(r[4]) for r in block[since:])
+                        split(block[since:])
+                        del block[since:]
+                if len(out) >= ROWS:
+                    yield rows()
+        if block:
+            out += flush()
+        if out:
+            yield rows()
 
     return run
 
 
+def _groups(sorted_values: np.ndarray) -> tuple[list[int], list[int]]:
+    """Where each run of equal values begins and ends."""
+    if not len(sorted_values):
+        return [], []
+    lo = np.flatnonzero(np.append(True, sorted_values[1:] != sorted_values[:-1]))
+    return lo.tolist(), np.append(lo[1:], len(sorted_values)).tolist()
+
+
 def one_text(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with one row an id: rows without id are left out, of rows that share an id the least text stays."""
     rows = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
@@ -248,38 +288,27 @@ def repeated_spans(docs: DataFrame, win: Windows, resolve) -> DataFrame:
     """(doc, start, end): symbol ranges made of windows that repeat an earlier one; docs has one row an id.
 
     resolve(contents, docs, counts) gets a block's units in order and returns arrays (unit, first, end) of marked symbols."""
-    dealt = "kind byte, a long, u long, doc long, at long, n int"
-    units, spans = docs.mapInArrow(_extract(win), dealt), None
-    for q in (*win.q[1:], None):
-        sifted = stored(
-            units.repartition("a").sortWithinPartitions("a", "u", "doc", "at").mapInArrow(_sift(win.same_document), "kind byte, a long, doc long, at long, n int")
-        )
-        whole = sifted.where("kind = 1").select("doc", F.col("at").alias("start"), (F.col("at") + F.col("n") - 1 + win.width).alias("end"))
-        spans = whole if spans is None else spans.unionByName(whole)
-        if q is None:  # under the last anchors units do not differ
-            break
-        open_ = sifted.where("kind = 0").select("a", "doc", "at", "n")
-        held = _held(docs, open_, win)
-        hot = open_.groupBy("a").count().where(F.col("count") > HOT).select("a")
-        any_hot = hot.limit(1).count() > 0
-        if any_hot:
-            hot = stored(hot)
-            units = _held(docs, open_.join(hot, "a", "left_semi"), win).mapInArrow(_split(win, q), dealt)
-            held = _held(docs, open_.join(hot, "a", "left_anti"), win)
-        marked = held.repartition("a").sortWithinPartitions("a", "doc", "at").mapInArrow(_blocks(resolve), "doc long, start long, end long")
-        spans = spans.unionByName(marked)
-        if not any_hot:
+    units = docs.mapInArrow(_extract(win), "kind byte, a long, u long, doc long, at long, n int")
+    sifted = stored(
+        units.repartition("a").sortWithinPartitions("a", "u", "doc", "at").mapInArrow(_sift(win.same_document), "kind byte, a long, doc long, at long, n int")
+    )
+    spans = sifted.where("kind = 1").select("doc", F.col("at").alias("start"), (F.col("at") + F.col("n") - 1 + win.width).alias("end"))
+    open_ = sifted.where("kind = 0").select("a", "doc", "at", "n")
+    hot = stored(open_.groupBy("a").count().where(F.col("count") > HOT).select("a", F.lit(True).alias("hot")))
+    dealt = open_.join(hot, "a", "left")  # hot anchors are split where the documents lie, before the shuffle
+    by_doc = dealt.groupBy("doc").agg(F.collect_list(F.struct("a", "at", "n", "hot")).alias("units"))  # no more than a document has windows
+    joined = docs.join(by_doc, docs["doc_id"] == by_doc["doc"]).select("doc_id", "text", "units")
+    held = joined.mapInArrow(_contents(win), "a long, doc long, at long, n int, content binary")
+    for q in (*win.q[2:], None):
+        ordered = held.repartition("a").select("a", F.xxhash64("content").alias("u"), "doc", "at", "n", "content").sortWithinPartitions("a", "u", "doc", "at")
+        settled = stored(ordered.mapInArrow(_settle(win, resolve, q), "kind byte, a long, doc long, at long, n int, content binary"))
+        spans = spans.unionByName(settled.where("kind = 1").select("doc", F.col("at").alias("start"), (F.col("at") + F.col("n")).alias("end")))
+        held = settled.where("kind = 0").select("a", "doc", "at", "n", "content")
+        if not held.limit(1).count():
             break
     return spans
 
 
-def _held(docs: DataFrame, open_: DataFrame, win: Windows) -> DataFrame:
-    """Units with their symbols, cut from the texts again: cheaper than keeping them."""
-    by_doc = open_.groupBy("doc").agg(F.collect_list(F.struct("a", "at", "n")).alias("units"))  # no more than a document has windows
-    joined = docs.join(by_doc, docs["doc_id"] == by_doc["doc"]).select("doc_id", "text", "units")
-    return joined.mapInArrow(_contents(win), "a long, doc long, at long, n int, content binary")
-
-
 def with_spans(docs: DataFrame, spans: DataFrame, fn, schema: str) -> DataFrame:
     """fn(doc_id, text, merged spans) for every document, spans as a sorted (k, 2) array; fn returns a tuple for schema."""
     from pyspark.sql.pandas.types import to_arrow_schema
