@@ -20,10 +20,10 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written as a table in the shared folder and read again: no lineage, and real sizes for the planner."""
+def stored(df: DataFrame, codec: str | None = None) -> DataFrame:
+    """df written as a table in the shared folder and read again: no lineage, and real sizes for the planner. codec: Parquet's compression, the session's if not given."""
     path = f"{shared_folder(df.sparkSession)}/pointloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
