@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pointloom.llm.common import documents
+from pointloom.llm.common import documents, shared_folder
 from pointloom.llm.pipeline import MIX
 
 
@@ -72,6 +74,28 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pointloom.llm.divergence import divergence
+
+    return divergence(documents(spark, sf_dir), least_documents=10, top=10)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pointloom.llm.fim import fill_in_middle, restored
+
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    rows = fill_in_middle(documents(spark, sf_dir), middle_percent=90, spm_percent=20, epoch=1)
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(restored()).alias("restored_sha256"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pointloom.llm.token_files import default_tokenizer, read_tokens, write_tokens
+
+    folder = f"{shared_folder(spark)}/pointloom-tokens-{uuid.uuid4().hex}"
+    write_tokens(documents(spark, sf_dir), folder, default_tokenizer("word_bpe_49k.json"), end=2)
+    return read_tokens(spark, folder)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pointloom.llm.pipeline import run
 
@@ -79,7 +103,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_language_id, op3_mix_sources, op4_quality, op5_decontaminate, op6_substring_dedup, op7_secret_scan, op8_fingerprints, op9_ngram_join, op10_suffix_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_license_scan, op2_language_id, op3_mix_sources, op4_quality, op5_decontaminate, op6_substring_dedup, op7_secret_scan, op8_fingerprints, op9_ngram_join, op10_suffix_dedup, op11_source_divergence, op12_fill_in_middle, op13_token_files, pipeline)}
 
 
 def _fill(table: str, parent: str, names: str) -> str:
@@ -155,5 +179,37 @@ select doc.doc_id, cast(len(h) // 2 as bigint) as n_bytes, coalesce(gone, 0) as
 from doc left join piece using (doc_id)"""
 
 
+DIVERGENCE_SQL = """
+with doc as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+                    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as w from documents),
+hit as (select r, lang, source, unnest(w) as term from doc),
+cnt as (select lang, source, term, count(*) as n, count(distinct r) as df from hit group by all),
+kept as (select lang, term, cast(sum(n) as bigint) as n from cnt group by lang, term having sum(df) >= 10),
+vocab as (select lang, count(*) as v, cast(sum(n) as bigint) as n from kept group by lang),
+grp as (select distinct lang, source from doc),
+grid as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n, k.n as all_n from grp g join kept k using (lang) left join cnt c using (lang, source, term)),
+grp_n as (select lang, source, cast(sum(n) as bigint) as n from grid group by all),
+share as (select lang, source, term, d.n as n, 1 + 1000000000::hugeint * (d.n + 2) // (g.n + 2 * v) as p, 1 + 1000000000::hugeint * (all_n + 2) // (w.n + 2 * v) as q
+          from grid d join grp_n g using (lang, source) join vocab w using (lang)),
+pair as (select a.lang, a.source, b.source as item, cast(sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as bigint) as value
+         from share a join share b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+whole as (select a.lang, a.source, b.source as item, coalesce(value, 0) as value
+          from grp a join grp b on a.lang = b.lang and a.source <> b.source left join pair p on p.lang = a.lang and p.source = a.source and p.item = b.source),
+term as (select lang, source, term as item, cast((p - q) * (p - q) // (p + q) as bigint) as value from share where n > 0 and p > q)
+select lang, source, 'pair' as part, item, value, cast(row_number() over (partition by lang, source order by value desc, item) as integer) as rank from whole
+union all
+select * from (select lang, source, 'term' as part, item, value, cast(row_number() over (partition by lang, source order by value desc, item) as integer) as rank from term) where rank <= 10"""
+
+MIDDLE_SQL = """
+with doc as (select doc_id, coalesce(text, '') as t, sha256('1:' || cast(doc_id as varchar)) as h from documents),
+cut as (select doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') as w, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2, ('0x' || h[17:24])::bigint as h3, ('0x' || h[25:32])::bigint as h4 from doc),
+spot as (select *, len(w) as n, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) as a, greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) as b from cut),
+part as (select doc_id, t, cast(n as bigint) as n, coalesce(array_to_string(w[1:a], ''), '') as pre, coalesce(array_to_string(w[a + 1:b], ''), '') as mid, coalesce(array_to_string(w[b + 1:], ''), '') as suf,
+                case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from spot)
+select doc_id, n, form, case when form <> 'plain' then cast(length(pre) as bigint) end as prefix_chars, case when form <> 'plain' then cast(length(mid) as bigint) end as middle_chars,
+       sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256, sha256(t) as restored_sha256
+from part"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": _mix_sql(0.5, MIX), "op6_substring_dedup": SUBSTRING_SQL, "op9_ngram_join": JOIN_SQL, "op10_suffix_dedup": SUFFIX_SQL}
+    return {"op3_mix_sources": _mix_sql(0.5, MIX), "op6_substring_dedup": SUBSTRING_SQL, "op9_ngram_join": JOIN_SQL, "op10_suffix_dedup": SUFFIX_SQL, "op11_source_divergence": DIVERGENCE_SQL, "op12_fill_in_middle": MIDDLE_SQL}
