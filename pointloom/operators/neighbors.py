@@ -1,8 +1,9 @@
-"""Neighbour joins on a grid: points meet only points of adjacent cells.
+"""Neighbour joins on a grid: points meet only points of the cells that a ball touches.
 
-The cell is as wide as the search radius, so all pairs within it lie in 27
-cells; the build side is copied to them and the join is an equality on the
-cell, which Spark shuffles, sorts and splits like any other.
+Cells are twice as wide as the search radius. A query is copied to the cells
+its ball touches (one to eight, 3.4 on average) and meets the points of those
+cells by an equality join, which Spark shuffles, sorts and splits like any
+other. Points are not copied, however many they are.
 """
 
 from __future__ import annotations
@@ -10,23 +11,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pointloom.operators.common import dropped, stored
+
 CELL = ["_cx", "_cy", "_cz"]
 
 
-def _cells(df: DataFrame, size: float) -> DataFrame:
-    return df.withColumns({g: F.floor(F.col(c) / size) for g, c in zip(CELL, "xyz")})
+def _cells(df: DataFrame, radius: float) -> DataFrame:
+    return df.withColumns({g: F.floor(F.col(c) / (2 * radius)) for g, c in zip(CELL, "xyz")})
+
 
+def _touched(df: DataFrame, radius: float) -> DataFrame:
+    """A row for each cell that the ball of radius around it touches; the ball is a little larger than asked, so rounding loses no cell."""
+    for g, c in zip(CELL, "xyz"):
+        reach = F.lit(radius * 1.000001) + F.abs(c) * 1e-15
+        df = df.withColumn(g, F.explode(F.sequence(F.floor((F.col(c) - reach) / (2 * radius)), F.floor((F.col(c) + reach) / (2 * radius)))))
+    return df
 
-def _around(df: DataFrame, reach: int = 1) -> DataFrame:
-    steps = F.explode(F.array(*[F.struct(*[F.lit(d).alias(n) for d, n in zip((a, b, c), "abc")]) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1) for c in range(-reach, reach + 1)]))
-    return df.withColumn("_m", steps).withColumns({g: F.col(g) + F.col(f"_m.{n}") for g, n in zip(CELL, "abc")}).drop("_m")
 
+def within(queries: DataFrame, points: DataFrame, radius: float, batch: str | None = "scene", closed: bool = False, copied: str = "queries") -> DataFrame:
+    """Pairs (qid, pid, d2) of distance under radius (or equal, when closed) in the same batch.
 
-def within(queries: DataFrame, points: DataFrame, radius: float, batch: str | None = "scene", closed: bool = False) -> DataFrame:
-    """Pairs (qid, pid, d2) of distance under radius (or equal, when closed) in the same batch."""
+    copied: the side that is copied to neighbouring cells, the smaller one; points, where they are few against the queries."""
     keys = [batch] if batch else []
-    q = _cells(queries.select(*keys, "x", "y", "z", F.col("pid").alias("qid")), radius).withColumnsRenamed({c: f"_q{c}" for c in "xyz"})
-    p = _around(_cells(points.select(*keys, "pid", "x", "y", "z"), radius))
+    q = queries.select(*keys, "x", "y", "z", F.col("pid").alias("qid"))
+    p = points.select(*keys, "pid", "x", "y", "z")
+    q, p = (_touched(q, radius), _cells(p, radius)) if copied == "queries" else (_cells(q, radius), _touched(p, radius))
+    q = q.withColumnsRenamed({c: f"_q{c}" for c in "xyz"})
     d2 = sum((F.col(c) - F.col(f"_q{c}")) * (F.col(c) - F.col(f"_q{c}")) for c in "xyz")
     pairs = q.join(p, [*keys, *CELL]).withColumn("d2", d2)
     limit = F.lit(radius * radius)
@@ -34,38 +44,52 @@ def within(queries: DataFrame, points: DataFrame, radius: float, batch: str | No
 
 
 def cell_for(points: DataFrame, k: int, batch: str = "scene") -> float:
-    """A first radius for knn at which a ball of the densest batch's mean density holds about 4 k points; it sets the work, no result."""
-    box = points.groupBy(batch).agg(F.count("*").alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in "xyz"])
-    each = F.pow(F.greatest(F.col("x") * F.col("y") * F.col("z"), F.lit(1e-9)) * k / F.col("n"), F.lit(1 / 3))
-    return float(box.agg(F.min(each)).first()[0] or 1.0)
+    """A first radius for knn at which a ball of the densest batch's mean density holds about 4 k points; it sets the work, no result.
 
+    The density is that of the axes along which a batch extends: a flat one has an area, a straight one a length."""
+    box = points.groupBy(batch).agg(F.count("*").alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in "xyz"])
+    size, axes = F.lit(1.0), F.lit(0)
+    for c in "xyz":
+        size, axes = size * F.when(F.col(c) > 0, F.col(c)).otherwise(1.0), axes + (F.col(c) > 0).cast("int")
+    each = F.pow(size * k / F.col("n"), 1 / axes)
+    return float(box.where(axes > 0).agg(F.min(each)).first()[0] or 1.0)
 
-def knn(queries: DataFrame, points: DataFrame, k: int, cell: float, batch: str | None = "scene", most_rounds: int = 24) -> DataFrame:
-    """The k nearest points of every query (qid, pid, d2, rank from 0), ties by pid; fewer where the batch has fewer.
 
-    Rings of doubling radius: a query is done when its k-th neighbour lies within the radius searched, or everything does."""
-    from pointloom.operators.common import stored
+def knn(queries: DataFrame, points: DataFrame, k: int, cell: float, batch: str | None = "scene") -> DataFrame:
+    """The k nearest points of every query (qid, pid, d2, rank from 0), ties by pid; fewer where the batch has fewer, none where it has no points.
 
+    Rings of doubling radius: a query is done when as many neighbours as it can have lie within the radius searched.
+    Rounds go on until every query is done; the radius at which everything is in reach ends them."""
     keys = [batch] if batch else []
-    left, done, radius = queries, None, cell
     near = Window.partitionBy(*keys, "qid").orderBy("d2", "pid")
-    span = points.agg(*[(F.max(c) - F.min(c)).alias(c) for c in "xyz"]).first()
-    out = queries.agg(*[f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    edge = points.agg(*[f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    if span["x"] is None or out["lox"] is None:
-        return within(queries, points, cell, batch).withColumn("rank", F.lit(0)).limit(0)
-    far = sum(max(out[f"hi{c}"], edge[f"hi{c}"]) - min(out[f"lo{c}"], edge[f"lo{c}"]) for c in "xyz") + 1.0
-    for _ in range(most_rounds):
-        last = radius > far
+    points = stored(points.select(*keys, "pid", "x", "y", "z").where("x + y + z is not null"))
+    left = queries.select(*keys, "pid", "x", "y", "z").where("x + y + z is not null")
+    if batch:
+        left = left.join(points.groupBy(batch).agg(F.least(F.count("*"), F.lit(k)).alias("_most")), batch)
+    else:
+        left = left.withColumn("_most", F.lit(min(k, points.count()))).where("_most > 0")
+    left = stored(left)
+    box = points.select("x", "y", "z").unionByName(left.select("x", "y", "z")).agg(*[(F.max(c) - F.min(c)).alias(c) for c in "xyz"]).first()
+    far = sum(box[c] or 0.0 for c in "xyz") + 1.0
+    done, radius = [], cell
+    while not left.isEmpty():
+        if radius > 4 * far:
+            raise RuntimeError("knn: queries without an answer at a radius beyond all points; are coordinates finite and ids unique?")
         ranked = within(left, points, radius, batch, closed=True).withColumn("rank", F.row_number().over(near) - 1).where(F.col("rank") < k)
-        full = ranked.groupBy(*keys, "qid").agg(F.count("*").alias("_n")).where(F.col("_n") >= (1 if last else k)).drop("_n")
+        found = ranked.groupBy(*keys, "qid").agg(F.count("*").alias("_n"))
+        full = found.join(left.select(*keys, F.col("pid").alias("qid"), "_most"), [*keys, "qid"]).where("_n >= _most").select(*keys, "qid")
         got = stored(ranked.join(full, [*keys, "qid"]))
-        done = got if done is None else done.unionByName(got)
-        left = stored(left.join(got.select(*keys, F.col("qid").alias("pid")).distinct(), [*keys, "pid"], "left_anti"))
-        if last or left.isEmpty():
-            break
-        radius *= 2
-    return done
+        rest = stored(left.join(got.select(*keys, F.col("qid").alias("pid")).distinct(), [*keys, "pid"], "left_anti"))
+        dropped(left)
+        done.append(got)
+        left, radius = rest, 2 * radius
+    dropped(points, left)
+    if not done:
+        return queries.select(*keys, F.col("pid").alias("qid"), "pid", F.lit(0.0).alias("d2"), F.lit(0).alias("rank")).limit(0)
+    out = done[0]
+    for got in done[1:]:
+        out = out.unionByName(got)
+    return out
 
 
 def nearest_within(queries: DataFrame, points: DataFrame, radius: float, batch: str | None = "scene") -> DataFrame:
@@ -131,8 +155,8 @@ def distance_stats(neighbours: DataFrame) -> DataFrame:
 
 def overlap_share(df: DataFrame, radius: float, cloud: str = "scene") -> DataFrame:
     """For clouds a < b the larger of the shares of one's points that have a point of the other within radius."""
-    q = _cells(df.select("pid", "x", "y", "z", F.col(cloud).alias("a")), radius).withColumnsRenamed({c: f"_q{c}" for c in "xyz"})
-    p = _around(_cells(df.select("x", "y", "z", F.col(cloud).alias("b")).distinct(), radius))
+    q = _touched(df.select("pid", "x", "y", "z", F.col(cloud).alias("a")), radius).withColumnsRenamed({c: f"_q{c}" for c in "xyz"})
+    p = _cells(df.select("x", "y", "z", F.col(cloud).alias("b")).distinct(), radius)
     d2 = sum((F.col(c) - F.col(f"_q{c}")) * (F.col(c) - F.col(f"_q{c}")) for c in "xyz")
     hits = q.join(p, CELL).where((F.col("a") != F.col("b")) & (d2 < radius * radius)).select("a", "b", "pid").distinct().groupBy("a", "b").agg(F.count("*").alias("_n"))
     size = df.groupBy(F.col(cloud).alias("a")).agg(F.count("*").alias("_all"))

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as points: pid, scene, x, y, z, strength, segment 0-5, pred.
 
-    pid holds 60 bits of a digest of the row's keys and measures: rows of equal keys get ids of their own."""
+    pid is whole-number arithmetic on the row's keys and price, cheap wherever the plan repeats it: order and line
+    tell rows apart below 1.2 billion orders, the other keys and the price rows of equal order and line."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     code = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2) * 2 + F.when(F.col("l_linestatus") == "F", 0).otherwise(1)
-    parts = [F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
-    parts += [F.round(F.col(c) * 100).cast("long").cast("string") for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")]
-    pid = F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 15), 16, 10).cast("long")
+    rest = F.col("l_partkey").cast("long") * 40503 + F.col("l_suppkey").cast("long") * 30011 + F.round(F.col("l_extendedprice") * 100).cast("long")
+    pid = F.col("l_orderkey").cast("long") * 7 + F.col("l_linenumber") - 1 + (rest % 134217689) * 8589934583
     rows = li.select(
         pid.alias("pid"), (F.col("l_suppkey") % 4).cast("int").alias("scene"), F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 2000).alias("y"),
         (F.col("l_discount") * 100).alias("z"), F.col("l_tax").alias("strength"), code.cast("int").alias("segment"), F.col("l_linenumber").alias("line"),
@@ -25,8 +25,8 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same view in SQL, for oracles.
 POINTS_SQL = """points as (
   select *, cast((segment + case when pid % 7 = 0 then 1 else 0 end) % 6 as integer) as pred from (
-    select ('0x' || substr(md5(concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(round(l_quantity * 100) as bigint), cast(round(l_extendedprice * 100) as bigint),
-             cast(round(l_discount * 100) as bigint), cast(round(l_tax * 100) as bigint))), 1, 15))::bigint as pid, cast(l_suppkey % 4 as integer) as scene,
+    select l_orderkey::bigint * 7 + l_linenumber - 1 + ((l_partkey::bigint * 40503 + l_suppkey::bigint * 30011 + cast(round(l_extendedprice * 100) as bigint)) % 134217689) * 8589934583 as pid,
+           cast(l_suppkey % 4 as integer) as scene,
            l_quantity as x, l_extendedprice / 2000 as y, l_discount * 100 as z, l_tax as strength,
            cast(case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end * 2 + case l_linestatus when 'F' then 0 else 1 end as integer) as segment, l_linenumber as line
     from lineitem))"""
