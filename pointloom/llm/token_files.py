@@ -40,7 +40,7 @@ from pointloom.llm.rans import Frame, Table, pack
 from pointloom.sources.storage import located
 
 #: Ids of a frame at least, documents tokenized at once, words and ids a worker keeps, words encoded at once.
-FRAME, ROWS, WORDS, IDS, JOINED = 1 << 19, 256, 400_000, 4_000_000, 200
+FRAME, ROWS, WORDS, IDS, JOINED = 1 << 19, 256, 1_000_000, 8_000_000, 50
 INDEX = "file string, part int, first long, at long, size long, n_docs long, n_ids long"
 
 
@@ -82,20 +82,25 @@ class WordIds:
         """Numbers of ids of the texts, with the end id, and all their ids."""
         if len(self.memo) > WORDS or self.used > IDS:
             self._clear()
-        words = [(t or "").encode().split() for t in texts]
-        get = self.memo.get
-        new = list(dict.fromkeys(w for ws in words for w in ws if get(w) is None))
-        if new:
-            self._learn(new)
-        place = np.fromiter((get(w) for ws in words for w in ws), np.int64, sum(map(len, words)))
+        counts, words = [], []
+        for t in texts:
+            found = (t or "").encode().split()
+            counts.append(len(found))
+            words += found
+        at = list(map(self.memo.get, words))
+        if None in at:
+            new = [i for i, known in enumerate(at) if known is None]
+            self._learn(list(dict.fromkeys(words[i] for i in new)))
+            for i in new:
+                at[i] = self.memo[words[i]]
+        place = np.array(at, np.int64)
         size = self.size[place]
         upto = np.concatenate([[0], np.cumsum(size)])
         total = int(upto[-1])
         ids = self.ids[np.repeat(self.start[place] - upto[:-1], size) + np.arange(total)]
-        ends = upto[np.cumsum(list(map(len, words)))] if words else np.zeros(0, np.int64)
-        lengths = np.diff(ends, prepend=0)
-        out = np.full(total + len(words), end, np.uint32)
-        out[np.arange(total) + np.repeat(np.arange(len(words)), lengths)] = ids
+        lengths = np.diff(upto[np.cumsum(counts, dtype=np.int64)], prepend=0)
+        out = np.full(total + len(texts), end, np.uint32)
+        out[np.arange(total) + np.repeat(np.arange(len(texts)), lengths)] = ids
         return lengths + 1, out
 
 
