@@ -167,3 +167,28 @@ def test_streams(spark, tmp_path):
     q = stream.running_stream(src, "key", "value").writeStream.outputMode("complete").format("memory").queryName("sofar").start()
     q.processAllAvailable(), q.stop()
     assert sum(r.n for r in spark.table("sofar").collect()) == 60
+
+
+def test_knn_answers_flat_small_and_far_batches(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, 0, float(x), float(y), 0.0) for i, (x, y) in enumerate(rng.uniform(0, 5000, (60, 2)))]
+    rows += [(100, 1, 0.0, 0.0, 0.0), (101, 1, 4000.0, -900.0, 7.0), (102, 2, 1e5, 1e5, 1e5)]
+    df = spark.createDataFrame(rows, "pid long, scene int, x double, y double, z double")
+    assert neighbors.cell_for(df, 3) > 1
+    got = {}
+    for r in neighbors.knn(df, df, 3, neighbors.cell_for(df, 3)).collect():
+        got.setdefault(r.qid, {})[r["rank"]] = r.pid
+    for q in rows:
+        near = sorted((sum((a - b) ** 2 for a, b in zip(p[2:], q[2:])), p[0]) for p in rows if p[1] == q[1])[:3]
+        assert got[q[0]] == {i: pid for i, (_, pid) in enumerate(near)}
+    alone = spark.createDataFrame([(1, 9, 0.0, 0.0, 0.0)], df.schema)
+    assert neighbors.knn(alone, df, 3, 1.0).count() == 0
+
+
+def test_within_by_either_side(spark):
+    rng = np.random.default_rng(6)
+    xyz = np.round(rng.uniform(-2, 2, (150, 3)), 1)  # many distances are the radius itself
+    df = spark.createDataFrame([(i, 0, *map(float, v)) for i, v in enumerate(xyz)], "pid long, scene int, x double, y double, z double")
+    want = {(i, j) for i in range(150) for j in range(150) if sum((float(xyz[j][c]) - float(xyz[i][c])) ** 2 for c in range(3)) <= 0.25}
+    for side in ("queries", "points"):
+        assert {(r.qid, r.pid) for r in neighbors.within(df, df, 0.5, closed=True, copied=side).collect()} == want
