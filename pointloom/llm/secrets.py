@@ -3,14 +3,21 @@
 Inference (ALERGIA style): labelled credentials of one format build a prefix
 tree with counts; states whose stopping and branching frequencies differ by
 less than a Hoeffding bound, recursively, are merged (red-blue order). The
-result is a probabilistic automaton. A candidate is a stretch of a run of
+result is a probabilistic automaton; a sparse state joins the compatible one
+that explains best what follows it. A candidate is a stretch of a run of
 credential symbols, from the run's start, a separator or a format's prefix to a
-separator or the run's end, no shorter and no longer than the labelled
-credentials. Every candidate is scored by its log-likelihood per symbol under
-each automaton; those above a format's threshold (from held-back labelled
+separator or the run's end, of any length from the shortest labelled one; where
+all labelled credentials of a format have one length, it ends at that length,
+also inside a word. Every candidate is scored by its log-likelihood per symbol
+under each automaton; those above a format's threshold (from held-back labelled
 credentials) are taken by the margin over it, and none overlaps one taken
-before. A format gives no likelihood to less than its shortest example, and
-spans inside base spans are reported too.
+before. A candidate more than DROP behind its threshold at any of its symbols is
+given up. Spans inside base spans are reported too.
+
+Scores are additive, so a run is read as a stream: of all starts that are in one
+state of an automaton, the one with the largest margin stays ahead whatever
+follows, and only it is kept. Work is a run's length times an automaton's states
+and the starts within its shortest length, for each credential taken.
 
 Edge cases: a null or empty text has no spans; runs of any length are scored;
 equal rows give equal results; null ids pass through; other columns are ignored.
@@ -23,7 +30,7 @@ import math
 import random
 import re
 import string
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 from functools import lru_cache
 
 import pandas as pd
@@ -39,7 +46,7 @@ HEX = re.compile(r"[0-9a-f]+")
 _HEX16 = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex")
 
-#: Public credential formats as (kind, prefixes, alphabet, shortest, longest body).
+#: Public credential formats as (kind, prefixes, alphabet, shortest, longest body of the labelled examples).
 ALNUM = string.ascii_letters + string.digits
 FORMATS = (
     ("github", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), ALNUM, 36, 36),
@@ -50,13 +57,14 @@ FORMATS = (
     ("aws", ("AKIA", "ASIA"), string.ascii_uppercase + "234567", 16, 16),
     ("sendgrid", ("SG.",), ALNUM + "_-.", 66, 66),
     ("npm", ("npm_",), ALNUM, 36, 36),
-    ("jwt", ("eyJ",), ALNUM + "_-.", 60, 120),
-    ("digest", ("",), "0123456789abcdef", 32, 64),
+    ("jwt", ("eyJ",), ALNUM + "_-.", 60, 1000),
+    ("digest", ("",), "0123456789abcdef", 32, 128),
 )
 
-#: Length of the shortest and the longest credential that any format has.
+#: Length of the shortest credential that any format has.
 _SHORTEST = min(len(p) + shortest for _, ps, _, shortest, _ in FORMATS for p in ps)
-_LONGEST = max(len(p) + longest for _, ps, _, _, longest in FORMATS for p in ps)
+#: Log-likelihood behind the threshold at which a candidate is given up.
+DROP = 60.0
 #: Runs of credential symbols; a shorter one holds no candidate.
 CANDIDATE = re.compile(r"[A-Za-z0-9_.=+/-]{%d,}" % _SHORTEST, re.ASCII)
 
@@ -66,12 +74,12 @@ _PREFIX = re.compile("(?=" + "|".join(re.escape(p) for _, ps, *_ in FORMATS for
 
 
 def labelled_examples(per_format: int = 240, seed: int = 7) -> list[tuple[str, str]]:
-    """Seeded labelled credentials (kind, text), drawn from the public formats."""
+    """Seeded labelled credentials (kind, text), drawn from the public formats; lengths are log-uniform, as short ones are commoner."""
     rng = random.Random(seed)
     out = []
     for kind, prefixes, alphabet, low, high in FORMATS:
         for i in range(per_format):
-            out.append((kind, prefixes[i % len(prefixes)] + "".join(rng.choices(alphabet, k=rng.randint(low, high)))))
+            out.append((kind, prefixes[i % len(prefixes)] + "".join(rng.choices(alphabet, k=min(high, int(low * ((high + 1) / low) ** rng.random()))))))
     return out
 
 
@@ -130,17 +138,34 @@ def infer(samples: list[str], alpha: float = 0.05, least: int = 4, alphabet: int
             out[k] = out.get(k, 0) + n
         return out
 
-    def compatible(a: int, b: int) -> bool:
-        if total[a] < 1 or total[b] < 1:
-            return True
+    def alike(a: int, b: int) -> bool:
         if differ(stops[a], total[a], stops[b], total[b]):
             return False
         ka, kb = classes(a), classes(b)
         if any(differ(ka.get(c, 0), total[a], kb.get(c, 0), total[b]) for c in {*ka, *kb}):
             return False
-        if total[a] >= least and total[b] >= least and any(differ(count[a].get(c, 0), total[a], count[b].get(c, 0), total[b]) for c in {*count[a], *count[b]}):
-            return False
-        return all(compatible(kids[a][c], kids[b][c]) for c in kids[a].keys() & kids[b].keys() if kids[a][c] != kids[b][c])
+        return total[a] < least or total[b] < least or not any(differ(count[a].get(c, 0), total[a], count[b].get(c, 0), total[b]) for c in {*count[a], *count[b]})
+
+    def compatible(a: int, b: int) -> bool:
+        todo = [(a, b)]
+        while todo:
+            x, y = todo.pop()
+            if not alike(x, y):
+                return False
+            todo += [(kids[x][c], kids[y][c]) for c in kids[x].keys() & kids[y].keys() if kids[x][c] != kids[y][c]]
+        return True
+
+    def explained(q: int, t: int, depth: int = 24) -> float:
+        """Log-likelihood of what follows t, to a depth, when it is read from state q."""
+        out, todo = 0.0, [(q, t, 0)]
+        while todo:
+            x, y, d = todo.pop()
+            for c, n in count[y].items():
+                out += n * math.log((count[x].get(c, 0) + 1 / alphabet) / (total[x] + 1))
+                if d < depth:
+                    todo.append((kids[x].get(c, x), kids[y][c], d + 1))
+            out += stops[y] * math.log((stops[x] + 0.01) / (total[x] + 1))
+        return out
 
     def fold(a: int, b: int) -> None:
         """Add b's subtree to a."""
@@ -163,7 +188,7 @@ def infer(samples: list[str], alpha: float = 0.05, least: int = 4, alphabet: int
         if not blue:
             break
         r, c, t = max(blue, key=lambda e: (total[e[2]], -e[2]))
-        target = next((q for q in red if q != 0 and compatible(q, t)), None)
+        target = max((q for q in red if q != 0 and compatible(q, t)), key=lambda q: explained(q, t), default=None)
         if target is None:
             red.append(t)
             done.add(t)
@@ -174,24 +199,26 @@ def infer(samples: list[str], alpha: float = 0.05, least: int = 4, alphabet: int
 
 
 @lru_cache(1)
-def models() -> dict[str, tuple[Automaton, float, int]]:
-    """By kind: the automaton, a low score of held-back labelled credentials less a margin, and their shortest length."""
+def models() -> dict[str, tuple[Automaton, float, int, bool]]:
+    """By kind: the automaton, a low score of held-back labelled credentials less a margin, their shortest length, and whether all have it."""
     by_kind: dict[str, list[str]] = {}
     for kind, text in labelled_examples():
         by_kind.setdefault(kind, []).append(text)
     out = {}
     for kind, texts in by_kind.items():
-        auto = infer(texts[::2] + texts[1::4])
-        held = texts[3::4]
-        out[kind] = (auto, sorted(auto.score(t) for t in held)[len(held) // 20] - 0.25, min(map(len, texts)))
+        mixed = random.Random(11).sample(texts, len(texts))  # examples come prefix by prefix
+        quarter, lengths = len(mixed) // 4, {len(t) for t in texts}
+        auto, held = infer(mixed[quarter:]), mixed[:quarter]
+        out[kind] = (auto, sorted(auto.score(t) for t in held)[len(held) // 20] - 0.25, min(lengths), len(lengths) == 1)
     return out
 
 
 def likeliest(token: str) -> tuple[float, str | None]:
     """The largest margin of a format's log-likelihood over its threshold, summed over the symbols, and the format; (-inf, None) if none is likely enough."""
     best: tuple[float, str | None] = (-math.inf, None)
-    for name, (auto, least, shortest) in models().items():
-        if len(token) >= shortest and (margin := (auto.score(token) - least) * len(token)) >= 0 and margin > best[0]:
+    for name, (auto, least, shortest, fixed) in models().items():
+        fits = len(token) == shortest if fixed else len(token) >= shortest
+        if fits and (margin := (auto.score(token) - least) * len(token)) >= 0 and margin > best[0]:
             best = (margin, name)
     return best
 
@@ -214,21 +241,61 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], order[s[2]], s[1]))
 
 
+def _best(run: str, starts: list[int], ends: set[int], low: int, high: int) -> tuple[float, int, int, int, str] | None:
+    """The best candidate within run[low:high] as (-margin, -length, start, end, kind), read as a stream by each automaton."""
+    best = None
+    for kind, (auto, least, shortest, fixed) in models().items():
+        step = auto.step
+        young: list[tuple[int, float, int]] = []  # (state, margin, start) of starts still below the shortest length, first start first
+        old: dict[int, tuple[float, int]] = {}  # by state the best (margin, start) of all others
+        i, nxt = low, bisect_left(starts, low)
+        while i < high:
+            if nxt < len(starts) and starts[nxt] == i:
+                young.append((0, 0.0, i))
+                nxt += 1
+            elif not young and not old:
+                if nxt == len(starts):
+                    break
+                i = starts[nxt]
+                continue
+            c = run[i]
+            i += 1
+            moved, aged = [], {}
+            for state, margin, start in [*young, *((s, m, a) for s, (m, a) in old.items())] if old else young:
+                _, edges, unseen = step[state]
+                hit = edges.get(c)
+                if hit is None:
+                    margin += unseen - least
+                else:
+                    state = hit[0]
+                    margin += hit[1] - least
+                if margin < -DROP:
+                    continue
+                if i - start < shortest:
+                    moved.append((state, margin, start))
+                elif state not in aged or (-margin, start) < (-aged[state][0], aged[state][1]):
+                    aged[state] = (margin, start)
+            if aged and (fixed or i in ends):
+                for state, (margin, start) in aged.items():
+                    margin += step[state][0]
+                    if margin >= 0 and (best is None or (-margin, start - i, start, i, kind) < best):
+                        best = (-margin, start - i, start, i, kind)
+            young, old = moved, {} if fixed else aged
+    return best
+
+
 def likely_spans(run: str) -> list[tuple[int, int, str]]:
     """Credentials in a run of credential symbols: the candidates that a format explains, by margin and then length, none overlapping a better one."""
     cuts = [(m.start(), m.end()) for m in _CUT.finditer(run)]
     starts = sorted({0, *(b for _, b in cuts), *(m.start() for m in _PREFIX.finditer(run))})
-    ends = sorted({*(x for cut in cuts for x in cut), len(run)})  # some formats have bodies that may end in a separator
-    found = []
-    for start in starts:
-        for end in ends[bisect_left(ends, start + _SHORTEST) : bisect_right(ends, start + _LONGEST)]:
-            margin, kind = likeliest(run[start:end])
-            if kind:
-                found.append((-margin, start - end, start, end, kind))
-    out: list[tuple[int, int, str]] = []
-    for _, _, start, end, kind in sorted(found):
-        if all(end <= a or b <= start for a, b, _ in out):
+    ends = {*(x for cut in cuts for x in cut), len(run)}  # some formats have bodies that may end in a separator
+    out, todo = [], [(0, len(run))]
+    while todo:
+        low, high = todo.pop()
+        if high - low >= _SHORTEST and (found := _best(run, starts, ends, low, high)):
+            _, _, start, end, kind = found
             out.append((start, end, kind))
+            todo += [(low, start), (end, high)]
     return sorted(out)
 
 

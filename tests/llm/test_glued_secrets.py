@@ -50,16 +50,66 @@ def test_spans_against_all_candidates():
             starts = {0} | {i for i in range(len(run) + 1) if (cut(i - 1) and not cut(i)) or any(run.startswith(p, i) for _, ps, *_ in secrets.FORMATS for p in ps if p)}
             ends = {len(run)} | {i for i in range(len(run)) if cut(i) != cut(i - 1)}
             found = []
-            for a in starts:
-                for b in ends:
-                    scores = [((auto.score(run[a:b]) - least) * (b - a), name) for name, (auto, least, shortest) in secrets.models().items() if shortest <= b - a <= secrets._LONGEST]
-                    scores = [x for x in scores if x[0] >= 0]
-                    if scores:
-                        margin = max(x[0] for x in scores)
-                        found.append((-margin, a - b, a, b, next(n for m, n in scores if m == margin)))
+            for name, (auto, least, shortest, fixed) in secrets.models().items():
+                for a in starts:
+                    state, margin = 0, 0.0
+                    for b in range(a + 1, len(run) + 1):
+                        stop, edges, unseen = auto.step[state]
+                        state, gain = edges.get(run[b - 1], (state, unseen))
+                        margin += gain - least
+                        if margin < -secrets.DROP:
+                            break
+                        whole = margin + auto.step[state][0]
+                        if whole >= 0 and (b - a == shortest if fixed else b - a >= shortest and b in ends):
+                            found.append((-whole, a - b, a, b, name))
             for _, _, a, b, name in sorted(found):
                 if all(b <= x or y <= a for x, y, _ in [(s[0] - at, s[1] - at, s[2]) for s in want if s[0] >= at]):
                     want.append((at + a, at + b, name))
             at = max(end, at + 1)
         base, spans = secrets.spans_of(text)
         assert sorted(s for s in spans if s[2] not in secrets.KINDS) == sorted(want)
+
+
+def web_token(rng, sizes):
+    symbols = secrets.ALNUM + "_-"
+    return "eyJ" + ".".join("".join(rng.choices(symbols, k=n)) for n in sizes)
+
+
+@pytest.mark.parametrize("length", [131, 184, 284, 683, 2500, 30_000])
+def test_long_web_tokens_whole(length):
+    """Longer than every labelled example too: no length bound."""
+    rng = random.Random(length)
+    for _ in range(5):
+        head = min(40, length // 4)
+        token = web_token(rng, (head, length - head - 48, 43))
+        assert len(token) == length
+        text = f"curl -H Bearer {token} https://host.example/"
+        at = text.index(token)
+        assert [s for s in secrets.spans_of(text)[1] if s[2] == "jwt"] == [(at, at + length, "jwt")]
+        assert secrets.redact(text) == "curl -H Bearer [SECRET] https://host.example/"
+
+
+@pytest.mark.parametrize("tail", ["abc", "_old", "Z9"])
+def test_fixed_length_leaves_what_is_glued_behind(tail):
+    for kind, token in HELD:
+        if kind in ("github", "npm"):
+            assert secrets.spans_of(f"see {token}{tail} there")[1] == [(4, 4 + len(token), kind)]
+
+
+def test_plain_strings_are_no_credentials():
+    rng = random.Random(1)
+    for k in range(2000):
+        letters = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(20, 60)))
+        words = rng.choice(["_", "-", ".", "/"]).join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(8))
+        for plain in (letters, words, letters.capitalize(), letters.upper()):
+            base, spans = secrets.spans_of(plain)
+            assert all(any(a <= b and e <= f for b, f, _ in base) for a, e, _ in spans), plain  # AKIA may stand in random capitals
+
+
+def test_very_long_runs():
+    """A run of a million symbols, and one with many separators, with one credential inside."""
+    token = next(t for k, t in HELD if k == "github")
+    for filler in ("A" * 500_000, "ab/cd+ef=" * 20_000):
+        text = f"{filler}/{token}/{filler}"
+        spans = secrets.spans_of(text)[1]
+        assert any(a <= len(filler) + 1 and len(filler) + 1 + len(token) <= b for a, b, _ in spans)
