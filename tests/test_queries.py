@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from pointloom.plans import augment_queries, metric_queries, more_queries  # noqa: F401
+from pointloom.plans import augment_queries, metric_queries, more_queries, road_queries  # noqa: F401
 from pointloom.plans.point_queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
