@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pointloom.operators.common import ranges, running, with_stats
+
 
 def confusion(df: DataFrame, classes: int, keys: list[str] | None = None, gt: str = "gt", pred: str = "pred") -> DataFrame:
     """Counts of (gt, pred) for valid pairs; both are range-checked."""
@@ -60,14 +62,14 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 def lovasz(df: DataFrame, keys: list[str], error: str, truth: str, order: str) -> DataFrame:
     """Sum over points by falling error of error times the step of the Jaccard loss, per key.
 
-    A key's points are cumulated in error order in one window; keys are classes of scenes."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(error), order)
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    Points are cumulated in range partitions by falling error, which start from the sums of those before."""
     total = df.groupBy(*keys).agg(F.sum(truth).alias("_all"))
-    rows = df.join(total, keys)
-    hit, miss = F.sum(truth).over(run), F.sum(1 - F.col(truth)).over(run)
-    rows = rows.withColumn("_j", 1.0 - (F.col("_all") - hit) / (F.col("_all") + miss))
-    rows = rows.withColumn("_g", F.col("_j") - F.coalesce(F.lag("_j").over(w), F.lit(0.0)))
+    rows = running(ranges(df, [*keys, F.desc(error), order]), keys, {"_hits": truth, "_misses": 1 - F.col(truth)})
+    w = Window.partitionBy(*keys, "_part").orderBy(F.desc(error), order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = with_stats(rows, total, keys).withColumns({"_h": F.sum(truth).over(w) + F.col("_hits"), "_m": F.sum(1 - F.col(truth)).over(w) + F.col("_misses")})
+    loss = lambda h, m: 1.0 - (F.col("_all") - h) / (F.col("_all") + m)
+    h, m = F.col("_h") - F.col(truth), F.col("_m") - (1 - F.col(truth))  # of the points before
+    rows = rows.withColumn("_g", loss(F.col("_h"), F.col("_m")) - F.when(h + m > 0, loss(h, m)).otherwise(0.0))
     return rows.groupBy(*keys).agg(F.sum(F.col(error) * F.col("_g")).alias("loss"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pointloom.operators.common import with_stats
+
 
 def concat(parts: list[DataFrame], loop: int = 1) -> DataFrame:
     """Union of all parts by name, repeated loop times, with the part's number as dataset."""
@@ -25,7 +27,7 @@ def mix_pairs(df: DataFrame, batch: str, instance: str) -> DataFrame:
     """Batches 2i and 2i + 1 become one; instances of the odd one follow those of the even one."""
     pair = df.withColumn("pair", F.floor(F.col(batch) / 2))
     top = pair.where(F.col(batch) % 2 == 0).groupBy("pair").agg(F.max(instance).alias("_top"))
-    out = pair.join(top, "pair", "left")
+    out = with_stats(pair, top, ["pair"], "left")
     shifted = F.when((F.col(batch) % 2 == 1) & (F.col(instance) >= 0), F.col(instance) + F.coalesce(F.col("_top") + 1, F.lit(0))).otherwise(F.col(instance))
     return out.withColumn(instance, shifted).drop("_top")
 

@@ -2,9 +2,9 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from pointloom.operators import neighbors
+from pointloom.operators import geometry, labels, metrics, neighbors, sets, tiles
+from pointloom.operators.common import numbered
 
 
 def plan(df):
@@ -58,3 +58,30 @@ def test_overlap_of_copies(copies):
     near = lambda a: any(a[1] != b[1] and sum((a[i] - b[i]) ** 2 for i in (2, 3, 4)) < 2.25 for b in rows)
     got = neighbors.overlap_share(df, 1.5).collect()
     assert [(r.a, r.b, pytest.approx(r.share)) for r in got] == [(0, 1, max(sum(near(r) for r in rows if r[1] == s) / 600 for s in (0, 1)))]
+
+
+def test_one_key_is_no_single_task(spark):
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 4, 4000) > 0
+    df = spark.createDataFrame([(1, i + 1, int(b), float(e)) for i, (b, e) in enumerate(zip(x, rng.random(4000)))], "k int, i long, mask int, err double").repartition(4)
+    with_parts = numbered(df, ["k"], ["i"], "n")
+    assert "windowspecdefinition(k#" in plan(with_parts) and plan(with_parts).count("_part#") > 2  # a window is a range of a key
+    assert with_parts.where("n <> i - 1").count() == 0
+    want, start = set(), None
+    for i, b in enumerate([*x, False], 1):
+        if b and start is None:
+            start = i
+        elif not b and start is not None:
+            want.add((1, start, i - start))
+            start = None
+    assert {tuple(r) for r in labels.runs(df, ["k"], "i", "mask").collect()} == want
+    hit = x[order := np.argsort(-np.array([r.err for r in df.orderBy("i").collect()]))].astype(int)
+    err = -np.sort(-np.array([r.err for r in df.collect()]))
+    jaccard = 1 - (hit.sum() - hit.cumsum()) / (hit.sum() + (1 - hit).cumsum())
+    assert len(order) == 4000 and metrics.lovasz(df, ["k"], "err", "mask", "i").first()["loss"] == pytest.approx(err @ np.diff(jaccard, prepend=0))
+
+
+def test_statistics_of_few_scenes_are_broadcast(copies):
+    df, _ = copies
+    for out in (geometry.normalize_coord(df), tiles.scene_tiles(df, 3, 1), sets.mix_pairs(df, "scene", "segment")):
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()  # else a scene is one task
