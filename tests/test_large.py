@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from pointloom.operators import geometry, labels, metrics, neighbors, sets, tiles
+from pointloom.operators import gather, geometry, graph, labels, metrics, neighbors, sets, tiles
 from pointloom.operators.common import numbered
 
 
@@ -85,3 +85,22 @@ def test_statistics_of_few_scenes_are_broadcast(copies):
     df, _ = copies
     for out in (geometry.normalize_coord(df), tiles.scene_tiles(df, 3, 1), sets.mix_pairs(df, "scene", "segment")):
         assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()  # else a scene is one task
+
+
+def test_clusters_and_normals_of_copies(spark, copies):
+    df, rows = copies
+    odd = spark.createDataFrame([(5000, 0, None, 1.0, 1.0, 0.0, 1), (5001, 0, None, 1.0, 1.0, 0.0, 1), (5002, 0, float("nan"), 1.0, 1.0, 0.0, 1), (5003, 0, float("nan"), 1.0, 1.0, 0.0, 1)], df.schema)
+    df = df.unionByName(odd)
+    for least in (1, 2):
+        want = graph.clusters(df, neighbors.radius_edges(df, 1.5, same="segment"), least)
+        got = graph.clusters_within(df, 1.5, ["scene", "segment"], least)
+        assert sorted(map(tuple, got.select("pid", "cluster", "size").collect())) == sorted(map(tuple, want.select("pid", "cluster", "size").collect()))
+    df = df.where("pid < 5000")
+    got = {r.qid: np.array([r.nx, r.ny, r.nz]) for r in gather.normals_within(df, 3.0).collect()}
+    assert len(got) == len(rows)
+    for q in rows[::60]:
+        near = np.array([p[2:5] for p in rows if p[1] == q[1] and sum((p[i] - q[i]) ** 2 for i in (2, 3, 4)) < 9])
+        cov = np.cov(near.T, bias=True)
+        assert got[q[0]] @ cov @ got[q[0]] == pytest.approx(np.linalg.eigvalsh(cov)[0], abs=1e-9)
+    joined = plan(gather.normals_within(df, 3.0))
+    assert "Join" in joined and joined.count("Join ") == 1  # places back to points; the pairs are summed before
