@@ -104,3 +104,14 @@ def test_clusters_and_normals_of_copies(spark, copies):
         assert got[q[0]] @ cov @ got[q[0]] == pytest.approx(np.linalg.eigvalsh(cov)[0], abs=1e-9)
     joined = plan(gather.normals_within(df, 3.0))
     assert "Join" in joined and joined.count("Join ") == 1  # places back to points; the pairs are summed before
+
+
+def test_cosine_by_blocks(spark):
+    v = np.random.default_rng(2).integers(-2, 3, (700, 4)).astype(float)
+    v[(v == 0).all(1)] = 1.0
+    df = spark.createDataFrame([(i, list(map(float, r))) for i, r in enumerate(v)], "vec_id long, embedding array<float>").repartition(3)
+    got = neighbors.cosine_top(df, df.where("vec_id % 7 = 0"), 5)
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()  # no row for every pair
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    want = {(q, r + 1): i for q in range(0, 700, 7) for r, (_, i) in enumerate(sorted((-round(float(u[q] @ u[i]), 6), i) for i in range(700) if i != q)[:5])}
+    assert {(r.qid, r["rank"]): r.vec_id for r in got.collect()} == want
