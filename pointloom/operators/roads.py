@@ -1,12 +1,17 @@
 """Roads in a mask of pixels (px, py): skeletons, their end points and directions, rays to other roads, stitching of gaps.
 
-A mask is a table of its pixels; repeated pixels count once. Nothing is ordered or
-held whole: every step is an equality join or an aggregation by pixel, combined
-before its shuffle, and iterations are written to the checkpoint folder.
+A mask is a table of its pixels; repeated pixels count once. What depends on the
+pixels around one only is worked out in square tiles: a pixel is copied to the
+tiles whose margin holds it, and a task holds one tile with its margin, of
+bounded size. Iterations are written to the checkpoint folder.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,13 +27,53 @@ _SELF = 256
 STRAIGHT, DIAGONAL = 0.955, 1.3693
 
 
+#: Pixels of a tile along each axis; it sets the size of the work units, no result.
+TILE = 256
+_TILE = ["_tx", "_ty"]
+
+
+def _in_tiles(df: DataFrame, margin: int = 0) -> DataFrame:
+    """A row for each tile that holds the pixel, or whose margin does."""
+    for t, c in zip(_TILE, PIXEL):
+        df = df.withColumn(t, F.explode(F.sequence(F.floor((F.col(c) - margin) / TILE), F.floor((F.col(c) + margin) / TILE))))
+    return df
+
+
+def _grid(key: tuple, pdf: pd.DataFrame, margin: int, values=1, kind=np.uint8) -> tuple[np.ndarray, int, int]:
+    """A tile with its margin as an array by px and py, 0 where there is no pixel, and the pixel of its first element."""
+    x0, y0 = int(key[0]) * TILE - margin, int(key[1]) * TILE - margin
+    out = np.zeros((TILE + 2 * margin, TILE + 2 * margin), kind)
+    out[pdf["px"].to_numpy() - x0, pdf["py"].to_numpy() - y0] = values
+    return out, x0, y0
+
+
+def _each_tile(mask: DataFrame, margin: int, run: Callable, schema: str, places: DataFrame | None = None) -> DataFrame:
+    """run(key, pixels) on every tile of different pixels, or run(key, pixels, places) on every tile of the places."""
+    tiles = _in_tiles(mask, margin).groupBy(*_TILE)
+    return tiles.applyInPandas(run, schema) if places is None else tiles.cogroup(_in_tiles(places).groupBy(*_TILE)).applyInPandas(run, schema)
+
+
+def _schema(df: DataFrame, *more: str) -> str:
+    return ", ".join([*(f"`{n}` {t}" for n, t in df.dtypes), *more])
+
+
+def _around(grid: np.ndarray) -> np.ndarray:
+    """The code of every element: which of its eight neighbours are set; beyond the array none is."""
+    wide = np.pad(grid, 1)
+    n, m = grid.shape
+    return sum(wide[1 + dx : 1 + dx + n, 1 + dy : 1 + dy + m].astype(np.int32) << i for i, (dx, dy) in enumerate(AROUND))
+
+
 def codes(mask: DataFrame) -> DataFrame:
     """px, py, code: which of the eight neighbours of every pixel of the mask are in it."""
-    told = [F.struct(F.lit(0).alias("dx"), F.lit(0).alias("dy"), F.lit(_SELF).alias("bit"))]
-    told += [F.struct(F.lit(-dx).alias("dx"), F.lit(-dy).alias("dy"), F.lit(1 << i).alias("bit")) for i, (dx, dy) in enumerate(AROUND)]
-    each = mask.select(*PIXEL, F.explode(F.array(*told)).alias("_m")).select((F.col("px") + F.col("_m.dx")).alias("px"), (F.col("py") + F.col("_m.dy")).alias("py"), "_m.bit")
-    seen = each.groupBy(*PIXEL).agg(F.bit_or("bit").alias("code"))
-    return seen.where(F.col("code") >= _SELF).withColumn("code", F.col("code") - _SELF)
+
+    def run(key, pdf):
+        grid, x0, y0 = _grid(key, pdf, 1)
+        x, y = np.nonzero(grid[1:-1, 1:-1])
+        return pd.DataFrame({"px": x + 1 + x0, "py": y + 1 + y0, "code": _around(grid)[x + 1, y + 1]})
+
+    here = mask.select(*PIXEL).distinct()
+    return _each_tile(here, 1, run, _schema(here, "code int"))
 
 
 def removable(second: bool) -> list[int]:
@@ -45,17 +90,25 @@ def removable(second: bool) -> list[int]:
     return out
 
 
-def skeleton(mask: DataFrame, rounds: int = 2) -> DataFrame:
+def skeleton(mask: DataFrame, rounds: int = 16) -> DataFrame:
     """The mask thinned to lines of one pixel: passes in parallel over all pixels until none is taken away.
 
-    A pass is one shuffle; after each `rounds` pairs of passes the pixels are stored and counted. An empty mask stays empty."""
+    `rounds` pairs of passes are one shuffle, with a margin as wide as they are many; then the pixels are stored and counted. An empty mask stays empty."""
+    margin = 2 * rounds
+    gone = [np.isin(np.arange(256), removable(second)) for second in (False, True)]
+
+    def run(key, pdf):
+        grid, x0, y0 = _grid(key, pdf, margin)
+        for i in range(margin):
+            grid[gone[i % 2][_around(grid)]] = 0
+        x, y = np.nonzero(grid[margin:-margin, margin:-margin])
+        return pd.DataFrame({"px": x + margin + x0, "py": y + margin + y0})
+
     now = stored(mask.select(*PIXEL).distinct())
     n = now.count()
     while True:
-        out = now
-        for i in range(2 * rounds):
-            out = codes(out).where(~F.col("code").isin(removable(i % 2 == 1))).select(*PIXEL)
-        new = stored(out)
+        unplaced = now.where(F.col("px").isNull() | F.col("py").isNull())
+        new = stored(_each_tile(now, margin, run, _schema(now)).unionByName(unplaced))
         left = new.count()
         dropped(now)
         if left == n:
@@ -72,21 +125,27 @@ def directions(skel: DataFrame, ends: DataFrame, steps: int = 6) -> DataFrame:
     """px, py of each end point and dx, dy, the unit vector to where a walk of some steps along the skeleton leads.
 
     A step goes to the first neighbour in reading order other than the one it comes from; walks that end where they began give no row."""
-    by_pixel = stored(codes(skel))
-    dx, dy = (F.array(*[F.lit(offset[axis]) for offset in AROUND]) for axis in (0, 1))
-    walk = ends.select(*PIXEL, F.col("px").alias("_x"), F.col("py").alias("_y"), F.lit(0).alias("_from"))
-    for _ in range(steps):
-        near = by_pixel.select(F.col("px").alias("_x"), F.col("py").alias("_y"), "code")
-        choice = F.col("code").bitwiseAND(F.bitwise_not(F.col("_from")))
-        first = F.bit_count(choice.bitwiseAND(-choice) - 1)
-        moved = walk.join(near, ["_x", "_y"]).withColumns({"_go": choice != 0, "_i": F.when(choice != 0, first).otherwise(0)})
-        walk = moved.select(
-            *PIXEL, (F.col("_x") + F.when(F.col("_go"), F.get(dx, F.col("_i"))).otherwise(0)).alias("_x"), (F.col("_y") + F.when(F.col("_go"), F.get(dy, F.col("_i"))).otherwise(0)).alias("_y"),
-            F.when(F.col("_go"), F.expr("shiftleft(1, 7 - _i)")).otherwise(F.col("_from")).alias("_from"),
-        )
-    x, y = F.col("_x") - F.col("px"), F.col("_y") - F.col("py")
-    length = F.sqrt((x * x + y * y).cast("double"))
-    return walk.where((x != 0) | (y != 0)).select(*PIXEL, (x / length).alias("dx"), (y / length).alias("dy"))
+    margin = steps + 1
+
+    def run(key, pdf, places):
+        grid, x0, y0 = _grid(key, pdf, margin)
+        code, first = _around(grid), np.array([(c & -c).bit_length() - 1 for c in range(256)])
+        dx, dy = np.array(AROUND).T
+        px, py = places["px"].to_numpy(), places["py"].to_numpy()
+        here = grid[px - x0, py - y0] > 0
+        px, py = px[here], py[here]
+        x, y, back = px - x0, py - y0, np.zeros(len(px), np.int64)
+        for _ in range(steps):
+            i = first[code[x, y] & ~back]
+            go = i >= 0
+            x, y, back = x + np.where(go, dx[i], 0), y + np.where(go, dy[i], 0), np.where(go, 1 << (7 - i), back)
+        x, y = x + x0 - px, y + y0 - py
+        far = (x != 0) | (y != 0)
+        length = np.sqrt((x * x + y * y)[far].astype(float))
+        return pd.DataFrame({"px": px[far], "py": py[far], "dx": x[far] / length, "dy": y[far] / length})
+
+    ends = ends.select(*PIXEL)
+    return _each_tile(skel.select(*PIXEL).distinct(), margin, run, _schema(ends, "dx double", "dy double"), ends)
 
 
 def _met(mask: DataFrame, rays: DataFrame, most: int, step: float, box: tuple[int, int, int, int] | None = None) -> DataFrame:
@@ -112,13 +171,23 @@ def cast_rays(mask: DataFrame, rays: DataFrame, most: int = 25, step: float = 1.
 def widths(mask: DataFrame, places: DataFrame, widest: int = 40) -> DataFrame:
     """places (px, py) with `width`: twice the chamfer distance to the nearest pixel outside the mask, rounded down, from 1 to widest."""
     reach = widest // 2 + 1
-    side = F.sequence(F.lit(-reach), F.lit(reach))
-    a, b = F.abs(F.col("_dx")), F.abs(F.col("_dy"))
-    around = places.select(*PIXEL, F.explode(side).alias("_dx")).select("*", F.explode(side).alias("_dy"))
-    around = around.select(F.struct(*PIXEL).alias("_p"), (F.col("px") + F.col("_dx")).alias("px"), (F.col("py") + F.col("_dy")).alias("py"), (STRAIGHT * F.abs(a - b) + DIAGONAL * F.least(a, b)).alias("_d"))
-    free = around.join(mask.select(*PIXEL), PIXEL, "left_anti").groupBy("_p").agg(F.min("_d").alias("_d"))
-    width = F.least(F.lit(widest), F.greatest(F.lit(1), F.floor(2 * F.coalesce(F.col("_d"), F.lit(float(widest)))).cast("int")))
-    return places.join(free.select("_p.*", "_d"), PIXEL, "left").withColumn("width", width).drop("_d")
+    side = np.arange(-reach, reach + 1)
+    a, b = np.abs(side)[:, None], np.abs(side)[None, :]
+    length = STRAIGHT * np.abs(a - b) + DIAGONAL * np.minimum(a, b)
+
+    def run(key, pdf, places):
+        grid, x0, y0 = _grid(key, pdf, reach)
+        x, y = places["px"].to_numpy() - x0, places["py"].to_numpy() - y0
+        out = np.zeros(len(x), np.int32)
+        for lo in range(0, len(x), 1000):
+            i = slice(lo, lo + 1000)
+            free = grid[x[i, None, None] + side[:, None], y[i, None, None] + side] == 0
+            d = np.where(free, length, np.inf).min(axis=(1, 2))
+            d = np.where(np.isinf(d), float(widest), d)
+            out[i] = np.minimum(widest, np.maximum(1, np.floor(2 * d)))
+        return places.drop(columns=_TILE).assign(width=out)
+
+    return _each_tile(mask.select(*PIXEL).distinct(), reach, run, _schema(places, "width int"), places)
 
 
 def lines(segments: DataFrame) -> DataFrame:
@@ -136,14 +205,49 @@ def lines(segments: DataFrame) -> DataFrame:
     return box.where(gap <= F.pow(F.col("width") / 2.0, F.lit(2.0)) + 1e-9).select(F.col("_x").alias("px"), F.col("_y").alias("py")).distinct()
 
 
+def _labels(grid: np.ndarray) -> np.ndarray:
+    """For every element set, the least place (row by row) of those it hangs together with over eight neighbours."""
+    n, m = grid.shape
+    none = n * m
+    at = np.where(grid > 0, np.arange(none).reshape(n, m), none)
+    while True:
+        wide, near = np.pad(at, 1, constant_values=none), at
+        for dx, dy in AROUND:
+            near = np.minimum(near, wide[1 + dx : 1 + dx + n, 1 + dy : 1 + dy + m])
+        up = np.arange(none + 1)
+        np.minimum.at(up, at[grid > 0], near[grid > 0])
+        while (up[up] != up).any():
+            up = up[up]
+        new = up[at]
+        if (new == at).all():
+            return at
+        at = new
+
+
 def pieces(mask: DataFrame) -> DataFrame:
-    """Every pixel of the mask with `piece`, the least pixel (as a struct) that it hangs together with over its eight neighbours."""
-    here = mask.select(*PIXEL).distinct()
+    """Every pixel of the mask with `piece`, the least pixel (as a struct) that it hangs together with over its eight neighbours.
+
+    Tiles are labelled first, then the labels that meet over an edge of two tiles."""
+
+    def run(key, pdf):
+        grid, x0, y0 = _grid(key, pdf, 0)
+        x, y = np.nonzero(grid)
+        least = _labels(grid)[x, y]
+        return pd.DataFrame({"px": x + x0, "py": y + y0, "_lx": least // TILE + x0, "_ly": least % TILE + y0})
+
+    here = stored(mask.select(*PIXEL).distinct())
+    kinds = dict(here.dtypes)
+    local = stored(_each_tile(here, 0, run, _schema(here, f"_lx {kinds['px']}", f"_ly {kinds['py']}")))
+    local = local.select(*PIXEL, F.struct(F.col("_lx").alias("px"), F.col("_ly").alias("py")).alias("_l"))
+    inner = [F.pmod(F.col(c), F.lit(TILE)) for c in PIXEL]
+    edge = local.where((inner[0] == 0) | (inner[0] == TILE - 1) | (inner[1] == 0) | (inner[1] == TILE - 1))
     moves = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in AROUND[:4]])).alias("_m")
-    near = here.select(*PIXEL, moves).select(F.struct(*PIXEL).alias("u"), (F.col("px") + F.col("_m.dx")).alias("px"), (F.col("py") + F.col("_m.dy")).alias("py"))
-    found = components(near.join(here, PIXEL).select("u", F.struct(*PIXEL).alias("v")))
-    found = found.select("node.*", F.col("component").alias("piece"))
-    return here.join(found, PIXEL, "left").withColumn("piece", F.coalesce("piece", F.struct(*PIXEL)))
+    near = edge.select(*PIXEL, F.col("_l").alias("u"), moves).withColumns({c: (F.col(c) + F.col(f"_m.d{c[1]}")).cast(kinds[c]) for c in PIXEL})
+    found = components(near.join(edge, PIXEL).select("u", F.col("_l").alias("v")).where("u <> v").distinct())
+    found = found.select(F.col("node").alias("_l"), F.col("component").alias("piece"))
+    out = local.join(found, "_l", "left").select(*PIXEL, F.coalesce("piece", "_l").alias("piece"))
+    unplaced = here.where(F.col("px").isNull() | F.col("py").isNull())
+    return out.unionByName(unplaced.withColumn("piece", F.struct(*PIXEL)))
 
 
 def gaps(mask: DataFrame, labelled: DataFrame, least: int = 3, most: int = 25, step: float = 1.0, steps: int = 6, outward: bool = False) -> DataFrame:
@@ -152,16 +256,30 @@ def gaps(mask: DataFrame, labelled: DataFrame, least: int = 3, most: int = 25, s
     labelled: the mask's pieces. The direction is that of a walk from the end point along its skeleton, so it points into
     its own road; a segment is kept if what its ray meets first is `least` away and of another piece. With outward the ray
     goes the other way, over the rest of its own road to the first pixel of another piece."""
+    mask = stored(mask.select(*PIXEL).distinct())
     skel = skeleton(mask)
     rays = directions(skel, end_points(skel), steps)
-    if outward:
-        rays = rays.withColumns({"dx": -F.col("dx"), "dy": -F.col("dy")})
-    own = labelled.select("px", "py", F.col("piece").alias("_own"))
-    other = labelled.select(F.col("px").alias("hx"), F.col("py").alias("hy"), F.col("piece").alias("_other"))
-    met = _met(mask, rays, most, step)
-    crossed = (met if outward else _first(met)).join(own, PIXEL).join(other, ["hx", "hy"]).where(F.col("_own") != F.col("_other"))
-    across = stored(_first(crossed).where(F.col("dist") >= least).drop("dx", "dy"))
-    return across.join(widths(mask, across.select(*PIXEL)), PIXEL)
+    margin, dists = int(most) + 1, np.arange(1, int(most / step) + 1) * float(step)
+
+    def run(key, pdf, rays):
+        names, piece = np.unique(pdf[["_ax", "_ay"]].to_numpy(np.int64), axis=0, return_inverse=True)
+        grid, x0, y0 = _grid(key, pdf, margin, piece.ravel() + 1, np.int32)
+        px, py, dx, dy = (rays[c].to_numpy() for c in ("px", "py", "dx", "dy"))
+        if outward:
+            dx, dy = -dx, -dy
+        own = grid[px - x0, py - y0][:, None]
+        hx = np.rint(px[:, None] + dx[:, None] * dists).astype(np.int64)
+        hy = np.rint(py[:, None] + dy[:, None] * dists).astype(np.int64)
+        met = grid[hx - x0, hy - y0]
+        hit = (met > 0) & (met != own) if outward else met > 0
+        at, k = np.arange(len(px)), hit.argmax(axis=1) if len(px) else np.zeros(0, np.int64)
+        keep = hit[at, k] & (met[at, k] != own[:, 0]) & (own[:, 0] > 0) & (dists[k] >= least)
+        at, k = at[keep], k[keep]
+        return pd.DataFrame({"px": px[at], "py": py[at], "hx": hx[at, k], "hy": hy[at, k], "dist": dists[k]})
+
+    named = labelled.where(F.col("px").isNotNull() & F.col("py").isNotNull()).select(*PIXEL, F.col("piece.px").alias("_ax"), F.col("piece.py").alias("_ay"))
+    across = stored(_each_tile(named, margin, run, _schema(rays.select(*PIXEL), "hx long", "hy long", "dist double"), rays))
+    return widths(mask, across)
 
 
 def stitched(mask: DataFrame, target: int = 1, rounds: int = 10, smooth: int = 1, **how) -> DataFrame:
