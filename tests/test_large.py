@@ -115,3 +115,20 @@ def test_cosine_by_blocks(spark):
     u = v / np.linalg.norm(v, axis=1)[:, None]
     want = {(q, r + 1): i for q in range(0, 700, 7) for r, (_, i) in enumerate(sorted((-round(float(u[q] @ u[i]), 6), i) for i in range(700) if i != q)[:5])}
     assert {(r.qid, r["rank"]): r.vec_id for r in got.collect()} == want
+
+
+def test_farthest_points_of_copies(copies, monkeypatch):
+    df, rows = copies
+    kept, store = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df: kept.append(store(df)) or kept[-1])
+    got = graph.farthest_points(df, 6)
+    assert kept[0].count() == len({r[1:5] for r in rows})  # a place once, read in every step
+    for scene in (0, 1):
+        left = {r[0]: (float("inf"), r[2:5]) for r in rows if r[1] == scene}
+        want = []
+        for _ in range(6):
+            pid = min(left, key=lambda i: (-left[i][0], i))
+            want.append(pid)
+            at = left[pid][1]
+            left = {i: (d, p) for i, (o, p) in left.items() if (d := min(o, sum((a - b) ** 2 for a, b in zip(p, at)))) > 0}
+        assert [r.pid for r in got.where(f"scene = {scene}").orderBy("step").collect()] == want
