@@ -36,6 +36,30 @@ def test_knn_of_copies(copies):
     assert one == {q[0]: min((d, p[0]) for p in rows if p[1] == q[1] and p[0] % 2 == 1 and (d := sum((p[i] - q[i]) ** 2 for i in (2, 3, 4))) < 2.25)[1] for q in rows}
 
 
+@pytest.mark.parametrize("batch", ["scene", None])
+def test_ball_query_of_copies(copies, monkeypatch, batch):
+    """Ids are read off where a place finds them: what is shuffled after is k rows a place at most, not the pairs of copies."""
+    df, rows = copies
+    seen = []
+    asked = neighbors._asked
+    monkeypatch.setattr(neighbors, "_asked", lambda queries, near, *a, **b: (seen.append(near.count()), asked(queries, near, *a, **b))[1])
+    monkeypatch.setattr(neighbors, "AT_ONCE", 7)
+    odd = df.sparkSession.createDataFrame([(5000, 0, None, 0.0, 0.0), (5001, None, 0.0, 0.0, 0.0), (5002, 0, float("nan"), 0.0, 0.0)], "pid long, scene int, x double, y double, z double")
+    if batch is None:
+        odd = odd.where("scene is not null")
+    every = df.select(*odd.columns).unionByName(odd)
+    got = {(r.qid, r.pid, r.slot, r.d2) for r in neighbors.ball_query(every.where("pid % 2 = 0"), every, 3.0, 4, 1.5, batch).collect()}
+    want = set()
+    for q in rows[::2]:
+        found = sorted((p[0], d2) for p in rows if batch is None or p[1] == q[1] if (d2 := sum((p[i] - q[i]) ** 2 for i in (2, 3, 4))) < 9 and (d2 == 0 or d2 >= 2.25))
+        first = {}
+        for rn, (pid, d2) in enumerate(found):
+            first.setdefault(rn if len(found) <= 4 else rn * 4 // len(found), (pid, d2))
+        want |= {(q[0], pid, slot, d2) for slot, (pid, d2) in first.items()}
+    assert got == want and len(got) == 4 * len(rows[::2])
+    assert seen and seen[0] <= 4 * df.select("scene", "x", "y", "z").distinct().count()
+
+
 def test_distance_quantiles(spark):
     d = np.random.default_rng(1).integers(0, 50, 501) / 8
     got = neighbors.distance_stats(spark.createDataFrame([(1, float(x * x)) for x in d], "rank int, d2 double")).first()
