@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from pointloom.operators import gather, geometry, graph, labels, metrics, neighbors, sets, tiles
+from pointloom.operators import common
 from pointloom.operators.common import numbered
 
 
@@ -156,3 +157,15 @@ def test_farthest_points_of_copies(copies, monkeypatch):
             at = left[pid][1]
             left = {i: (d, p) for i, (o, p) in left.items() if (d := min(o, sum((a - b) ** 2 for a, b in zip(p, at)))) > 0}
         assert [r.pid for r in got.where(f"scene = {scene}").orderBy("step").collect()] == want
+
+
+def test_numbering_takes_no_window_over_the_rows(spark, monkeypatch):
+    """The partitions follow the rows, and places are right across them."""
+    monkeypatch.setattr(common, "RANGE_ROWS", 40)
+    parts, ranged = [], common._in_ranges
+    monkeypatch.setattr(common, "_in_ranges", lambda df, order, n=None: (parts.append(n), ranged(df, order, n))[1])
+    rows = [(i % 2, (i * 7919) % 1000) for i in range(900)] + [(2, 5)]
+    out = numbered(spark.createDataFrame(rows, "k int, v int"), ["k"], ["v"], "i")
+    assert "Window" not in plan(out) and parts == [23]
+    want = {(k, v, i) for key in range(3) for i, (k, v) in enumerate(sorted(r for r in rows if r[0] == key))}
+    assert {(r.k, r.v, r.i) for r in out.collect()} == want
