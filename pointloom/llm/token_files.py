@@ -13,7 +13,8 @@ its own and lists it in the index, so a file of a lost or repeated task is
 simply not listed. Places in the whole stream of ids follow from the index.
 
 Only whole words go through the tokenizer: no token spans ASCII white space, so
-a word has the same ids everywhere, and a worker keeps those of words it has seen.
+a word has the same ids everywhere, and a worker keeps those of words it has seen,
+in two halves: when the newer is full, the older is forgotten.
 
 Edge cases: null and empty texts have the end id only; a null id comes before
 all others and stays null; rows of equal id follow each other by their texts'
@@ -31,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,8 +41,8 @@ from pointloom.llm.common import dropped, short_batches, stored
 from pointloom.llm.rans import Frame, Table, pack
 from pointloom.sources.storage import located
 
-#: Ids of a frame at least, documents tokenized at once, words and ids a worker keeps, words encoded at once.
-FRAME, ROWS, WORDS, IDS, JOINED = 1 << 19, 256, 1_000_000, 8_000_000, 50
+#: Ids of a frame at least, documents it grows by, bytes of texts looked up at once, words and ids a worker keeps, words encoded at once.
+FRAME, ROWS, BYTES, WORDS, IDS, JOINED = 1 << 19, 256, 1 << 22, 1_000_000, 8_000_000, 50
 INDEX = "file string, part int, first long, at long, size long, n_docs long, n_ids long"
 
 
@@ -53,57 +55,82 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self._clear()
+        self.before = self.memo, self.ids, self.start, self.size
 
     def _clear(self) -> None:
-        self.memo: dict[bytes, int] = {}
+        self.memo: dict[str, int] = {}
         self.ids, self.start, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def _learn(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), JOINED):
-            some = words[at : at + JOINED]
-            texts = [w.decode() for w in some]
-            begins = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
-            got = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-            owner = np.searchsorted(begins, np.array([a for a, _ in got.offsets], np.int64), side="right") - 1
-            sizes = np.bincount(owner, minlength=len(some)) if len(owner) else np.zeros(len(some), np.int64)
-            n, known = len(got.ids), len(self.memo)
-            while self.used + n > len(self.ids):
-                self.ids = np.append(self.ids, np.zeros_like(self.ids))
-            while known + len(some) > len(self.start):
-                self.start, self.size = np.append(self.start, np.zeros_like(self.start)), np.append(self.size, np.zeros_like(self.size))
-            self.ids[self.used : self.used + n] = got.ids
-            self.size[known : known + len(some)] = sizes
-            self.start[known : known + len(some)] = self.used + np.cumsum(sizes) - sizes
-            self.memo.update(zip(some, range(known, known + len(some))))
-            self.used += n
-
-    def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of ids of the texts, with the end id, and all their ids."""
-        if len(self.memo) > WORDS or self.used > IDS:
+    def _add(self, words: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        n, known = len(ids), len(self.memo)
+        while self.used + n > len(self.ids):
+            self.ids = np.append(self.ids, np.zeros_like(self.ids))
+        while known + len(words) > len(self.start):
+            self.start, self.size = np.append(self.start, np.zeros_like(self.start)), np.append(self.size, np.zeros_like(self.size))
+        self.ids[self.used : self.used + n] = ids
+        self.size[known : known + len(words)] = sizes
+        self.start[known : known + len(words)] = self.used + np.cumsum(sizes) - sizes
+        self.memo.update(zip(words, range(known, known + len(words))))
+        self.used += n
+
+    def _learn(self, words: list[str]) -> None:
+        ids, at, shift, n = [], [], [], 0  # of each token: its id, its place in its join, and where that join begins among all
+        for i in range(0, len(words), JOINED):
+            text = " ".join(words[i : i + JOINED])
+            got = self.tokenizer.encode(text, add_special_tokens=False)
+            ids += got.ids
+            at += [a for a, _ in got.offsets]
+            shift.append((n, len(got.ids)))
+            n += len(text) + 1
+        begins, known = (np.array(c, np.int64) for c in zip(*shift)) if shift else (np.zeros(0, np.int64),) * 2
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        owner = np.searchsorted(np.cumsum(size), np.array(at, np.int64) + np.repeat(begins, known), side="right")
+        self._add(words, np.bincount(owner, minlength=len(words)), np.array(ids, np.uint32))
+
+    def _recall(self, words: list[str]) -> list[str]:
+        """Takes over what was known of these words before the last forgetting; gives the others."""
+        memo, ids, start, size = self.before
+        at = list(map(memo.get, words))
+        place = np.array([p for p in at if p is not None], np.int64)
+        if len(place):
+            self._add([w for w, p in zip(words, at) if p is not None], size[place], ids[_ranges(start[place], size[place])])
+        return [w for w, p in zip(words, at) if p is None]
+
+    def _places(self, words: list[str]) -> np.ndarray:
+        """Where each of these different words is kept, after the new ones are learned."""
+        if len(self.memo) > WORDS // 2 or self.used > IDS // 2:  # what is not asked for until the next time is forgotten
+            self.before = self.memo, self.ids, self.start, self.size
             self._clear()
-        counts, words = [], []
-        for t in texts:
-            found = (t or "").encode().split()
-            counts.append(len(found))
-            words += found
         at = list(map(self.memo.get, words))
         if None in at:
             new = [i for i, known in enumerate(at) if known is None]
-            self._learn(list(dict.fromkeys(words[i] for i in new)))
+            self._learn(self._recall([words[i] for i in new]))
             for i in new:
                 at[i] = self.memo[words[i]]
-        place = np.array(at, np.int64)
+        return np.array(at, np.int64)
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids of the texts, with the end id, and all their ids. Each different word is looked up once."""
+        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        words = split.flatten().dictionary_encode()
+        place = self._places(words.dictionary.to_numpy(zero_copy_only=False).tolist())[words.indices.to_numpy()]
         size = self.size[place]
         upto = np.concatenate([[0], np.cumsum(size)])
         total = int(upto[-1])
-        ids = self.ids[np.repeat(self.start[place] - upto[:-1], size) + np.arange(total)]
-        lengths = np.diff(upto[np.cumsum(counts, dtype=np.int64)], prepend=0)
+        ids = self.ids[_ranges(self.start[place], size)]
+        lengths = np.diff(upto[np.cumsum(pc.list_value_length(split).to_numpy(), dtype=np.int64)], prepend=0)
         out = np.full(total + len(texts), end, np.uint32)
         out[np.arange(total) + np.repeat(np.arange(len(texts)), lengths)] = ids
         return lengths + 1, out
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each range, one range after the other."""
+    before = np.cumsum(size) - size
+    return np.repeat(start - before, size) + np.arange(int(size.sum()))
+
+
 _KEPT: dict[str, WordIds] = {}
 
 
@@ -135,16 +162,21 @@ def _tokenized(path: str, end: int, kind: str):
         words = _word_ids(path)
         n = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                some = batch.slice(at, ROWS)
-                lengths, ids = words.encode(some.column(1).to_pylist(), end)
-                held[0].extend(some.column(0).to_pylist())
-                held[1].append(lengths)
-                held[2].append(ids)
-                n += len(ids)
-                if n >= FRAME:
-                    yield row()
-                    n = 0
+            upto = np.cumsum(pc.binary_length(batch.column(1).fill_null("")).to_numpy(), dtype=np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(upto // BYTES)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                some = batch.slice(lo, hi - lo)
+                docs = some.column(0).to_pylist()
+                lengths, ids = words.encode(some.column(1), end)
+                upto = np.cumsum(lengths)
+                for at in range(0, len(docs), ROWS):
+                    held[0].extend(docs[at : at + ROWS])
+                    held[1].append(lengths[at : at + ROWS])
+                    held[2].append(ids[upto[at] - lengths[at] : upto[at : at + ROWS][-1]])
+                    n += len(held[2][-1])
+                    if n >= FRAME:
+                        yield row()
+                        n = 0
         if held[0]:
             yield row()
 

@@ -194,6 +194,32 @@ def test_token_files_round_trip(spark, tmp_path, monkeypatch):
     assert [i for r in part for i in r.ids] == stream[2500:9100].tolist()
 
 
+def test_words_in_use_are_learned_once(monkeypatch):
+    """A word that every batch has goes through the tokenizer once, however often the worker forgets; ids are the library's."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_files, "WORDS", 40)
+    monkeypatch.setattr(token_files, "BYTES", 100)
+    path = token_files.default_tokenizer()
+    whole, words = Tokenizer.from_file(path), token_files.WordIds(path)
+    monkeypatch.setitem(token_files._KEPT, path, words)
+    learned, learn = Counter(), token_files.WordIds._learn
+    monkeypatch.setattr(token_files.WordIds, "_learn", lambda self, some: (learned.update(some), learn(self, some))[1])
+    for i in range(12):
+        texts = [None, "", " \t", f"common Often\x0bT\u0308 {' '.join(f'w{i}x{j}' for j in range(15))} ", "common <|endoftext|>\x00\x1cy \U0001f468\u200d\U0001f469 it's"]
+        sizes, ids = words.encode(pa.array(["before", *texts]).slice(1), 2)
+        want = [whole.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+        assert sizes.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+        assert len(words.memo) < 80
+        run = token_files._tokenized(path, 2, "<u2")
+        batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(texts)], names=["doc_id", "text"])
+        monkeypatch.setattr(token_files.TaskContext, "get", staticmethod(lambda: type("T", (), {"partitionId": lambda self: 0})()))
+        (row,) = [r for b in run([batch]) for r in b.to_pylist()]  # texts are looked up in two parts
+        assert row["ids"] == np.array(ids, "<u2").tobytes() and row["lengths"] == np.array(sizes, "<i8").tobytes()
+    assert learned["common"] == learned["Often"] == learned["it's"] == 1 and learned["w3x3"] == 1
+
+
 def test_token_files_of_no_rows(spark, tmp_path):
     folder = f"{tmp_path}/none"
     token_files.write_tokens(rows_of(spark, [(1, "a", None, None)]).limit(0), folder, token_files.default_tokenizer(), 2)
