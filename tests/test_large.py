@@ -1,5 +1,7 @@
 """Steps whose work must not grow with the pairs of copies, with one scene or with one class."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -78,6 +80,32 @@ def test_pairs_carry_their_columns(copies):
     assert got == {(a[0], b[0], a[5], b[5]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and a[6] == b[6] and d2(a, b) < 2.25}
 
 
+@pytest.mark.parametrize("batch", ["scene", None])
+def test_pairs_are_found_once_for_two_places(copies, monkeypatch, batch):
+    """What is copied to cells is a row a place: every pair comes out, of ids that are null too, and no point is copied by itself."""
+    df, rows = copies
+    odd = [(None, 0, 1.0, 1.0, 1.0, 0.0, 1), (None, 0, 1.0, 1.0, 1.0, 0.0, 1), (5000, 0, None, 1.0, 1.0, 0.0, 1), (5001, 0, float("nan"), 1.0, 1.0, 0.0, 1), (5002, None, 1.0, 1.0, 1.0, 0.0, 1)]
+    every = df.unionByName(df.sparkSession.createDataFrame(odd, df.schema))
+    rows = rows + odd
+    place = lambda r: (r[1] if batch else 0, *r[2:5])
+    seen, touched = [], neighbors._touched
+    monkeypatch.setattr(neighbors, "_touched", lambda df, radius: (seen.append(df.count()), touched(df, radius))[1])
+    d2 = lambda a, b: sum((a[i] - b[i]) ** 2 for i in (2, 3, 4)) if None not in (*a[2:5], *b[2:5]) else 99.0
+    meet = lambda a, b: (batch is None or a[1] == b[1] is not None) and d2(a, b) < 2.25
+    few = every.where("pid % 2 = 0")
+    for q, copied in ((every, "queries"), (few, "queries"), (few, "points")):
+        asked = rows if q is every else [r for r in rows if r[0] is not None and r[0] % 2 == 0]
+        got = Counter((r.qid, r.pid, r.d2) for r in neighbors.within(q, every, 1.5, batch, copied=copied).collect())
+        assert got == Counter((a[0], b[0], d2(a, b)) for a in asked for b in rows if meet(a, b))
+        got = Counter(map(tuple, neighbors.differences(q, every, 1.5, ["x", "v"], batch).collect()))
+        assert got == Counter((a[0], b[0], a[2] - b[2], a[5] - b[5]) for a in asked for b in rows if meet(a, b))
+    want = {(a[0], b[0], a[1] if batch else None, a[6], b[6]) for a in rows for b in rows if a[0] is not None and b[0] is not None and a[0] < b[0] and meet(a, b)}
+    for copies_too in (True, False):
+        got = neighbors.radius_edges(every, 1.5, batch, kept=["segment"], copies=copies_too).collect()
+        assert len(got) == len(want) and {(r.u, r.v, r.scene if batch else None, r.segment_u, r.segment_v) for r in got} == want
+    assert max(seen[:-2]) < len({(place(r), r[5]) for r in rows}) + len(odd) and seen[-2] <= 3 * 40 + len(odd) and seen[-1] == len(rows)
+
+
 def test_overlap_of_copies(copies):
     df, rows = copies
     near = lambda a: any(a[1] != b[1] and sum((a[i] - b[i]) ** 2 for i in (2, 3, 4)) < 2.25 for b in rows)
