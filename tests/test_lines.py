@@ -88,3 +88,35 @@ def test_normals_make_no_pairs(spark, dense, monkeypatch, cut):
         cov = np.cov(near.T, bias=True) if len(near) > 1 else np.zeros((3, 3))
         n = got[int(q[0])]
         assert n @ n == pytest.approx(1) and n @ cov @ n == pytest.approx(np.linalg.eigvalsh(cov)[0], abs=1e-9)
+
+
+@pytest.mark.parametrize("cut", [False, True])
+def test_clusters_make_no_edges(spark, dense, monkeypatch, cut):
+    from pointloom.operators import graph
+
+    rows, df = dense
+    if cut:
+        monkeypatch.setattr(lines.Cells, "__init__", narrow(lines.Cells.__init__))
+    monkeypatch.setattr(neighbors, "radius_edges", None)
+    p = np.array(rows)
+    for radius, least in ((0.12, 2), (1.01, 1), (0.5, 3)):
+        root = {int(i): int(i) for i in p[:, 0]}
+
+        def top(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for s in range(3):
+            q = p[p[:, 1] == s]
+            d2 = ((q[:, None, 2:] - q[:, 2:]) ** 2).sum(-1)
+            for a, b in zip(*np.nonzero(d2 < radius * radius)):
+                u, v = sorted((top(int(q[a, 0])), top(int(q[b, 0]))))
+                root[v] = u
+        members = {}
+        for i in root:
+            members.setdefault(top(i), []).append(i)
+        number = {c: k for k, c in enumerate(sorted(c for c, m in members.items() if len(m) >= least))}
+        want = sorted((i, number[c], len(m)) for c, m in members.items() if c in number for i in m)
+        got = graph.clusters_within(df.withColumn("label", df.scene), radius, ["scene", "label"], least)
+        assert sorted((r.pid, r.cluster, r.size) for r in got.collect()) == want
